@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.operators.first_wins import first_wins
+from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
+                                          held_claims)
 from lotline.schemas import CASCADE, NOW, RESTRICT, SET_NULL, TABLES, children_of
 from lotline.sources.tables import Tables
 
@@ -38,21 +39,6 @@ def with_defaults(table: str, batch: DataFrame, at=None) -> DataFrame:
     return batch.select(*out)
 
 
-def _claim(keys) -> Column:
-    """Text of a unique key, NULL if any part is."""
-    whole = F.lit(True)
-    for key in keys:
-        whole = whole & F.col(key).isNotNull()
-    parts = [F.to_json(F.struct(F.col(k).cast("string").alias("v"))) for k in keys]
-    return F.when(whole, F.concat_ws("|", F.lit(",".join(keys)), *parts))
-
-
-def _taken(target: DataFrame, keys, mark: str, *more: str) -> DataFrame:
-    """Unique key values of the target with a marker, one row per value."""
-    held = target.select(*keys, *[F.col(m).alias(f"_{m}") for m in more])
-    return held.dropDuplicates(list(keys)).withColumn(mark, F.lit(True))
-
-
 def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: str = "id") -> Change:
     """Adds the rows of ``batch`` that repeat no unique key.
 
@@ -60,15 +46,11 @@ def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: st
     ``position`` wins and a rejected row frees its other keys.
     """
     unique_keys = [tuple(k) for k in unique_keys]
-    probed = batch
-    for i, keys in enumerate(unique_keys):
-        probed = probed.join(_taken(target, keys, f"_held{i}"), list(keys), "left")
-    error = F.coalesce(*[F.when(F.col(f"_held{i}"), F.lit(f"{', '.join(k)} already exists"))
-                         for i, k in enumerate(unique_keys)], F.lit(None).cast("string"))
-    probed = probed.withColumn("error", error)
-    known = probed.where("error is not null").select(*batch.columns, "error")
-    fresh = probed.where("error is null").select(
-        *batch.columns, F.array_compact(F.array(*[_claim(k) for k in unique_keys])).alias("_claims"))
+    claiming = batch.withColumn("_claims", F.array_compact(F.array(*[claim(k) for k in unique_keys])))
+    held = held_claims(claiming, position, "_claims", claims_of(target, unique_keys))
+    probed = claiming.join(held, position, "left")
+    known = probed.where("_held is not null").select(*batch.columns, _exists("_held").alias("error"))
+    fresh = probed.where("_held is null").drop("_held")
     winners = first_wins(fresh, position, "_claims").withColumn("_wins", F.lit(True))
     judged = fresh.drop("_claims").join(winners, position, "left")
     accepted = judged.where("_wins").select(*batch.columns)
@@ -79,6 +61,10 @@ def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: st
     return Change(grown, accepted, known.unionByName(repeated))
 
 
+def _exists(held) -> Column:
+    return F.concat(claimed_columns(held), F.lit(" already exists"))
+
+
 def insert_ignore(target: DataFrame, batch: DataFrame, keys) -> DataFrame:
     """Rows of ``batch`` to add when repeated keys are silently skipped."""
     keys = list(keys)
@@ -92,6 +78,18 @@ def last_values(patches: DataFrame, columns: list[str], order: str, key: str = "
                  F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
+def _changed_claims(unique_keys, columns: list[str]) -> Column:
+    """Claims of the unique keys whose value a patch changes."""
+    claims = []
+    for keys in unique_keys:
+        changed = F.lit(False)
+        for k in keys:
+            if k in columns:
+                changed = changed | ~F.col(k).eqNullSafe(F.col(f"_old_{k}"))
+        claims.append(F.when(changed, claim(keys)))
+    return F.array_compact(F.array(*claims))
+
+
 def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key: str = "id",
                   unique_keys=(), overwrite: bool = False, owner: tuple | None = None) -> Change:
     """Applies one patch row per key.
@@ -110,23 +108,15 @@ def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key:
     checks = [F.when(F.col("_found").isNull(), "not found")]
     if owner:
         checks.append(F.when(~F.col(owner[0]).eqNullSafe(F.col("_by")), "not the owner"))
-    for i, keys in enumerate(unique_keys):
-        found = found.join(_taken(target, keys, f"_held{i}", key).withColumnRenamed(
-            f"_{key}", f"_holder{i}"), list(keys), "left")
-        checks.append(F.when(F.col(f"_held{i}") & (F.col(f"_holder{i}") != F.col(key)),
-                             f"{', '.join(keys)} already exists"))
+    if unique_keys:
+        found = found.withColumn("_claims", _changed_claims(unique_keys, columns))
+        held = held_claims(found, key, "_claims", claims_of(target, unique_keys))
+        found = found.join(held, key, "left")
+        checks.append(F.when(F.col("_held").isNotNull(), _exists("_held")))
     found = found.withColumn("error", F.coalesce(*checks))
     failed = found.where("error is not null").select(key, "error")
     good = found.where("error is null")
     if unique_keys:
-        claims = []
-        for keys in unique_keys:
-            changed = F.lit(False)
-            for k in keys:
-                if k in columns:
-                    changed = changed | ~F.col(k).eqNullSafe(F.col(f"_old_{k}"))
-            claims.append(F.when(changed, _claim(keys)))
-        good = good.withColumn("_claims", F.array_compact(F.array(*claims)))
         winners = first_wins(good, key, "_claims").withColumn("_wins", F.lit(True))
         good = good.join(winners, key, "left")
         failed = failed.unionByName(good.where("_wins is null").select(

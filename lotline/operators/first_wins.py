@@ -4,11 +4,41 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.session import cut_lineage
 
 
+def claim(keys) -> Column:
+    """Text of a unique key over one or more columns, NULL if any part is."""
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    parts = [F.to_json(F.struct(F.col(k).cast("string").alias("v"))) for k in keys]
+    return F.when(whole, F.concat_ws("|", F.lit(", ".join(keys)), *parts))
+
+
+def claimed_columns(text) -> Column:
+    """The column names a claim is about."""
+    return F.substring_index(text, "|", 1)
+
+
+def claims_of(table: DataFrame, unique_keys) -> DataFrame:
+    """All claims (``_key``) the rows of a table hold."""
+    held = F.explode(F.array_compact(F.array(*[claim(k) for k in unique_keys])))
+    return table.select(held.alias("_key"))
+
+
+def held_claims(rows: DataFrame, position: str, claims: str, held: DataFrame) -> DataFrame:
+    """Rows of which some claim is among ``held``, with the first such claim as ``_held``.
+
+    Only claims travel, so rows without a value in a key, however many, meet nowhere.
+    """
+    pairs = rows.select(F.col(position), F.explode(claims).alias("_key"))
+    return (pairs.join(held, "_key", "left_semi")
+            .groupBy(position).agg(F.min("_key").alias("_held")))
+
+
 def first_wins(rows: DataFrame, position: str, claims: str) -> DataFrame:
     """Positions of the rows accepted when rows are taken in order of ``position``.
 

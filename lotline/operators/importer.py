@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions.keys import derived_key
-from lotline.operators.first_wins import first_wins
+from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
+                                          held_claims)
 from lotline.operators.quality import row_rules
 from lotline.schemas import DEFAULT_CURRENCY, IMPORT_PAYLOAD, TABLES
 from lotline.sources.tables import Tables
@@ -44,7 +45,13 @@ def entries(requests: DataFrame) -> DataFrame:
             .alias("cars"))
 
 
-def _problem(probed: DataFrame):
+def _text_claim(column: str, value):
+    """:func:`claim` of one text column, for a value inside an array too."""
+    return F.when(value.isNotNull(), F.concat_ws("|", F.lit(column), F.to_json(
+        F.struct(value.alias("v")))))
+
+
+def _problem():
     """First reason why an entry cannot be stored, before other entries are looked at."""
     user_rules = [F.when(c, n) for n, c in row_rules(TABLES["users"])
                   if n.split()[0] in ("phone", "email", "password_hash")]
@@ -55,13 +62,12 @@ def _problem(probed: DataFrame):
                           > TABLES["cars"].lengths["model"])
     return F.coalesce(
         *user_rules,
-        F.when(F.col("_phone_held"), "phone already exists"),
-        F.when(F.col("_email_held"), "email already exists"),
         F.when(F.exists(plates, lambda p: p.isNull()), "plate_number required"),
         F.when(long_plate, "plate_number longer than 20"),
         F.when(long_model, "model longer than 255"),
         F.when(F.size(F.array_distinct(plates)) < F.size(plates), "plate_number repeated"),
-        F.when(F.col("_plate_held"), "plate_number already exists"))
+        F.when(F.col("_held").isNotNull(),
+               F.concat(claimed_columns("_held"), F.lit(" already exists"))))
 
 
 def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
@@ -73,23 +79,16 @@ def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
     now = F.lit(at).cast("timestamp_ntz")
     position = F.struct("request_no", "user_no")
 
-    def held(table: str, column: str, mark: str) -> DataFrame:
-        return getattr(tables, table).select(column).where(
-            F.col(column).isNotNull()).distinct().withColumn(mark, F.lit(True))
-
-    rows = batch.withColumn("_at", position)
-    plates = (rows.select("_at", F.explode("cars.plate_number").alias("plate_number"))
-              .join(tables.cars.select("plate_number"), "plate_number", "left_semi")
-              .select("_at").distinct().withColumn("_plate_held", F.lit(True)))
-    probed = (rows.join(held("users", "phone", "_phone_held"), "phone", "left")
-              .join(held("users", "email", "_email_held"), "email", "left")
-              .join(plates, "_at", "left"))
-    probed = probed.withColumn("_problem", _problem(probed))
-    sound = probed.where("_problem is null")
-    claims = F.concat(F.array(F.concat(F.lit("phone "), "phone")),
-                      F.array_compact(F.array(F.concat(F.lit("email "), "email"))),
-                      F.transform("cars", lambda c: F.concat(F.lit("plate "), c["plate_number"])))
-    real = sound.where(~F.col("dry_run")).withColumn("_claims", claims)
+    plates = F.transform("cars", lambda c: c["plate_number"])
+    claims = F.array_compact(F.concat(
+        F.array(claim(["phone"]), claim(["email"])),
+        F.transform(plates, lambda p: _text_claim("plate_number", p))))
+    rows = batch.withColumn("_at", position).withColumn("_claims", claims)
+    stored_claims = claims_of(tables.users, [("phone",), ("email",)]).unionByName(
+        tables.cars.select(_text_claim("plate_number", F.col("plate_number")).alias("_key")))
+    probed = rows.join(held_claims(rows, "_at", "_claims", stored_claims), "_at", "left")
+    probed = probed.withColumn("_problem", _problem())
+    real = probed.where(F.col("_problem").isNull() & ~F.col("dry_run"))
     wins = first_wins(real, "_at", "_claims").withColumn("_wins", F.lit(True))
     judged = probed.join(wins, "_at", "left").withColumn("_problem", F.coalesce(
         "_problem", F.when(~F.col("dry_run") & F.col("_wins").isNull(),
