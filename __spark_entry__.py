@@ -10,9 +10,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from lotline.plans import activity, occupancy, people, revenue  # noqa: E402
-from lotline.sources.sample import sample_tables  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from lotline.functions.money import billable_minutes, parking_cost  # noqa: E402
+from lotline.operators import (access, admission, audit, changes, importer,  # noqa: E402
+                               ledger, quality, settlement)
+from lotline.plans import activity, occupancy, people, revenue, sql_surface  # noqa: E402
+from lotline.schemas import TABLES  # noqa: E402
+from lotline.sources import sample_batches as batches  # noqa: E402
+from lotline.sources.sample import read, sample_tables  # noqa: E402
 from lotline.sources.tables import Tables, shape_result  # noqa: E402
+from oracle_jobs import JOBS  # noqa: E402
 from oracle_reports import REPORTS  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -26,6 +34,104 @@ def _report(build: Callable[[Tables], DataFrame], zero: tuple = ()) -> Query:
     return lambda spark, sf_dir: shape_result(build(sample_tables(spark, sf_dir)), zero)
 
 
+def _job(build: Callable[[Tables, Callable[[str], DataFrame]], DataFrame]) -> Query:
+    """A job over the sample tables and a batch derived from a stored table."""
+    return lambda spark, sf_dir: shape_result(
+        build(sample_tables(spark, sf_dir), lambda name: read(spark, sf_dir, name)))
+
+
+def _admission(t: Tables, stored) -> admission.Admission:
+    return admission.admit(t, batches.attempts(stored("events")))
+
+
+def _cost(t: Tables) -> DataFrame:
+    terms = t.tariffs.select(F.col("id").alias("tariff_id"), "price_per_hour", "free_minutes")
+    return people.completed(t).join(terms, "tariff_id").select(
+        "id", billable_minutes("entry_time", "exit_time", "free_minutes").alias("billable_minutes"),
+        parking_cost("entry_time", "exit_time", "price_per_hour", "free_minutes").alias("cost"))
+
+
+def _tariff_requests(t: Tables) -> DataFrame:
+    cars = t.cars.select(F.col("id").alias("car_id"), "user_id")
+    spots = t.parking_spots.select(F.col("id").alias("spot_id"), "zone_id")
+    requests = (t.parking_sessions.select("id", "car_id", "spot_id").join(cars, "car_id")
+                .join(spots, "spot_id", "left").select("id", "user_id", "zone_id"))
+    return admission.assign_tariffs(t, requests)
+
+
+def _new_balances(t: Tables, stored) -> DataFrame:
+    posted = ledger.post_topups(t, batches.topups(stored("events"))).audit
+    details = F.from_json("details", "amount double, operation string, new_balance double")
+    return posted.select("entity_id", "created_at", details.alias("d")).select(
+        "entity_id", "created_at", "d.new_balance", "d.amount")
+
+
+def _ledger(t: Tables) -> DataFrame:
+    others = t.wallet_transactions.where("operation_type <> 'parking_charge'")
+    return ledger.build_ledger(
+        ledger.charges_of(t.parking_sessions, t.cars, t.wallets),
+        others.withColumn("id", F.col("id").cast("string")))
+
+
+def _reconciliation(t: Tables) -> DataFrame:
+    """Sessions and charges of which some are missing or altered."""
+    sessions = t.parking_sessions.where("id % 10 <> 4").withColumn(
+        "total_cost", (F.col("total_cost") + F.expr("id % 7 div 6")).cast("decimal(12,2)"))
+    charges = t.wallet_transactions.where("session_id is null or session_id % 10 <> 5")
+    return ledger.reconcile_costs(t.replace(parking_sessions=sessions,
+                                            wallet_transactions=charges))
+
+
+def _import(t: Tables, stored) -> importer.Import:
+    return importer.import_users(t, batches.import_requests(stored("customer")),
+                                 "2024-02-10 00:00:00")
+
+
+def _insert(t: Tables, stored) -> changes.Change:
+    return changes.apply_inserts(t.cars, batches.new_cars(stored("orders")), TABLES["cars"].unique)
+
+
+def _update(t: Tables, stored) -> changes.Change:
+    return changes.apply_updates(
+        t.parking_spots, batches.spot_patches(stored("supplier")),
+        ["zone_id", "spot_number", "is_reserved", "is_active"],
+        unique_keys=TABLES["parking_spots"].unique)
+
+
+def _delete_users(t: Tables) -> changes.Deletion:
+    return changes.apply_deletes(t, "users", t.users.where("id % 3 = 0").select("id"))
+
+
+def _verdicts(gone: changes.Deletion) -> DataFrame:
+    return gone.deleted.withColumn("error", F.lit(None).cast("string")).unionByName(gone.rejected)
+
+
+def _delete_zones(t: Tables) -> DataFrame:
+    """Sessions after odd zones are gone: they lose their spot, not their history."""
+    zones = t.parking_zones.where("id % 2 = 1").select("id")
+    return changes.apply_deletes(t, "parking_zones", zones).tables.parking_sessions
+
+
+def _insert_audit(t: Tables, stored) -> DataFrame:
+    when = F.lit("2024-02-10 00:00:00").cast("timestamp_ntz")
+    return audit.audit_rows("cars", "create", _insert(t, stored).accepted,
+                            ["plate_number", "model"], "user_id", when)
+
+
+def _quality(t: Tables) -> DataFrame:
+    return quality.quality_report(t, ("parking_sessions", "wallet_transactions"))
+
+
+def _violations(t: Tables, stored) -> DataFrame:
+    checked = quality.with_violations("users", batches.dirty_users(stored("customer")))
+    return checked.select("id", F.concat_ws("; ", "violations").alias("violations"))
+
+
+def _sql(text: str, **args) -> Query:
+    return lambda spark, sf_dir: shape_result(
+        sql_surface.run_sql(spark, sample_tables(spark, sf_dir), text, **args))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Revenue by day, tariff and zone."""
     return queries()["V3_revenue_analytics"](spark, SMOKE_DIR)
@@ -70,8 +176,73 @@ def queries() -> dict[str, Query]:
         "O3_car_by_plate": _report(lambda t: activity.car_by_plate(t, "P123")),
         "O4_daily_revenue": _report(lambda t: revenue.daily_revenue(t, AS_OF_30)),
         "O5_recent_top_spenders": _report(lambda t: people.recent_top_spenders(t, AS_OF_30)),
+        "U1_parking_cost": _report(_cost),
+        "U1_parking_cost_function": _sql(
+            "SELECT id, calculate_parking_cost(entry_time, exit_time, tariff_id) AS cost "
+            "FROM parking_sessions"),
+        "U2_user_balance": _report(ledger.user_balance),
+        "U3_check_entry_function": _sql(
+            "SELECT a.id, e.* FROM (SELECT id, plate_number, id % 5 AS gate_id FROM entry_logs) a, "
+            "LATERAL check_entry_allowed(a.plate_number, a.gate_id) e"),
+        "E1_entry_decisions": _job(lambda t, s: _admission(t, s).decisions),
+        "E1_entry_logs": _job(lambda t, s: _admission(t, s).entry_logs),
+        "E1_gate_rejections": _job(lambda t, s: _admission(t, s).rejected),
+        "E2_decisions_at_time": _job(lambda t, s: admission.admit(
+            t, batches.attempts(s("events")), t.wallet_transactions).decisions),
+        "E3_tariff_assignment": _report(_tariff_requests),
+        "E4_exit_results": _job(
+            lambda t, s: settlement.settle(t, batches.exits(s("events"))).results),
+        "E4_closed_sessions": _job(
+            lambda t, s: settlement.settle(t, batches.exits(s("events"))).sessions),
+        "E4_charges": _job(
+            lambda t, s: settlement.settle(t, batches.exits(s("events"))).transactions),
+        "E4_debited_wallets": _job(
+            lambda t, s: settlement.settle(t, batches.exits(s("events"))).wallets),
+        "E5_opened_sessions": _job(
+            lambda t, s: admission.open_sessions(t, _admission(t, s).decisions)[0]),
+        "E5_double_active_cars": _report(lambda t: admission.double_active(t.parking_sessions)),
+        "J1_topup_transactions": _job(
+            lambda t, s: ledger.post_topups(t, batches.topups(s("events"))).transactions),
+        "J1_topup_balances": _job(
+            lambda t, s: ledger.post_topups(t, batches.topups(s("events"))).balances),
+        "J1_topup_new_balances": _job(_new_balances),
+        "J1_topup_rejections": _job(
+            lambda t, s: ledger.post_topups(t, batches.topups(s("events"))).rejected),
+        "J2_balances": _report(lambda t: ledger.current_balances(t.wallets, t.wallet_transactions)),
+        "J3_ledger": _report(_ledger),
+        "J3_running_balances": _report(
+            lambda t: ledger.running_balances(t.wallets, t.wallet_transactions)),
+        "J4_cost_reconciliation": _report(_reconciliation),
+        "J5_import_errors": _job(lambda t, s: _import(t, s).errors),
+        "J5_import_summary": _job(lambda t, s: _import(t, s).summary),
+        "J5_imported_users": _job(lambda t, s: _import(t, s).users.join(
+            _import(t, s).cars.groupBy(F.col("user_id").alias("id")).count(), "id", "left").select(
+                "phone", "email", F.coalesce("count", F.lit(0)).alias("cars"))),
+        "J6_inserted_cars": _job(lambda t, s: _insert(t, s).accepted),
+        "J6_rejected_cars": _job(lambda t, s: _insert(t, s).rejected),
+        "J7_updated_spots": _job(lambda t, s: _update(t, s).table),
+        "J7_rejected_updates": _job(lambda t, s: _update(t, s).rejected),
+        "J8_user_delete_verdicts": _report(lambda t: _verdicts(_delete_users(t))),
+        "J8_wallets_after_user_delete": _report(
+            lambda t: _delete_users(t).tables.wallets.select("id", "user_id")),
+        "J8_sessions_after_zone_delete": _report(
+            lambda t: _delete_zones(t).select("id", "spot_id")),
+        "J9_audit_of_inserts": _job(_insert_audit),
+        "J10_defaults": _job(lambda t, s: changes.with_defaults(
+            "wallets", batches.bare_wallets(s("customer")), "2024-02-10 00:00:00")),
+        "K1_user_violations": _job(_violations),
+        "K2_duplicate_phones": _job(lambda t, s: quality.duplicate_keys(
+            batches.dirty_users(s("customer")), ["phone"])),
+        "K3_orphan_transactions": _report(lambda t: quality.orphans(
+            t, "wallet_transactions", "wallet_id", "wallets").select("id", "wallet_id")),
+        "K4_quality_report": _report(_quality),
+        "B11_sessions_by_viewer": _report(
+            lambda t: access.seen_by(t, "parking_sessions", access.viewers(t.users))),
+        "B11_logs_of_one_user": _report(lambda t: access.visible_to(t, "entry_logs", 10)),
+        "B11_operations_of_one_user": _report(
+            lambda t: access.visible_to(t, "wallet_transactions", 10)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(REPORTS)
+    return {**REPORTS, **JOBS}

@@ -25,6 +25,8 @@ STORED = {
               "value double, props string",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
                 "c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",

@@ -126,5 +126,5 @@ def over(tables: str, query: str, recursive: bool = False, more: str = "") -> st
         add(name)
     views = [f"{name} AS ({VIEWS[name]})" for name in wanted]
     if more:
-        views.append(more)
+        views.append(more.strip())
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(views) + "\n" + query
