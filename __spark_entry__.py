@@ -17,11 +17,15 @@ from lotline.operators import (access, admission, audit, changes, importer,  # n
                                ledger, quality, settlement)
 from lotline.plans import activity, occupancy, people, revenue, sql_surface  # noqa: E402
 from lotline.schemas import TABLES  # noqa: E402
-from lotline.sources import sample_batches as batches  # noqa: E402
-from lotline.sources.sample import read, sample_tables  # noqa: E402
+from lotline.sources import sample, sample_batches as batches  # noqa: E402
+from lotline.sources.sample import read, read_stream, sample_tables  # noqa: E402
 from lotline.sources.tables import Tables, shape_result  # noqa: E402
+from lotline.streaming import run, windows  # noqa: E402
+from lotline.streaming.admission import admit_stream  # noqa: E402
+from lotline.streaming.gate_flow import gate_flow  # noqa: E402
 from oracle_jobs import JOBS  # noqa: E402
 from oracle_reports import REPORTS  # noqa: E402
+from oracle_streams import STREAMS  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF_30, AS_OF_7 = "2024-02-10", "2024-01-31"
@@ -127,6 +131,30 @@ def _violations(t: Tables, stored) -> DataFrame:
     return checked.select("id", F.concat_ws("; ", "violations").alias("violations"))
 
 
+def _stream(build: Callable[[DataFrame, Tables], DataFrame], conf: dict | None = None) -> Query:
+    """A stream over the events, run to the end of its input."""
+    return lambda spark, sf_dir: shape_result(run.run_to_files(
+        build(read_stream(spark, sf_dir, "events"), sample_tables(spark, sf_dir)), conf))
+
+
+def _entries(events: DataFrame) -> DataFrame:
+    return events.select(F.col("ts").alias("entry_time"),
+                         (F.col("user_id") * 3 + F.col("event_id") % 3).alias("car_id"))
+
+
+def _repeated_reads(events: DataFrame) -> DataFrame:
+    reads = sample.entry_logs(events)
+    return windows.without_repeats(reads.unionByName(reads))
+
+
+def _streamed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run.new_folder(spark, "admission")
+    stream = batches.attempts(read_stream(spark, sf_dir, "events"))
+    admit_stream(stream, lambda: sample_tables(spark, sf_dir), f"{folder}/out",
+                 f"{folder}/state").awaitTermination()
+    return shape_result(spark.read.parquet(f"{folder}/out/decisions").drop("batch"))
+
+
 def _sql(text: str, **args) -> Query:
     return lambda spark, sf_dir: shape_result(
         sql_surface.run_sql(spark, sample_tables(spark, sf_dir), text, **args))
@@ -241,8 +269,16 @@ def queries() -> dict[str, Query]:
         "B11_logs_of_one_user": _report(lambda t: access.visible_to(t, "entry_logs", 10)),
         "B11_operations_of_one_user": _report(
             lambda t: access.visible_to(t, "wallet_transactions", 10)),
+        "X1_hourly_load_stream": _stream(lambda e, t: windows.load(_entries(e))),
+        "X1_daily_load_stream": _stream(lambda e, t: windows.load(_entries(e), "1 day")),
+        "X2_denials_stream": _stream(lambda e, t: windows.denials(sample.entry_logs(e))),
+        "X2_denial_share_stream": _stream(lambda e, t: windows.denial_share(sample.entry_logs(e))),
+        "X3_visits_stream": _stream(lambda e, t: windows.visits(sample.entry_logs(e))),
+        "X4_reads_without_repeats": _stream(lambda e, t: _repeated_reads(e)),
+        "X5_gate_flow": _stream(lambda e, t: gate_flow(t, batches.passages(e)), run.ROCKSDB),
+        "X6_streamed_admission": _streamed_admission,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**REPORTS, **JOBS}
+    return {**REPORTS, **JOBS, **STREAMS, "X6_streamed_admission": JOBS["E1_entry_decisions"]}

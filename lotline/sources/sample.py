@@ -42,6 +42,12 @@ def _created(day: str = "2023-12-01") -> Column:
     return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    return (spark.readStream.schema(STORED[name]).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1000).parquet(sf_dir))
+
+
 def users(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     return customer.select(

@@ -98,3 +98,14 @@ def import_requests(customer: DataFrame) -> DataFrame:
         F.when(key % 6 == 0, F.concat(F.lit("user"), (key * 13 % 3_001).cast("string"),
                                       F.lit("@example.com"))).alias("email"),
         F.lit("hash").alias("password_hash"), cars.alias("cars"))
+
+
+def passages(events: DataFrame) -> DataFrame:
+    """Sign-ups and errors as entries, purchases as top-ups, all else as exits."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    label = (F.when(kind.isin("signup", "error"), "entry").when(kind == "purchase", "topup")
+             .otherwise("exit"))
+    return events.select(
+        event.alias("id"), label.alias("kind"),
+        F.when(kind != "purchase", _plate(F.col("user_id"), event % 3)).alias("plate_number"),
+        F.col("ts").alias("at"), "user_id", F.col("value").cast("decimal(12,2)").alias("amount"))
