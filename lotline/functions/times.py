@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lotline.schemas import DATE_OF
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -29,15 +31,26 @@ def midnight_before(as_of, days: int) -> Column:
     return F.date_sub(as_day(as_of), days).cast("timestamp_ntz")
 
 
-def trailing(column, as_of, days: int) -> Column:
-    """Rows of the ``days`` before the start of day ``as_of``, open to the future."""
-    return F.col(column) >= midnight_before(as_of, days)
+def recent(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
+    """Rows of the ``days`` before the start of day ``as_of``, open to the future.
+
+    Where the table is stored by date, the partitions before are not even listed.
+    """
+    rows = df.where(F.col(column) >= midnight_before(as_of, days))
+    date = DATE_OF.get(column)
+    return rows.where(F.col(date) >= F.date_sub(as_day(as_of), days)) if date in df.columns else rows
+
 
+def on_days(df: DataFrame, column: str, first, last) -> DataFrame:
+    """Rows of the days ``first`` to ``last``, both included.
 
-def day_range(column, first, last) -> Column:
-    """Whole days ``first`` to ``last``, both included, as a half-open range scans can use."""
-    day = F.col(column)
-    return (day >= as_day(first).cast("timestamp_ntz")) & (day < midnight_before(last, -1))
+    A half-open range on the time itself, which scans can use, and on the partition
+    date where there is one.
+    """
+    rows = df.where((F.col(column) >= as_day(first).cast("timestamp_ntz"))
+                    & (F.col(column) < midnight_before(last, -1)))
+    date = DATE_OF.get(column)
+    return rows.where(F.col(date).between(as_day(first), as_day(last))) if date in df.columns else rows
 
 
 def utc_instant(column) -> Column:

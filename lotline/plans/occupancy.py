@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lotline.functions.money import ratio
 from lotline.functions.ranking import down, top, up
-from lotline.functions.times import elapsed_micros, trailing
+from lotline.functions.times import elapsed_micros, recent
 from lotline.plans.lookups import active, completed
 from lotline.sources.tables import Tables
 
@@ -40,7 +40,7 @@ def parking_occupancy(tables: Tables) -> DataFrame:
 
 
 def hourly_load(tables: Tables, as_of, days: int = 30) -> DataFrame:
-    return (tables.parking_sessions.where(trailing("entry_time", as_of, days))
+    return (recent(tables.parking_sessions, "entry_time", as_of, days)
             .groupBy(F.hour("entry_time").alias("hour"))
             .agg(F.count(F.lit(1)).alias("entries_count"),
                  F.count_distinct("car_id").alias("unique_cars"))
@@ -48,14 +48,14 @@ def hourly_load(tables: Tables, as_of, days: int = 30) -> DataFrame:
 
 
 def peak_hours(tables: Tables, as_of, days: int = 30) -> DataFrame:
-    return (tables.parking_sessions.where(trailing("entry_time", as_of, days))
+    return (recent(tables.parking_sessions, "entry_time", as_of, days)
             .groupBy(F.hour("entry_time").alias("hour"))
             .agg(F.count(F.lit(1)).alias("entries_count"))
             .orderBy(down("entries_count"), up("hour")))
 
 
 def busiest_days(tables: Tables, as_of, days: int = 30, limit: int = 10) -> DataFrame:
-    daily = (completed(tables).where(trailing("entry_time", as_of, days))
+    daily = (recent(completed(tables), "entry_time", as_of, days)
              .groupBy(F.to_date("entry_time").alias("date"))
              .agg(F.count(F.lit(1)).alias("entries_count"),
                   F.count_distinct("car_id").alias("unique_cars"),
@@ -69,8 +69,8 @@ def zone_usage(tables: Tables, as_of, days: int = 30) -> DataFrame:
     Session keys are unique, so counting per spot first and adding up per zone
     replaces the distinct counts.
     """
-    per_spot = (tables.parking_sessions
-                .where(trailing("entry_time", as_of, days) & F.col("spot_id").isNotNull())
+    per_spot = (recent(tables.parking_sessions, "entry_time", as_of, days)
+                .where(F.col("spot_id").isNotNull())
                 .groupBy("spot_id")
                 .agg(F.count(F.lit(1)).alias("sessions"),
                      F.count_if(F.col("status") == "active").alias("active"),
@@ -95,7 +95,7 @@ def ranked_peaks(tables: Tables, as_of, days: int = 30, limit: int = 20) -> Data
 
     Both windows see one row per hour of the period, never the sessions.
     """
-    hourly = (tables.parking_sessions.where(trailing("entry_time", as_of, days))
+    hourly = (recent(tables.parking_sessions, "entry_time", as_of, days)
               .groupBy(F.to_date("entry_time").alias("date"), F.hour("entry_time").alias("hour"))
               .agg(F.count(F.lit(1)).alias("entries_count")))
     busiest = F.desc("entries_count")

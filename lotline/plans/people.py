@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.functions.money import ratio
 from lotline.functions.ranking import down, top, up
-from lotline.functions.times import elapsed_micros, trailing
+from lotline.functions.times import elapsed_micros, recent
 from lotline.plans.lookups import active, completed, owners, spend_per_car, with_zone
+from lotline.schemas import TABLES
 from lotline.sources.tables import Tables
 
 
@@ -79,7 +80,7 @@ def top_users(tables: Tables, limit: int = 10) -> DataFrame:
 
 
 def recent_top_spenders(tables: Tables, as_of, days: int = 30, limit: int = 10) -> DataFrame:
-    recent = completed(tables).where(trailing("entry_time", as_of, days))
+    recent = recent(completed(tables), "entry_time", as_of, days)
     spend = _spend_per_user(tables, recent, "inner")
     ranked = spend.join(_user_columns(tables, "phone"), "user_id")
     return top(ranked, limit, down("spent"), up("user_id")).select(
@@ -170,15 +171,15 @@ def top_cars(tables: Tables, limit: int = 30) -> DataFrame:
 
 
 def active_sessions(tables: Tables) -> DataFrame:
-    return active(tables)
+    return active(tables).select(*TABLES["parking_sessions"].columns)
 
 
 def car_sessions(tables: Tables, car_id, as_of, days: int = 7) -> DataFrame:
     """One car's recent sessions with plate and phone, newest first."""
-    chosen = tables.parking_sessions.where(
-        (F.col("car_id") == car_id) & trailing("entry_time", as_of, days))
+    chosen = recent(tables.parking_sessions.where(F.col("car_id") == car_id),
+                    "entry_time", as_of, days)
     car = tables.cars.where(F.col("id") == car_id).select(
         F.col("id").alias("car_id"), "plate_number", "user_id")
     return (chosen.join(car, "car_id").join(_user_columns(tables, "phone"), "user_id")
-            .select(*tables.parking_sessions.columns, "plate_number", "phone")
+            .select(*TABLES["parking_sessions"].columns, "plate_number", "phone")
             .orderBy(down("entry_time"), up("id")))

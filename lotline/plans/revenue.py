@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lotline.functions.money import exact_avg, ratio
 from lotline.functions.ranking import down, up
-from lotline.functions.times import day_range, elapsed_micros, trailing
+from lotline.functions.times import elapsed_micros, on_days, recent
 from lotline.plans.lookups import completed, fits_broadcast, zone_of_spot
 from lotline.sources.tables import Tables
 
@@ -54,7 +54,7 @@ def revenue_analytics(tables: Tables, first_day=None, last_day=None) -> DataFram
     """
     sessions = completed(tables).where(F.col("total_cost").isNotNull())
     if first_day is not None:
-        sessions = sessions.where(day_range("entry_time", first_day, last_day))
+        sessions = on_days(sessions, "entry_time", first_day, last_day)
     sessions = sessions.withColumn("date", F.to_date("entry_time"))
     totals = _by_zone(tables, sessions, ("date", "tariff_id"))
     return totals.join(_tariff_names(tables), "tariff_id").select(
@@ -70,7 +70,7 @@ def revenue_report(tables: Tables, first_day, last_day) -> DataFrame:
 
 
 def revenue_by_tariff_and_zone(tables: Tables, as_of, days: int = 30) -> DataFrame:
-    sessions = completed(tables).where(trailing("entry_time", as_of, days))
+    sessions = recent(completed(tables), "entry_time", as_of, days)
     totals = _by_zone(tables, sessions, ("tariff_id",))
     return (totals.join(_tariff_names(tables), "tariff_id")
             .orderBy(down("revenue"), up("tariff_id"), up("zone_id"))
@@ -81,7 +81,7 @@ def revenue_by_tariff_and_zone(tables: Tables, as_of, days: int = 30) -> DataFra
 
 
 def revenue_by_day_and_tariff(tables: Tables, as_of, days: int = 7) -> DataFrame:
-    totals = (completed(tables).where(trailing("entry_time", as_of, days))
+    totals = (recent(completed(tables), "entry_time", as_of, days)
               .groupBy(F.to_date("entry_time").alias("date"), "tariff_id")
               .agg(F.count("id").alias("sessions_count"), F.sum("total_cost").alias("revenue")))
     return (totals.join(_tariff_names(tables), "tariff_id")
@@ -103,7 +103,7 @@ def tariff_averages(tables: Tables) -> DataFrame:
 
 
 def daily_revenue(tables: Tables, as_of, days: int = 30) -> DataFrame:
-    return (completed(tables).where(trailing("entry_time", as_of, days))
+    return (recent(completed(tables), "entry_time", as_of, days)
             .groupBy(F.to_date("entry_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("cnt"), F.sum("total_cost").alias("rev"))
             .orderBy(down("date")))
@@ -114,7 +114,7 @@ def revenue_change(tables: Tables, as_of, days: int = 30) -> DataFrame:
 
     The unpartitioned window runs over one row per day of the period.
     """
-    daily = (completed(tables).where(trailing("entry_time", as_of, days))
+    daily = (recent(completed(tables), "entry_time", as_of, days)
              .groupBy(F.to_date("entry_time").alias("date"))
              .agg(F.count(F.lit(1)).alias("sessions_count"),
                   F.sum("total_cost").alias("daily_revenue"),

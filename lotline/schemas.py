@@ -25,6 +25,10 @@ OPERATION_TYPES = ("topup", "parking_charge", "adjustment")
 ENTRY_RESULTS = ("allowed", "denied")
 AUDIT_ACTIONS = ("create", "update", "delete")
 
+# Date column a stored table is partitioned by, for each time column.
+DATE_OF = {"entry_time": "entry_date", "created_at": "created_date",
+           "attempt_time": "attempt_date"}
+
 CASCADE, SET_NULL, RESTRICT = "cascade", "set null", "restrict"
 NOW = object()  # default "time of the batch"
 
