@@ -51,7 +51,7 @@ def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: st
     probed = claiming.join(held, position, "left")
     known = probed.where("_held is not null").select(*batch.columns, _exists("_held").alias("error"))
     fresh = probed.where("_held is null").drop("_held")
-    winners = first_wins(fresh, position, "_claims").withColumn("_wins", F.lit(True))
+    winners = first_wins(fresh, position, "_claims", len(unique_keys) == 1).withColumn("_wins", F.lit(True))
     judged = fresh.drop("_claims").join(winners, position, "left")
     accepted = judged.where("_wins").select(*batch.columns)
     repeated = judged.where("_wins is null").select(
@@ -117,7 +117,7 @@ def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key:
     failed = found.where("error is not null").select(key, "error")
     good = found.where("error is null")
     if unique_keys:
-        winners = first_wins(good, key, "_claims").withColumn("_wins", F.lit(True))
+        winners = first_wins(good, key, "_claims", len(unique_keys) == 1).withColumn("_wins", F.lit(True))
         good = good.join(winners, key, "left")
         failed = failed.unionByName(good.where("_wins is null").select(
             key, F.lit("repeats an earlier row of the batch").alias("error")))

@@ -39,7 +39,7 @@ def held_claims(rows: DataFrame, position: str, claims: str, held: DataFrame) ->
             .groupBy(position).agg(F.min("_key").alias("_held")))
 
 
-def first_wins(rows: DataFrame, position: str, claims: str) -> DataFrame:
+def first_wins(rows: DataFrame, position: str, claims: str, single: bool = False) -> DataFrame:
     """Positions of the rows accepted when rows are taken in order of ``position``.
 
     Each row claims the keys in its array ``claims`` and is accepted if no accepted
@@ -47,8 +47,14 @@ def first_wins(rows: DataFrame, position: str, claims: str) -> DataFrame:
     keys nobody else claims are accepted at once. In the rest, every round accepts
     the rows that come first on all their keys and drops the rows that share a key
     with them. Rounds only look at one row per key, so a key claimed by a large share
-    of all rows is decided by one aggregate.
+    of all rows is decided by one aggregate. With ``single``, no row claims more than
+    one key, and the first row of each key is the answer.
     """
+    if single:
+        key = F.get(claims, 0)
+        firsts = (rows.where(F.size(claims) > 0).groupBy(key.alias("_key"))
+                  .agg(F.min(position).alias(position)).select(position))
+        return rows.where(F.size(claims) == 0).select(position).unionByName(firsts)
     pairs = rows.select(F.col(position).alias("_row"),
                         F.explode(F.array_distinct(claims)).alias("_key"))
     contested = (pairs.groupBy("_key").agg(F.min("_row").alias("_a"), F.max("_row").alias("_b"))

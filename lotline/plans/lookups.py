@@ -16,12 +16,19 @@ def _bytes(text: str) -> int:
     return int(number) * _UNITS[text[len(number):] or "b"]
 
 
-def fits_broadcast(*frames: DataFrame) -> bool:
-    """Whether the optimizer's size of every frame is within the broadcast threshold."""
+def fits_broadcast(*frames: DataFrame, rows: int = 50_000) -> bool:
+    """Whether every frame may be broadcast under the session's threshold.
+
+    The optimizer's size decides where it is small enough. It multiplies the sides of
+    a join, so a frame it finds too large is counted: ``rows`` rows of a key and a
+    name stay within the default threshold.
+    """
     limit = _bytes(frames[0].sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return limit >= 0 and all(
-        int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
-        for f in frames)
+    return limit >= 0 and all(_estimate(f) <= limit or f.count() <= rows for f in frames)
+
+
+def _estimate(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def zone_of_spot(tables: Tables) -> DataFrame:

@@ -80,8 +80,8 @@ def top_users(tables: Tables, limit: int = 10) -> DataFrame:
 
 
 def recent_top_spenders(tables: Tables, as_of, days: int = 30, limit: int = 10) -> DataFrame:
-    recent = recent(completed(tables), "entry_time", as_of, days)
-    spend = _spend_per_user(tables, recent, "inner")
+    sessions = recent(completed(tables), "entry_time", as_of, days)
+    spend = _spend_per_user(tables, sessions, "inner")
     ranked = spend.join(_user_columns(tables, "phone"), "user_id")
     return top(ranked, limit, down("spent"), up("user_id")).select(
         "phone", F.col("sessions").alias("count"), "spent")

@@ -56,9 +56,10 @@ class GateFlow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "id"])
-        state = self.wallet.get() if self.wallet.exists() else (False, False, 0, -(1 << 62))
+        state = self.wallet.get() or (False, False, 0, -(1 << 62))
         self.funded, self.blocked, self.balance, self.seen = state
         stacks, out = {}, []
+        self.stored = set()
         for p in batch.itertuples(index=False):
             done, message, session, cents = self._pass(p, stacks)
             out.append((key[0], p.id, p.car_id, p.kind, p.at, done, message, session, cents,
@@ -66,7 +67,7 @@ class GateFlow(StatefulProcessor):
         for car, stack in stacks.items():
             if stack:
                 self.open.updateValue((car,), tuple(list(c) for c in zip(*stack)))
-            elif self.open.containsKey((car,)):
+            elif car in self.stored:
                 self.open.removeKey((car,))
         self.wallet.update((self.funded, self.blocked, self.balance, self.seen))
         result = pd.DataFrame(out, columns=OUT)
@@ -76,7 +77,9 @@ class GateFlow(StatefulProcessor):
 
     def _stack(self, car: str, stacks: dict) -> list:
         if car not in stacks:
-            held = self.open.getValue((car,)) if self.open.containsKey((car,)) else None
+            held = self.open.getValue((car,))
+            if held is not None:
+                self.stored.add(car)
             stacks[car] = [] if held is None else list(zip(*[list(c) for c in held]))
         return stacks[car]
 
