@@ -10,14 +10,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import functions as F, types as T  # noqa: E402
 
 from lotline.functions.money import billable_minutes, parking_cost  # noqa: E402
 from lotline.operators import (access, admission, audit, changes, importer,  # noqa: E402
                                ledger, quality, settlement)
 from lotline.plans import activity, occupancy, people, revenue, sql_surface  # noqa: E402
 from lotline.schemas import TABLES  # noqa: E402
-from lotline.sources import sample, sample_batches as batches  # noqa: E402
+from lotline.sources import sample, sample_batches as batches, sinks  # noqa: E402
 from lotline.sources.sample import read, read_stream, sample_tables  # noqa: E402
 from lotline.sources.tables import Tables, shape_result  # noqa: E402
 from lotline.streaming import run, windows  # noqa: E402
@@ -131,6 +131,20 @@ def _violations(t: Tables, stored) -> DataFrame:
     return checked.select("id", F.concat_ws("; ", "violations").alias("violations"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Tables:
+    """Sessions and tariffs written in the storage layout and read back."""
+    t, folder = sample_tables(spark, sf_dir), run.new_folder(spark, "stored")
+    sinks.publish(Tables(parking_sessions=t.parking_sessions, tariffs=t.tariffs), folder, 1)
+    return sinks.load_latest(spark, folder, key_type=T.LongType())
+
+
+def _exit_requests(stored) -> DataFrame:
+    """Exits at five gates, of which two are for exit, with some unknown plates."""
+    return batches.attempts(stored("events")).select(
+        "id", F.when(F.col("id") % 7 != 0, F.col("plate_number")).otherwise("none")
+        .alias("plate_number"), "gate_id", F.col("attempt_time").alias("exit_time"))
+
+
 def _stream(build: Callable[[DataFrame, Tables], DataFrame], conf: dict | None = None) -> Query:
     """A stream over the events, run to the end of its input."""
     return lambda spark, sf_dir: shape_result(run.run_to_files(
@@ -218,6 +232,20 @@ def queries() -> dict[str, Query]:
         "E2_decisions_at_time": _job(lambda t, s: admission.admit(
             t, batches.attempts(s("events")), t.wallet_transactions).decisions),
         "E3_tariff_assignment": _report(_tariff_requests),
+        "A2_rows_of_keys": _report(lambda t: t.where_keys(
+            "parking_sessions", t.cars.where("not is_active").select("id"), "car_id")),
+        "A4_occupancy_view": _sql("SELECT * FROM parking_occupancy"),
+        "A4_revenue_view": _sql(
+            "SELECT date, sum(total_revenue) AS revenue FROM revenue_analytics "
+            "WHERE date BETWEEN :first AND :last GROUP BY date",
+            first="2024-01-11", last="2024-01-25"),
+        "A8_revenue_of_stored_tables": lambda spark, sf_dir: shape_result(
+            revenue.revenue_by_day_and_tariff(_stored(spark, sf_dir), AS_OF_7)),
+        "C12_insert_ignore": _job(lambda t, s: changes.insert_ignore(
+            t.cars, batches.new_cars(s("orders")), ["plate_number"]).select("plate_number")),
+        "U6_wallets_of_new_users": _report(lambda t: importer.wallets_of_new_users(t.users)),
+        "E4_known_exits": _job(lambda t, s: settlement.resolve_exits(t, _exit_requests(s))[0]),
+        "E4_refused_exits": _job(lambda t, s: settlement.resolve_exits(t, _exit_requests(s))[1]),
         "E4_exit_results": _job(
             lambda t, s: settlement.settle(t, batches.exits(s("events"))).results),
         "E4_closed_sessions": _job(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.functions.keys import derived_key
 from lotline.functions.money import money_text
-from lotline.operators.ledger import balances_at
+from lotline.operators.ledger import moved_until
 from lotline.schemas import ENTRY_MINIMUM
 from lotline.sources.tables import Tables
 
@@ -81,12 +81,9 @@ def admit(tables: Tables, attempts: DataFrame, at_balance_of: DataFrame | None =
     asked, rejected = check_gates(tables, attempts, "entry")
     profiled = asked.join(entry_profiles(tables), "plate_number", "left")
     if at_balance_of is not None:
-        moments = profiled.where(F.col("wallet_id").isNotNull()).select(
-            F.col("id").alias("moment_id"), "wallet_id", F.col("attempt_time").alias("moment"))
-        then = balances_at(tables.wallets, at_balance_of, moments)
-        then = then.select(F.col("moment_id").alias("id"), F.col("balance").alias("_then"))
-        profiled = (profiled.join(then, "id", "left").drop("balance")
-                    .withColumnRenamed("_then", "balance"))
+        profiled = moved_until(at_balance_of, profiled, "attempt_time")
+        profiled = profiled.withColumn("balance", (F.col("balance") + F.col("moved"))
+                                       .cast("decimal(22,2)"))
     decisions = decide(profiled)
     logs = decisions.select(
         derived_key("entry_log", "id").alias("id"), "plate_number", "gate_id", "attempt_time",

@@ -67,25 +67,32 @@ def running_balances(wallets: DataFrame, transactions: DataFrame) -> DataFrame:
         (F.col("_opening") + F.col("_moved")).cast("decimal(22,2)").alias("balance_after"))
 
 
-def balances_at(wallets: DataFrame, transactions: DataFrame, moments: DataFrame) -> DataFrame:
-    """Balance of a wallet at given moments, operations of the same instant included.
+def moved_until(transactions: DataFrame, moments: DataFrame, at: str) -> DataFrame:
+    """Adds ``moved`` to rows with a ``wallet_id``: what the wallet's operations sum up to
+    by the time in column ``at``, operations of the same instant included.
 
-    ``moments`` has ``moment_id``, ``wallet_id`` and ``moment``. Moments join the
-    operations as rows that move nothing, so one running total answers them all.
+    The rows join the operations as rows that move nothing, so one running total
+    answers them all and nothing has to be joined back.
     """
     zero = F.lit(0).cast(AMOUNT)
     moves = transactions.select("wallet_id", F.col("created_at").alias("_at"),
                                 F.lit(0).alias("_kind"), F.col("amount").alias("_amount"))
-    asked = moments.select("wallet_id", F.col("moment").alias("_at"), F.lit(1).alias("_kind"),
-                           zero.alias("_amount"), "moment_id")
-    line = moves.unionByName(asked, allowMissingColumns=True)
-    # Ties of equal kind need no further order: moments add nothing, and every
-    # operation of the instant precedes the moments.
+    asked = moments.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"),
+                           zero.alias("_amount"))
+    line = asked.unionByName(moves, allowMissingColumns=True)
+    # Ties of one kind need no further order: the asking rows add nothing, and all
+    # operations of the instant come before them.
     line = running_total(line, ["wallet_id"], "_at", ["_kind"], "_amount", "_moved")
+    return line.where(F.col("_kind") == 1).select(*moments.columns, F.col("_moved").alias("moved"))
+
+
+def balances_at(wallets: DataFrame, transactions: DataFrame, moments: DataFrame,
+                at: str = "moment") -> DataFrame:
+    """Adds ``balance_then``: the stored balance as opening plus what moved until then."""
     opening = wallets.select(F.col("id").alias("wallet_id"), F.col("balance").alias("_opening"))
-    return (line.where(F.col("_kind") == 1).join(opening, "wallet_id")
-            .select("moment_id", "wallet_id",
-                    (F.col("_opening") + F.col("_moved")).cast("decimal(22,2)").alias("balance")))
+    return (moved_until(transactions, moments, at).join(opening, "wallet_id")
+            .withColumn("balance_then", (F.col("_opening") + F.col("moved")).cast("decimal(22,2)"))
+            .drop("_opening", "moved"))
 
 
 @dataclass

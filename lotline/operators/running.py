@@ -9,31 +9,34 @@ from lotline.functions.times import EPOCH, elapsed_micros
 HOUR_MICROS = 3_600_000_000
 
 
-def hour_block(column) -> Column:
-    """Whole hours since the epoch: the block a row's time falls in."""
-    return F.floor(elapsed_micros(F.expr(EPOCH), column) / F.lit(HOUR_MICROS))
+def time_block(column, micros: int = HOUR_MICROS) -> Column:
+    """Number of the stretch of time, since the epoch, that a row falls in."""
+    return F.floor(elapsed_micros(F.expr(EPOCH), column) / F.lit(micros))
 
 
 def running_total(df: DataFrame, key: list[str], time: str, tie: list[str], value: str,
-                  out: str, descending: bool = False) -> DataFrame:
+                  out: str, descending: bool = False,
+                  block_micros: int = HOUR_MICROS) -> DataFrame:
     """Adds ``out``: the sum of ``value`` per key up to and including each row in time order.
 
     A window over the key alone would bring a key's whole history to one task. Here
     the history is cut into hours: hours are totalled map-side first, one short
     window adds them up, and each row adds the total of the earlier hours to the
-    running total within its own. ``tie`` orders rows of one instant.
+    running total within its own. ``tie`` orders rows of one instant. Rows without a
+    key pass through; what they get is not defined. Where one key holds more than a
+    task should sort per hour, ``block_micros`` cuts finer.
     """
-    block = -hour_block(time) if descending else hour_block(time)
+    block = time_block(time, block_micros)
+    block = -block if descending else block
     arrow = F.desc if descending else F.asc
     rows = df.withColumn("_block", block)
     hours = rows.groupBy(*key, "_block").agg(F.sum(value).alias("_hour_total"))
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select(*key, "_block", F.coalesce(F.sum("_hour_total").over(earlier),
-                                                    F.lit(0)).alias("_before"))
+    hours = hours.select(*key, "_block", F.sum("_hour_total").over(earlier).alias("_before"))
     within = (Window.partitionBy(*key, "_block").orderBy(arrow(time), *[arrow(t) for t in tie])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.join(hours, [*key, "_block"])
-            .withColumn(out, F.col("_before") + F.sum(value).over(within))
+    return (rows.join(hours, [*key, "_block"], "left")
+            .withColumn(out, F.coalesce("_before", F.lit(0)) + F.sum(value).over(within))
             .drop("_block", "_before"))
 
 

@@ -7,15 +7,18 @@ stack of open sessions. Each passage yields one outcome.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lotline.functions.times import EPOCH, elapsed_micros
 from lotline.operators.admission import (ALLOWED, BLOCKED, NO_CAR, NO_WALLET, assign_tariffs)
-from lotline.operators.settlement import (BEFORE_ENTRY, BELOW_FLOOR, NO_SESSION, WITHOUT_WALLET)
+from lotline.operators.settlement import BELOW_FLOOR, NO_SESSION, WITHOUT_WALLET
 from lotline.schemas import ENTRY_MINIMUM, FLOOR_BALANCE
 from lotline.sources.tables import Tables
 
@@ -38,6 +41,20 @@ def cost_cents(entry_us: int, exit_us: int, price_cents: int, free: int) -> int:
     return (n + 30) // 60 - (1 if n % 60 == 30 and minutes % 3 == 2 else 0)
 
 
+class Passage(NamedTuple):
+    """What the flow reads of a passage."""
+
+    id: str
+    car_id: str
+    kind: str
+    at: pd.Timestamp
+    at_us: int
+    is_active: bool
+    price_cents: int
+    free_minutes: int
+    amount_cents: int
+
+
 class GateFlow(StatefulProcessor):
     """State of one user: wallet, last time seen, open sessions per car."""
 
@@ -55,12 +72,14 @@ class GateFlow(StatefulProcessor):
                             int(row["balance_cents"]) if funded else 0, -(1 << 62)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "id"])
+        passages = sorted((Passage(*row) for frame in rows
+                           for row in zip(*(frame[c].tolist() for c in Passage._fields))),
+                          key=lambda p: (p.at_us, p.id))
         state = self.wallet.get() or (False, False, 0, -(1 << 62))
         self.funded, self.blocked, self.balance, self.seen = state
         stacks, out = {}, []
         self.stored = set()
-        for p in batch.itertuples(index=False):
+        for p in passages:
             done, message, session, cents = self._pass(p, stacks)
             out.append((key[0], p.id, p.car_id, p.kind, p.at, done, message, session, cents,
                         self.balance if self.funded else None))
@@ -116,15 +135,13 @@ class GateFlow(StatefulProcessor):
         stack = self._stack(p.car_id, stacks)
         if not stack:
             return False, NO_SESSION, None, None
-        top = max(range(len(stack)), key=lambda i: (stack[i][1], i))
-        session, entered, price, free = stack[top]
+        session, entered, price, free = stack[-1]  # passages come in order, so the latest is last
         cents = cost_cents(entered, int(p.at_us), price, free)
         for refused, message in ((not self.funded, WITHOUT_WALLET),
-                                 (p.at_us < entered, BEFORE_ENTRY),
                                  (self.balance - cents < FLOOR_CENTS, BELOW_FLOOR)):
             if refused:
                 return False, message, session, None
-        stack.pop(top)
+        stack.pop()
         self.balance -= cents
         return True, "Exit processed", session, cents
 
@@ -169,6 +186,8 @@ def gate_flow(tables: Tables, passages: DataFrame) -> DataFrame:
     the source's limit on files per trigger bounds it. A passage older than one
     already taken for its user is reported as late and changes nothing.
     """
+    # Workers get the processor itself, so they need not have this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     full = enrich(tables, passages)
     known = full.where(F.col("user_id").isNotNull())
     nobody = full.where(F.col("user_id").isNull()).select(

@@ -1,5 +1,6 @@
 """DuckDB SQL of the rules and batch jobs."""
 
+from oracle_reports import REPORTS
 from oracle_views import cents, minutes, money, over
 
 ATTEMPTS = """attempts AS (
@@ -211,7 +212,37 @@ def quality_sql() -> str:
                 "\nUNION ALL\n".join(parts))
 
 
+EXIT_REQUESTS = """asked AS (
+    SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 THEN concat('P', user_id * 3 + event_id % 3)
+                                ELSE 'none' END AS plate_number,
+           event_id % 5 AS gate_id, ts AS exit_time FROM events),
+checked AS (
+    SELECT a.*, c.id AS car_id,
+           CASE WHEN g.id IS NULL THEN 'Gate not found' WHEN g.type <> 'exit' THEN 'Gate is not an exit gate'
+                WHEN c.id IS NULL THEN 'Car not found' END AS error
+    FROM asked a LEFT JOIN gates g ON g.id = a.gate_id LEFT JOIN cars c ON c.plate_number = a.plate_number)"""
+
 JOBS = {
+    "A2_rows_of_keys": over("parking_sessions cars", """
+SELECT id, car_id, spot_id, tariff_id, entry_time, exit_time, CAST(total_cost AS DOUBLE) AS total_cost, status
+FROM parking_sessions WHERE car_id IN (SELECT id FROM cars WHERE NOT is_active)"""),
+    "A4_occupancy_view": REPORTS["V1_parking_occupancy"],
+    "A4_revenue_view": over("parking_sessions", """
+SELECT CAST(CAST(entry_time AS DATE) AS VARCHAR) AS date, CAST(sum(total_cost) AS DOUBLE) AS revenue
+FROM parking_sessions WHERE status = 'completed'
+  AND CAST(entry_time AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-25' GROUP BY 1"""),
+    "A8_revenue_of_stored_tables": REPORTS["Q04_revenue_by_day_and_tariff"],
+    "C12_insert_ignore": over("cars", """
+SELECT DISTINCT concat('P', o_orderkey * 7 % 50021) AS plate_number FROM orders
+WHERE concat('P', o_orderkey * 7 % 50021) NOT IN (SELECT plate_number FROM cars)"""),
+    "U6_wallets_of_new_users": over("users", f"""
+SELECT {UUID} AS id, user_id, CAST(0 AS DOUBLE) AS balance, 'RUB' AS currency, created_at AS updated_at
+FROM (SELECT id AS user_id, created_at, md5(concat('wallet|', id)) AS h FROM users) u"""),
+    "E4_known_exits": over("gates cars", "SELECT id, car_id, exit_time FROM checked WHERE error IS NULL",
+                           more=EXIT_REQUESTS),
+    "E4_refused_exits": over("gates cars", """
+SELECT id, plate_number, gate_id, exit_time, error FROM checked WHERE error IS NOT NULL""",
+        more=EXIT_REQUESTS),
     "U1_parking_cost": over("parking_sessions tariffs", f"""
 SELECT s.id, {minutes('s.entry_time', 's.exit_time', 't.free_minutes')} AS billable_minutes,
        CAST({money(cents('s.entry_time', 's.exit_time', 't.price_per_hour', 't.free_minutes'))} AS DOUBLE) AS cost

@@ -117,6 +117,10 @@ def test_balance_at_the_time_of_the_attempt(spark):
         "id string, plate_number string, gate_id string, attempt_time timestamp_ntz")
     done = admission.admit(t, attempts, operations)
     assert by_id(done.decisions, "allowed") == {"a0": True, "a1": False, "a2": True}
+    moments = spark.createDataFrame([("m1", "w1", at(1)), ("m2", "w1", at(0)), ("m3", "w2", at(9))],
+                                    "id string, wallet_id string, moment timestamp_ntz")
+    assert by_id(ledger.balances_at(t.wallets, operations, moments), "balance_then") == {
+        "m1": money(49), "m2": money(50), "m3": money(900)}
 
 
 def test_tariff_specificity(spark):
