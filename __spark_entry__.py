@@ -91,6 +91,13 @@ def _import(t: Tables, stored) -> importer.Import:
                                  "2024-02-10 00:00:00")
 
 
+def _imported_users(t: Tables, stored) -> DataFrame:
+    done = _import(t, stored)
+    owned = done.cars.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return done.users.join(owned, "id", "left").select(
+        "phone", "email", F.coalesce("n", F.lit(0)).alias("cars"))
+
+
 def _insert(t: Tables, stored) -> changes.Change:
     return changes.apply_inserts(t.cars, batches.new_cars(stored("orders")), TABLES["cars"].unique)
 
@@ -271,9 +278,7 @@ def queries() -> dict[str, Query]:
         "J4_cost_reconciliation": _report(_reconciliation),
         "J5_import_errors": _job(lambda t, s: _import(t, s).errors),
         "J5_import_summary": _job(lambda t, s: _import(t, s).summary),
-        "J5_imported_users": _job(lambda t, s: _import(t, s).users.join(
-            _import(t, s).cars.groupBy(F.col("user_id").alias("id")).count(), "id", "left").select(
-                "phone", "email", F.coalesce("count", F.lit(0)).alias("cars"))),
+        "J5_imported_users": _job(_imported_users),
         "J6_inserted_cars": _job(lambda t, s: _insert(t, s).accepted),
         "J6_rejected_cars": _job(lambda t, s: _insert(t, s).rejected),
         "J7_updated_spots": _job(lambda t, s: _update(t, s).table),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lotline.functions.keys import derived_key
 from lotline.functions.money import money_text
 from lotline.operators.ledger import moved_until
+from lotline.operators.spread import join_totals
 from lotline.schemas import ENTRY_MINIMUM
 from lotline.sources.tables import Tables
 
@@ -85,10 +86,14 @@ def admit(tables: Tables, attempts: DataFrame, at_balance_of: DataFrame | None =
         profiled = profiled.withColumn("balance", (F.col("balance") + F.col("moved"))
                                        .cast("decimal(22,2)"))
     decisions = decide(profiled)
-    logs = decisions.select(
+    return Admission(decisions, entry_log_rows(decisions), rejected)
+
+
+def entry_log_rows(decisions: DataFrame) -> DataFrame:
+    """The log row of every decided attempt."""
+    return decisions.select(
         derived_key("entry_log", "id").alias("id"), "plate_number", "gate_id", "attempt_time",
         F.when(F.col("allowed"), "allowed").otherwise("denied").alias("result"), "reason")
-    return Admission(decisions, logs, rejected)
 
 
 def assign_tariffs(tables: Tables, requests: DataFrame) -> DataFrame:
@@ -114,9 +119,9 @@ def assign_tariffs(tables: Tables, requests: DataFrame) -> DataFrame:
     by_level = best(granted.where(zone.isNull()), "_level", "user_id")
     by_zone = best(general.where(zone.isNotNull()), "_zone", "zone_id")
     for_all = general.where(zone.isNull()).agg(F.min("_choice").alias("_all")).scalar()
-    matched = (requests.join(by_both, ["user_id", "zone_id"], "left")
-               .join(by_level, "user_id", "left").join(by_zone, "zone_id", "left")
-               .withColumn("_all", for_all))
+    matched = join_totals(requests, by_both, ["user_id", "zone_id"])
+    matched = join_totals(matched, by_level, ["user_id"])
+    matched = join_totals(matched, by_zone, ["zone_id"]).withColumn("_all", for_all)
     ranked = (("_both", "level and zone"), ("_level", "level"), ("_zone", "zone"), ("_all", "all"))
     chosen = F.coalesce(*[F.col(c) for c, _ in ranked])
     label = F.coalesce(*[F.when(F.col(c).isNotNull(), text) for c, text in ranked])

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotline.operators.spread import join_totals
 from lotline.session import cut_lineage
 
 
@@ -60,18 +61,19 @@ def first_wins(rows: DataFrame, position: str, claims: str, single: bool = False
     contested = (pairs.groupBy("_key").agg(F.min("_row").alias("_a"), F.max("_row").alias("_b"))
                  .where("_a <> _b").select("_key"))
     undecided = cut_lineage(
-        pairs.join(pairs.join(contested, "_key", "left_semi").select("_row").distinct(),
+        pairs.join(join_totals(pairs, contested, ["_key"], "left_semi").select("_row").distinct(),
                    "_row", "left_semi"))
     accepted = [rows.select(F.col(position).alias("_row"))
                 .join(undecided.select("_row"), "_row", "left_anti")]
     while not undecided.isEmpty():
         first = undecided.groupBy("_key").agg(F.min("_row").alias("_first"))
-        winners = (undecided.join(first, "_key")
+        winners = (join_totals(undecided, first, ["_key"], "inner")
                    .groupBy("_row").agg(F.bool_and(F.col("_row") == F.col("_first")).alias("_wins"))
                    .where("_wins").select("_row"))
         winners = cut_lineage(winners)
         taken = undecided.join(winners, "_row", "left_semi").select("_key")
-        decided = undecided.join(taken, "_key", "left_semi").select("_row").distinct()
+        decided = (join_totals(undecided, taken, ["_key"], "left_semi")
+                   .select("_row").distinct())
         accepted.append(winners)
         undecided = cut_lineage(undecided.join(decided, "_row", "left_anti"))
     return reduce(DataFrame.unionByName, accepted).withColumnRenamed("_row", position)

@@ -11,6 +11,7 @@ from lotline.operators.first_wins import (claim, claimed_columns, claims_of, fir
                                           held_claims)
 from lotline.operators.quality import row_rules
 from lotline.schemas import DEFAULT_CURRENCY, IMPORT_PAYLOAD, TABLES
+from lotline.session import cut_lineage
 from lotline.sources.tables import Tables
 
 # Fixed value: the error text of every broken constraint.
@@ -90,9 +91,9 @@ def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
     probed = probed.withColumn("_problem", _problem())
     real = probed.where(F.col("_problem").isNull() & ~F.col("dry_run"))
     wins = first_wins(real, "_at", "_claims").withColumn("_wins", F.lit(True))
-    judged = probed.join(wins, "_at", "left").withColumn("_problem", F.coalesce(
+    judged = cut_lineage(probed.join(wins, "_at", "left").withColumn("_problem", F.coalesce(
         "_problem", F.when(~F.col("dry_run") & F.col("_wins").isNull(),
-                           "repeats an earlier entry")))
+                           "repeats an earlier entry"))))
     stored = judged.where(F.col("_problem").isNull() & ~F.col("dry_run")).withColumn(
         "user_id", derived_key("user", "phone"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotline.operators.spread import join_totals
 from lotline.schemas import TABLES, TableSpec
 from lotline.sources.tables import Tables
 
@@ -51,7 +52,7 @@ def orphans(tables: Tables, table: str, column: str, parent: str) -> DataFrame:
     child = getattr(tables, table).where(F.col(column).isNotNull())
     parents = getattr(tables, parent).select(F.col("id").alias(column))
     dangling = child.select(column).distinct().join(parents, column, "left_anti")
-    return child.join(dangling, column, "left_semi")
+    return join_totals(child, dangling, [column], "left_semi")
 
 
 def _reference_counts(tables: Tables, table: str, column: str, parent: str) -> DataFrame:

@@ -26,6 +26,7 @@ from lotline.functions.keys import derived_key
 from lotline.functions.money import money_text, parking_cost
 from lotline.operators.admission import check_gates
 from lotline.operators.running import running_rank, running_total
+from lotline.operators.spread import join_totals
 from lotline.schemas import FLOOR_BALANCE
 from lotline.session import cut_lineage
 from lotline.sources.tables import Tables
@@ -76,7 +77,7 @@ def match_exits(tables: Tables, exits: DataFrame) -> DataFrame:
               .join(exits.select("car_id"), "car_id", "left_semi"))
     latest = active.groupBy("car_id").agg(F.max("entry_time").alias("_latest"))
     asked = (exits.select(F.col("id").alias("exit_id"), "car_id", "exit_time")
-             .join(latest, "car_id", "left"))
+             .transform(lambda rows: join_totals(rows, latest, ["car_id"])))
     timely = F.coalesce(F.col("exit_time") >= F.col("_latest"), F.lit(False))
     in_time = running_rank(asked.where(timely), ["car_id"], "exit_time", ["exit_id"], "turn")
     early = asked.where(~timely).withColumn("turn", F.lit(0).cast("bigint"))
@@ -104,7 +105,7 @@ def settle(tables: Tables, exits: DataFrame, fold_rows: int = FOLD_ROWS) -> Sett
     blocked = (F.col("session_id").isNotNull() & (F.col("turn") > 0)
                & (~F.col("_priced") | F.col("wallet_id").isNull()))
     blocks = (matched.where(blocked).groupBy("car_id").agg(F.min("turn").alias("_blocked_from")))
-    staged = matched.join(blocks, "car_id", "left").withColumn(
+    staged = join_totals(matched, blocks, ["car_id"]).withColumn(
         "_payable", (F.col("turn") > 0) & F.col("session_id").isNotNull()
         & (F.col("_blocked_from").isNull() | (F.col("turn") < F.col("_blocked_from"))))
     due = staged.where("_payable").select(
@@ -122,7 +123,7 @@ def settle(tables: Tables, exits: DataFrame, fold_rows: int = FOLD_ROWS) -> Sett
              .agg(F.min_by(F.struct(F.col("turn"), F.col("session_id"), F.col("_priced"),
                                     F.col("wallet_id").isNotNull().alias("_funded")), "turn")
                   .alias("_stuck")))
-    outcome = cut_lineage(outcome.join(stuck, "car_id", "left"))
+    outcome = cut_lineage(join_totals(outcome, stuck, ["car_id"]))
     return _publish(tables, outcome)
 
 
@@ -184,7 +185,7 @@ def pay(due: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Keys of the exits (exit_id, car_id, wallet_id, exit_time, turn, cents, room) that are paid."""
     per_wallet = due.groupBy("wallet_id").agg(
         F.sum("cents").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    sized = due.join(per_wallet, "wallet_id")
+    sized = join_totals(due, per_wallet, ["wallet_id"], "inner")
     enough = F.col("_all") <= F.col("room")
     short = sized.where(~enough & (F.col("_rows") <= fold_rows))
     long = sized.where(~enough & (F.col("_rows") > fold_rows)).drop("_all", "_rows")
@@ -234,7 +235,7 @@ def pay_in_phases(due: DataFrame) -> DataFrame:
         ahead = open_rows.groupBy("wallet_id", "car_id").agg(
             F.min(F.when(F.col("cents") > F.col("room"), F.col("turn"))).alias("_stuck_from"),
             F.max("turn").alias("_last"))
-        alive = (open_rows.join(ahead, ["wallet_id", "car_id"])
+        alive = (join_totals(open_rows, ahead, ["wallet_id", "car_id"], "inner")
                  .where(F.col("_stuck_from").isNull() | (F.col("turn") < F.col("_stuck_from")))
                  .withColumn("_more", F.col("turn") < F.least(
                      F.col("_last"), F.coalesce(F.col("_stuck_from") - 1, F.col("_last"))))
@@ -257,7 +258,7 @@ def pay_in_phases(due: DataFrame) -> DataFrame:
                      (~F.col("_pays")).alias("failed"),
                      (F.col("_sum") + F.when(F.col("_pays") & ~F.col("_small"), F.col("cents"))
                       .otherwise(zero)).alias("spent")), "_order").alias("_stop")))
-        stopped = walked.join(stops, "wallet_id", "left")
+        stopped = join_totals(walked, stops, ["wallet_id"])
         stop = F.col("_stop")
         done = stop.isNull() | (F.col("_order") <= stop.getField("at"))
         paid.append(stopped.where(done & F.col("_pays")).select("exit_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from lotline.operators.admission import admit
+from lotline.operators.admission import admit, entry_log_rows
 from lotline.sources.tables import Tables
 
 
@@ -17,9 +17,11 @@ def admit_stream(attempts: DataFrame, tables: Callable[[], Tables], path: str, s
     its own that a repeated batch overwrites, so each attempt is decided once.
     """
     def decide_batch(batch: DataFrame, number: int) -> None:
-        done = admit(tables(), batch)
-        done.decisions.write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
-        done.entry_logs.write.mode("overwrite").parquet(f"{path}/entry_logs/batch={number}")
+        done = admit(tables(), batch).decisions
+        folder = f"{path}/decisions/batch={number}"
+        done.write.mode("overwrite").parquet(folder)
+        stored = batch.sparkSession.read.schema(done.schema).parquet(folder)
+        entry_log_rows(stored).write.mode("overwrite").parquet(f"{path}/entry_logs/batch={number}")
 
     return (attempts.writeStream.foreachBatch(decide_batch).option("checkpointLocation", state)
             .trigger(availableNow=True).start())

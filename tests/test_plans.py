@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotline.operators.running import running_total
+from lotline.operators.spread import join_totals
 from lotline.plans import activity, occupancy, people, revenue
 from lotline.schemas import TABLES
 from lotline.sources import datagen, sinks
 from lotline.sources.tables import Tables
+from lotline.streaming.run import settings
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +108,34 @@ def test_average_is_a_subquery_not_a_join(stored):
 def test_declared_columns_only(stored):
     assert people.active_sessions(stored).columns == list(TABLES["parking_sessions"].columns)
     assert stored.parking_sessions.where(F.col("status") == "active").count() > 0
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+def test_hot_keys_are_split(spark, tmp_path):
+    """One car with a third of all rows: the joins stay splittable at run time."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000)
+    spark.range(0, 60_000, 1, 16).select("id", hot.alias("k"), F.rand(1).alias("v")).write.parquet(
+        str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    totals = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    with settings(spark, SKEW):
+        spread = join_totals(rows, totals, ["k"], "inner")
+        assert spread.where("n > 10000").count() == rows.where("k = 7").count() > 20_000
+        spread.collect()
+        assert "skew=true" in plan(spread)
+        plain = rows.join(totals, "k")
+        plain.collect()
+        assert "skew=true" not in plan(plain)
+        with_users = rows.join(spark.range(5000).withColumnRenamed("id", "k"), "k", "left")
+        with_users.collect()
+        assert "skew=true" in plan(with_users)
