@@ -113,7 +113,7 @@ def settle(tables: Tables, exits: DataFrame, fold_rows: int = FOLD_ROWS) -> Sett
         (F.col("cost") * 100).cast("bigint").alias("cents"),
         ((F.col("balance") - F.lit(FLOOR_BALANCE).cast("decimal(12,2)")) * 100)
         .cast("bigint").alias("room"))
-    paid = pay(due, fold_rows).withColumn("_paid", F.lit(True))
+    paid = cut_lineage(pay(due, fold_rows)).withColumn("_paid", F.lit(True))
 
     # The first unpaid exit of a car fixes the session and the reason of all later ones.
     outcome = staged.join(paid, "exit_id", "left").withColumn(

@@ -10,10 +10,10 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], how: str =
 
     An aggregate is already partitioned by its key, so a plain join would read it in
     place and AQE, which splits a skewed partition only where both sides come straight
-    from a shuffle, could not split a hot key. Joining on the keys as one value makes
-    the small side be shuffled once more and leaves the large side splittable.
+    from a shuffle, could not split a hot key. Computing the key of the small side anew,
+    to the same value, makes it be shuffled once more and leaves the large side splittable.
     """
-    whole = F.struct(*[F.col(k) for k in keys])
-    left = rows.withColumn("_keys", whole)
-    right = totals.withColumn("_keys", whole).drop(*keys)
-    return left.join(right, "_keys", how).drop("_keys")
+    again = totals.select(*[F.greatest(k, k).alias(f"_{k}") for k in keys],
+                          *[c for c in totals.columns if c not in keys])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return rows.join(again, same, how).drop(*[f"_{k}" for k in keys])
