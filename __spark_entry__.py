@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -27,6 +28,10 @@ from oracle_jobs import JOBS  # noqa: E402
 from oracle_reports import REPORTS  # noqa: E402
 from oracle_streams import STREAMS  # noqa: E402
 
+LLM_QUERIES, LLM_SQL = {}, {}
+if importlib.util.find_spec("lotline.llm"):  # the subpackage can be left out
+    from lotline.llm.queries import ORACLE_SQL as LLM_SQL, QUERIES as LLM_QUERIES  # noqa: E402
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF_30, AS_OF_7 = "2024-02-10", "2024-01-31"
 
@@ -310,8 +315,10 @@ def queries() -> dict[str, Query]:
         "X4_reads_without_repeats": _stream(lambda e, t: _repeated_reads(e)),
         "X5_gate_flow": _stream(lambda e, t: gate_flow(t, batches.passages(e)), run.ROCKSDB),
         "X6_streamed_admission": _streamed_admission,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**REPORTS, **JOBS, **STREAMS, "X6_streamed_admission": JOBS["E1_entry_decisions"]}
+    return {**REPORTS, **JOBS, **STREAMS, "X6_streamed_admission": JOBS["E1_entry_decisions"],
+            **LLM_SQL}

@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as spark_entry
 from tools.check_oracle import compare, connect
 
-QUERIES, ORACLE = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES = {k: q for k, q in spark_entry.queries().items() if k not in spark_entry.LLM_QUERIES}
+ORACLE = {k: q for k, q in spark_entry.oracle_sql().items() if k not in spark_entry.LLM_QUERIES}
 SLOW = ("X", "E4_closed", "E4_charges", "E4_debited", "J5_import_errors", "J5_imported")
 
 
