@@ -20,12 +20,14 @@ An empty table gives an empty file set. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -34,12 +36,10 @@ from lotline.llm.common import cut_lineage, join_small, text_of
 
 FRAME_IDS = 1 << 19
 END_ID = 0
-CACHED_PIECES = 1 << 19
-"""Coded pieces that a worker keeps; beyond that it starts anew."""
-
-# The split of byte-level BPE, as the tokenizers library applies it.
-PIECES = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CACHED = 250_000
+"""How many coded chunks half the cache of a worker holds."""
+BATCH_CHARS = 1 << 21
+"""Texts are coded in batches of about as many characters."""
 
 FRAME = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -54,29 +54,83 @@ FRAME_ARROW = pa.schema([
     ("word_at", pa.list_(pa.int32())), ("escape_at", pa.list_(pa.int32()))])
 
 
-class _Coded(dict):
-    """Ids of a piece as little-endian bytes; a piece is coded once by the library.
+class Coder:
+    """Ids of texts as little-endian bytes, by way of the tokenizers library.
+
+    Byte-level BPE merges only inside the pieces of its split, and no piece reaches across a space
+    between two other characters except as its first character. So the ids of a text are those of its
+    space-separated chunks, and most chunks of a corpus are old acquaintances. The new ones of many
+    texts are coded by the library in one go, each followed by a line feed, which is a piece, and an
+    id, of its own there. Texts with a run of spaces or a space at an end, and chunks with other white space
+    inside, where pieces of white space could reach across, are coded on their own.
 
-    Byte-level BPE merges only inside the pieces of its split, so the ids of a text are
-    the ids of its pieces in order; most pieces of a corpus are old acquaintances.
+    About ``CACHED`` to twice as many chunks are kept, the ones asked for of late.
     """
 
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        coded = np.array(ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = coded
-        return coded
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PIECES.findall(text)))
+        self.young, self.old = {}, {}
+        [self.line_feed] = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Codes ``chunks``, and what the young half lacks of them, into the young half."""
+        if len(self.young) >= CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = chunks.difference(young)
+        kept = {chunk: old[chunk] for chunk in new.intersection(old)}
+        young.update(kept)
+        new.difference_update(kept)
+        odd = [chunk for chunk in new if len(chunk.split(None, 1)) != 1 or chunk[-1].isspace() or chunk[0].isspace()]
+        young.update((chunk, self._bytes(" " + chunk)) for chunk in odd)
+        plain = list(new.difference(odd))
+        lists = [plain[at:at + 256] for at in range(0, len(plain), 256)]
+        joined = [" " + "\n ".join(some) + "\n" for some in lists]
+        for some, coded in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_feed)
+            raw, first = ids.tobytes(), 0
+            for chunk, end in zip(some, (ends * 4).tolist(), strict=True):
+                young[chunk] = raw[first:end]
+                first = end + 4
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        self._learn({chunk for chunks in cut if chunks for chunk in islice(chunks, 1, None)})
+        get = self.young.__getitem__
+        return [self._bytes(text) if chunks is None else
+                self._bytes(chunks[0]) + b"".join(map(get, islice(chunks, 1, None)))
+                for text, chunks in zip(texts, cut)]
+
+
+@functools.cache
+def coder(tokenizer_path: str) -> Coder:
+    """One for all tasks of a worker process."""
+    return Coder(tokenizer_path)
+
+
+def _by_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """The rows of the batches in lists of about ``BATCH_CHARS`` characters."""
+    doc_ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            doc_ids.append(doc_id.as_py())
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held >= BATCH_CHARS:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+    if texts:
+        yield doc_ids, texts
 
 
 def encoder(tokenizer_path: str, end_id: int = END_ID):
@@ -84,7 +138,7 @@ def encoder(tokenizer_path: str, end_id: int = END_ID):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded, shard, first = _Coded(tokenizer_path), TaskContext.get().partitionId(), 0
+        coded, shard, first = coder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, docs, lengths, held = [], [], [], 0
 
         def frame() -> pa.RecordBatch:
@@ -95,11 +149,11 @@ def encoder(tokenizer_path: str, end_id: int = END_ID):
                 "words": words.tobytes(), "escapes": escapes.tobytes(),
                 "word_at": word_at, "escape_at": escape_at}], schema=FRAME_ARROW)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                one = coded.text(text.as_py()) + end
+        for doc_ids, texts in _by_chars(batches):
+            for doc_id, one in zip(doc_ids, coded.texts(texts)):
+                one += end
                 ids.append(one)
-                docs.append(doc_id.as_py())
+                docs.append(doc_id)
                 lengths.append(len(one) // 4)
                 held += lengths[-1]
                 if held >= FRAME_IDS:

@@ -47,15 +47,15 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_odd_rows(spark, tmp_path):
-    texts = [None, "", "  two  spaces\n\n\tand 'll it's <|endoftext|> 12345 ñandú   x \U0001F600",
+    texts = [None, "", "a  b", "a   b", "x \n y", "x\n  y", "x\n y", " lead", "end ", "end\n ", " ", "\n \t q r", "  two  spaces\n\n\tand 'll it's <|endoftext|> 12345 ñandú   x \U0001F600",
              "a" * 3000, " \n ", "word " * 200_000, "\x00\x1c\x1f y"]
     rows = [(i, t, "start") for i, t in enumerate(texts)] + [(1, "again", "x"), (1, "again", "x")]
     docs = spark.createDataFrame(rows + [(None, "no id", "z")], "doc_id bigint, text string, start string")
     token_files.write_ids(docs, str(tmp_path / "a"), tokenizer_path())
     ids = token_files.read_ids(spark, str(tmp_path / "a")).orderBy("start").collect()
-    assert [r.doc_id for r in ids] == [None, 0, 1, 1, 1, 2, 3, 4, 5, 6]
+    assert [r.doc_id for r in ids] == [None, 0, 1, 1, 1, *range(2, len(texts))]
     assert [r.start for r in ids] == np.cumsum([0] + [len(r.ids) for r in ids])[:-1].tolist()
-    tokenizer = token_files._Coded(tokenizer_path()).tokenizer
+    tokenizer = token_files.Coder(tokenizer_path()).tokenizer
     for r in ids[5:]:
         assert r.ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [0]
 
@@ -70,7 +70,7 @@ def test_empty_table(spark, tmp_path):
 def test_pieces_have_the_library_ids(spark, path):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
              .select("text").limit(150).collect()]
-    coded = token_files._Coded(tokenizer_path())
+    coded = token_files.Coder(tokenizer_path())
     for text in texts:
         whole = coded.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(coded.text(text), "<u4").tolist() == whole
+        assert np.frombuffer(coded.texts([text])[0], "<u4").tolist() == whole
