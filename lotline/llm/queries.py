@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import mixing, quality_rules, token_files, warc
+from lotline.llm import decontamination, mixing, quality_rules, token_files, warc
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "quality", "kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.decontaminated(_table(spark, sf_dir, "documents"),
+                                          _table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, sources = mixing.place(_table(spark, sf_dir, "documents"))
     placed = cut_lineage(placed)
@@ -48,12 +56,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, w[s:s + 9] AS win FROM
+                 (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT len(win) AS n FROM iw),
+        dw AS (SELECT r, n, s, w[s:s + n - 1] AS win FROM
+                 (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+        hit AS (SELECT r, n, s, item_id FROM dw JOIN iw USING (win)),
+        words AS (SELECT r, count(*) AS n_hit FROM
+                    (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hit) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest
