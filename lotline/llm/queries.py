@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import decontamination, mixing, quality_rules, token_files, warc
+from lotline.llm import decontamination, mixing, personal_data, quality_rules, token_files, warc
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data.personal_data(_table(spark, sf_dir, "documents"))
+    counts = [personal_data.count_of("base", kind).alias(f"n_{kind}") for kind in personal_data.KINDS[:4]]
+    digest = F.sha2(personal_data.span_text(F.col("base")).cast("binary"), 256)
+    return rows.select("row.doc_id", *counts, digest.alias("base_sha256"),
+                       personal_data.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, sources = mixing.place(_table(spark, sf_dir, "documents"))
     placed = cut_lineage(placed)
@@ -57,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
