@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import decontamination, mixing, personal_data, quality_rules, token_files, warc
+from lotline.llm import decontamination, mixing, near_duplicates, personal_data, quality_rules, token_files, warc
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = personal_data.personal_data(_table(spark, sf_dir, "documents"))
     counts = [personal_data.count_of("base", kind).alias(f"n_{kind}") for kind in personal_data.KINDS[:4]]
@@ -65,6 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
