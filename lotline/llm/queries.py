@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import decontamination, mixing, near_duplicates, personal_data, quality_rules, token_files, warc
+from lotline.llm import decontamination, mixing, near_duplicates, personal_data, quality_rules, repeated_bytes, token_files, warc
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                        personal_data.span_text(F.col("spans")).alias("spans"))
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, sources = mixing.place(_table(spark, sf_dir, "documents"))
     placed = cut_lineage(placed)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
