@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import decontamination, mixing, near_duplicates, personal_data, quality_rules, repeated_bytes, token_files, warc
+from lotline.llm import (decontamination, license_scan, mixing, near_duplicates, personal_data,
+                         quality_rules, repeated_bytes, secret_scan, token_files, warc)
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,18 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.secrets(_table(spark, sf_dir, "documents"))
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rows.select("row.doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"),
+                       F.array_join(spans, ",").alias("spans"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.licenses(_table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_sentences", "n_licenses", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, sources = mixing.place(_table(spark, sf_dir, "documents"))
     placed = cut_lineage(placed)
@@ -76,6 +89,8 @@ QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
     "op5_repeated_bytes": op5_repeated_bytes,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
