@@ -193,29 +193,35 @@ def taken_words(placed: DataFrame, takes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int | None = None, weights: tuple = WEIGHTS, cap: int = CAP,
         seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed documents: ``row`` (all columns of the input), shard, epoch, words and ``place``
+    """The mixed documents: ``row`` (all columns of the input), is_cut, shard, epoch, words and ``place``
     (order within the shard). The text in which a quota ends is cut to its first words, joined by
     spaces; at most one document of a source is.
 
-    A place is joined to its rows by hash and size, which repeated rows share: the n-th of equal rows takes
-    the n-th of their places.
+    Rows are found again by the hash that ordered them, which only rows with equal doc_id, source
+    and text share; those few are numbered, and the n-th of them takes the n-th of their places.
     """
     keyed = docs.select(packed(docs).alias("row"), F.xxhash64(
         F.lit(seed), "doc_id", "source", text_of("text")).alias("h"))
     placed, sources = place(docs, weights, cap, seed, block_words)
     placed = cut_lineage(placed)
-    takes = draw_takes(placed, sources, shards, seed).groupBy("h", "doc_id", "source_no", "at").agg(
-        F.collect_list(F.struct("epoch", "words", "shard")).alias("taken"), F.first("size").alias("size"))
-    copy = Window.partitionBy("h").orderBy("at")
-    takes = takes.withColumn("copy", F.row_number().over(copy)).select("h", "copy", "size", "taken")
-    repeats = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("h")))
-    joined = repeats.join(takes, ["h", "copy"]).select(
-        "row", "size", "h", "copy", F.explode("taken").alias("take"))
+    by_place = draw_takes(placed, sources, shards, seed).groupBy("h", "at", "size").agg(
+        F.collect_list(F.struct("epoch", "words", "shard")).alias("takes"))
+    rows_of = placed.groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
+    by_hash = cut_lineage(
+        by_place.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "size", "takes"))).alias("places"))
+        .join(rows_of, "h"))
+    joined = join_small(keyed, by_hash, ["h"], "inner")
+    single = joined.where("rows = 1").withColumn("copy", F.lit(1))
+    equal = joined.where("rows > 1").withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("h")))
+    rows = single.unionByName(equal).where(F.col("copy") <= F.size("places"))
+    rows = rows.withColumn("place", F.get("places", F.col("copy") - 1)).select(
+        "row", "h", "copy", "place.size", F.explode("place.takes").alias("take"))
     text = F.col("row")["text"]
-    cut = F.when(F.col("take.words") >= F.col("size"), text).otherwise(
+    whole = F.col("take.words") >= F.col("size")
+    cut = F.when(whole, text).otherwise(
         F.array_join(F.slice(white_words(text), F.lit(1), F.col("take.words").cast("int")), " "))
-    return joined.select(F.col("row").withField("text", cut).alias("row"), "take.shard", "take.epoch",
-                         "take.words", F.xxhash64(F.lit(seed), "h", "copy", "take.epoch").alias("place"))
+    return rows.select(F.col("row").withField("text", cut).alias("row"), (~whole).alias("is_cut"), "take.shard",
+                       "take.epoch", "take.words", F.xxhash64(F.lit(seed), "h", "copy", "take.epoch").alias("place"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
