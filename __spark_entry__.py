@@ -83,14 +83,31 @@ def _ledger(t: Tables) -> DataFrame:
 
 
 def _reconciliation(t: Tables) -> DataFrame:
-    """Sessions and charges of which some are missing or altered."""
-    sessions = t.parking_sessions.where("id % 10 <> 4").withColumn(
+    """All sessions and charges, of which some are altered or name another session."""
+    sessions = t.parking_sessions.withColumn(
         "total_cost", (F.col("total_cost") + F.expr("id % 7 div 6")).cast("decimal(12,2)"))
-    charges = t.wallet_transactions.where("session_id is null or session_id % 10 <> 5")
+    charges = t.wallet_transactions.withColumn("session_id", F.when(
+        F.col("session_id") % 10 == 5, F.col("session_id") + 1_000_000_000).otherwise(F.col("session_id")))
     return ledger.reconcile_costs(t.replace(parking_sessions=sessions,
                                             wallet_transactions=charges))
 
 
+def _read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import requests written as JSON and read back, empty and broken ones among them."""
+    folder = run.new_folder(spark, "requests")
+    batches.request_texts(read(spark, sf_dir, "customer")).write.text(folder)
+    known = importer.read_payloads(spark, folder)
+    return shape_result(known.select(
+        F.when(~F.col("unreadable"), F.col("request_no")).alias("request_no"), "user_no", "phone",
+        F.size("cars").cast("bigint").alias("cars"), "unreadable"))
+
+
+def _new_plates(stored) -> DataFrame:
+    """New cars of which some have no plate."""
+    return batches.new_cars(stored("orders")).withColumn(
+        "plate_number", F.when(F.col("id") % 9 != 0, F.col("plate_number")))
+
+
 def _import(t: Tables, stored) -> importer.Import:
     return importer.import_users(t, batches.import_requests(stored("customer")),
                                  "2024-02-10 00:00:00")
@@ -163,6 +180,12 @@ def _stream(build: Callable[[DataFrame, Tables], DataFrame], conf: dict | None =
         build(read_stream(spark, sf_dir, "events"), sample_tables(spark, sf_dir)), conf))
 
 
+def _windows(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """Windows over the events as a stream, the last ones included."""
+    return lambda spark, sf_dir: shape_result(
+        run.run_to_end(read_stream(spark, sf_dir, "events"), "ts", build))
+
+
 def _entries(events: DataFrame) -> DataFrame:
     return events.select(F.col("ts").alias("entry_time"),
                          (F.col("user_id") * 3 + F.col("event_id") % 3).alias("car_id"))
@@ -198,6 +221,8 @@ def queries() -> dict[str, Query]:
         "V3_revenue_analytics": _report(revenue.revenue_analytics),
         "V3_revenue_report": _report(
             lambda t: revenue.revenue_report(t, "2024-01-11", "2024-01-25")),
+        "V3_revenue_since": _report(lambda t: revenue.revenue_analytics(t, first_day="2024-01-20")),
+        "V3_revenue_until": _report(lambda t: revenue.revenue_analytics(t, last_day="2024-01-10")),
         "Q01_hourly_load": _report(lambda t: occupancy.hourly_load(t, AS_OF_30)),
         "Q02_busiest_days": _report(lambda t: occupancy.busiest_days(t, AS_OF_30)),
         "Q03_revenue_by_tariff_and_zone": _report(
@@ -254,7 +279,8 @@ def queries() -> dict[str, Query]:
         "A8_revenue_of_stored_tables": lambda spark, sf_dir: shape_result(
             revenue.revenue_by_day_and_tariff(_stored(spark, sf_dir), AS_OF_7)),
         "C12_insert_ignore": _job(lambda t, s: changes.insert_ignore(
-            t.cars, batches.new_cars(s("orders")), ["plate_number"]).select("plate_number")),
+            t.cars, _new_plates(s), ["plate_number"]).select("id", "plate_number")),
+        "A5_requests_from_files": _read_requests,
         "U6_wallets_of_new_users": _report(lambda t: importer.wallets_of_new_users(t.users)),
         "E4_known_exits": _job(lambda t, s: settlement.resolve_exits(t, _exit_requests(s))[0]),
         "E4_refused_exits": _job(lambda t, s: settlement.resolve_exits(t, _exit_requests(s))[1]),
@@ -305,13 +331,18 @@ def queries() -> dict[str, Query]:
         "B11_sessions_by_viewer": _report(
             lambda t: access.seen_by(t, "parking_sessions", access.viewers(t.users))),
         "B11_logs_of_one_user": _report(lambda t: access.visible_to(t, "entry_logs", 10)),
+        "B11_audit_of_one_user": _report(lambda t: access.visible_to(t, "audit_logs", 10)),
+        "B11_audit_of_administrators": _report(
+            lambda t: access.visible_to(t, "audit_logs", 10, is_admin=True)),
+        "B11_cars_seen_with_administrators": _report(lambda t: access.seen_by(
+            t, "cars", access.viewers(t.users, admin_phone="+79000000010"))),
         "B11_operations_of_one_user": _report(
             lambda t: access.visible_to(t, "wallet_transactions", 10)),
-        "X1_hourly_load_stream": _stream(lambda e, t: windows.load(_entries(e))),
-        "X1_daily_load_stream": _stream(lambda e, t: windows.load(_entries(e), "1 day")),
-        "X2_denials_stream": _stream(lambda e, t: windows.denials(sample.entry_logs(e))),
-        "X2_denial_share_stream": _stream(lambda e, t: windows.denial_share(sample.entry_logs(e))),
-        "X3_visits_stream": _stream(lambda e, t: windows.visits(sample.entry_logs(e))),
+        "X1_hourly_load_stream": _windows(lambda e: windows.load(_entries(e))),
+        "X1_daily_load_stream": _windows(lambda e: windows.load(_entries(e), "1 day")),
+        "X2_denials_stream": _windows(lambda e: windows.denials(sample.entry_logs(e))),
+        "X2_denial_share_stream": _windows(lambda e: windows.denial_share(sample.entry_logs(e))),
+        "X3_visits_stream": _windows(lambda e: windows.visits(sample.entry_logs(e))),
         "X4_reads_without_repeats": _stream(lambda e, t: _repeated_reads(e)),
         "X5_gate_flow": _stream(lambda e, t: gate_flow(t, batches.passages(e)), run.ROCKSDB),
         "X6_streamed_admission": _streamed_admission,

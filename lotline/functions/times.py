@@ -41,16 +41,21 @@ def recent(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
     return rows.where(F.col(date) >= F.date_sub(as_day(as_of), days)) if date in df.columns else rows
 
 
-def on_days(df: DataFrame, column: str, first, last) -> DataFrame:
-    """Rows of the days ``first`` to ``last``, both included.
+def on_days(df: DataFrame, column: str, first=None, last=None) -> DataFrame:
+    """Rows of the days ``first`` to ``last``, both included; either bound may be left open.
 
     A half-open range on the time itself, which scans can use, and on the partition
     date where there is one.
     """
-    rows = df.where((F.col(column) >= as_day(first).cast("timestamp_ntz"))
-                    & (F.col(column) < midnight_before(last, -1)))
     date = DATE_OF.get(column)
-    return rows.where(F.col(date).between(as_day(first), as_day(last))) if date in df.columns else rows
+    date = date if date in df.columns else None
+    if first is not None:
+        df = df.where(F.col(column) >= as_day(first).cast("timestamp_ntz"))
+        df = df.where(F.col(date) >= as_day(first)) if date else df
+    if last is not None:
+        df = df.where(F.col(column) < midnight_before(last, -1))
+        df = df.where(F.col(date) <= as_day(last)) if date else df
+    return df
 
 
 def utc_instant(column) -> Column:

@@ -10,7 +10,8 @@ from lotline.sources.tables import Tables
 ADMIN_PHONE = "000"  # fixed value: the default administrator's phone
 
 OPEN_TABLES = ("access_levels", "parking_zones", "parking_spots", "tariffs", "gates",
-               "user_access_levels", "audit_logs")
+               "user_access_levels")
+ADMIN_TABLES = ("audit_logs",)
 
 
 def viewers(users: DataFrame, admin_phone: str = ADMIN_PHONE) -> DataFrame:
@@ -45,18 +46,19 @@ def visible_to(tables: Tables, table: str, viewer_id=None, is_admin: bool = Fals
     rows = getattr(tables, table) if df is None else df
     if is_admin or table in OPEN_TABLES:
         return rows
+    if table in ADMIN_TABLES:
+        return rows.where(F.lit(False))
     mine = with_owner(tables, table, rows).where(F.col("owner_id") == viewer_id)
     return mine.select(*rows.columns)
 
 
 def seen_by(tables: Tables, table: str, who: DataFrame) -> DataFrame:
-    """For many viewers at once: ``viewer_id`` with each row they see as an owner.
+    """For many viewers at once: ``viewer_id`` with each row they own, administrators included.
 
-    Administrators see the whole table; they are not multiplied with it here but
-    left to the unfiltered table.
+    An administrator also sees all other rows; those are the table itself, and are not
+    multiplied with the administrators here. A table for administrators only has no owners.
     """
     owned = with_owner(tables, table)
     columns = [c for c in TABLES[table].columns if c in owned.columns]
-    plain = who.where(~F.coalesce("is_admin", F.lit(False))).select("viewer_id")
-    return (owned.join(plain, F.col("owner_id") == F.col("viewer_id"))
+    return (owned.join(who.select("viewer_id"), F.col("owner_id") == F.col("viewer_id"))
             .select("viewer_id", *columns))

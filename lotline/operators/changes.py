@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
                                           held_claims)
 from lotline.schemas import CASCADE, NOW, RESTRICT, SET_NULL, TABLES, children_of
+from lotline.session import cut_lineage
 from lotline.sources.tables import Tables
 
 
@@ -40,19 +42,22 @@ def with_defaults(table: str, batch: DataFrame, at=None) -> DataFrame:
 
 
 def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: str = "id") -> Change:
-    """Adds the rows of ``batch`` that repeat no unique key.
+    """Adds the rows of ``batch`` that repeat no unique key; ``id`` is always one.
 
     Keys the target holds reject at once; within the batch the first row by
-    ``position`` wins and a rejected row frees its other keys.
+    ``position`` wins and a rejected row frees its other keys. The rows are
+    numbered and kept, so rows that are equal in all columns stay apart.
     """
-    unique_keys = [tuple(k) for k in unique_keys]
-    claiming = batch.withColumn("_claims", F.array_compact(F.array(*[claim(k) for k in unique_keys])))
-    held = held_claims(claiming, position, "_claims", claims_of(target, unique_keys))
-    probed = claiming.join(held, position, "left")
+    unique_keys = [("id",), *[tuple(k) for k in unique_keys if tuple(k) != ("id",)]]
+    numbered = cut_lineage(batch.withColumn("_n", F.monotonically_increasing_id()))
+    claiming = numbered.withColumn("_at", F.struct(position, "_n")).withColumn(
+        "_claims", F.array_compact(F.array(*[claim(k) for k in unique_keys])))
+    held = held_claims(claiming, "_at", "_claims", claims_of(target, unique_keys, numbered))
+    probed = cut_lineage(claiming.join(held, "_at", "left"))
     known = probed.where("_held is not null").select(*batch.columns, _exists("_held").alias("error"))
     fresh = probed.where("_held is null").drop("_held")
-    winners = first_wins(fresh, position, "_claims", len(unique_keys) == 1).withColumn("_wins", F.lit(True))
-    judged = fresh.drop("_claims").join(winners, position, "left")
+    winners = first_wins(fresh, "_at", "_claims").withColumn("_wins", F.lit(True))
+    judged = fresh.drop("_claims").join(winners, "_at", "left")
     accepted = judged.where("_wins").select(*batch.columns)
     repeated = judged.where("_wins is null").select(
         *batch.columns, F.lit("repeats an earlier row of the batch").alias("error"))
@@ -65,10 +70,19 @@ def _exists(held) -> Column:
     return F.concat(claimed_columns(held), F.lit(" already exists"))
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys) -> DataFrame:
-    """Rows of ``batch`` to add when repeated keys are silently skipped."""
+def insert_ignore(target: DataFrame, batch: DataFrame, keys, position: str = "id") -> DataFrame:
+    """Rows of ``batch`` to add when repeated keys are silently skipped.
+
+    Of rows with one key the first by ``position`` stays. NULL is like nothing, so rows
+    with a NULL in the key are all added.
+    """
     keys = list(keys)
-    return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    row = F.struct(*batch.columns)
+    firsts = (batch.where(whole).groupBy(*keys).agg(F.min_by(row, F.col(position)).alias("_row"))
+              .select("_row.*"))
+    return (firsts.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
+            .unionByName(batch.where(~whole)))
 
 
 def last_values(patches: DataFrame, columns: list[str], order: str, key: str = "id") -> DataFrame:
@@ -90,15 +104,33 @@ def _changed_claims(unique_keys, columns: list[str]) -> Column:
     return F.array_compact(F.array(*claims))
 
 
+def _one_per_key(patch: DataFrame, columns: list[str], key: str, overwrite: bool, order: str | None,
+                 others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Patches folded to one per key, and keys with several patches that nothing puts in order."""
+    if order is None:
+        counts = patch.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+        return patch.join(counts, key, "left_anti"), counts
+    last = [F.max_by(c, F.col(order)).alias(c) for c in others]
+    values = [F.max_by(c, F.col(order)).alias(c) if overwrite else
+              F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    return patch.groupBy(key).agg(*values, *last), patch.select(key).limit(0)
+
+
 def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key: str = "id",
-                  unique_keys=(), overwrite: bool = False, owner: tuple | None = None) -> Change:
-    """Applies one patch row per key.
+                  unique_keys=(), overwrite: bool = False, owner: tuple | None = None,
+                  order: str | None = None) -> Change:
+    """Applies patches to the rows of their key.
+
+    Several patches of one key take effect one after the other by ``order``; without an
+    order they are all rejected, since none of them comes first.
 
     NULL in a patch keeps the old value, so a value cannot be cleared, unless
     ``overwrite`` takes the patch as it is. A patch fails if its key is unknown, if
     ``owner`` = (target column, patch column) differ, or if a changed unique key is
     held by another row of the target or of an earlier patch.
     """
+    others = [owner[1]] if owner and owner[1] not in columns else []
+    patch, unordered = _one_per_key(patch, columns, key, overwrite, order, others)
     new = patch.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns],
                        *([F.col(owner[1]).alias("_by")] if owner else []))
     found = new.join(target.withColumn("_found", F.lit(True)), key, "left")
@@ -110,11 +142,12 @@ def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key:
         checks.append(F.when(~F.col(owner[0]).eqNullSafe(F.col("_by")), "not the owner"))
     if unique_keys:
         found = found.withColumn("_claims", _changed_claims(unique_keys, columns))
-        held = held_claims(found, key, "_claims", claims_of(target, unique_keys))
+        held = held_claims(found, key, "_claims", claims_of(target, unique_keys, found))
         found = found.join(held, key, "left")
         checks.append(F.when(F.col("_held").isNotNull(), _exists("_held")))
     found = found.withColumn("error", F.coalesce(*checks))
-    failed = found.where("error is not null").select(key, "error")
+    failed = found.where("error is not null").select(key, "error").unionByName(
+        unordered.select(key, F.lit("several patches without an order").alias("error")))
     good = found.where("error is null")
     if unique_keys:
         winners = first_wins(good, key, "_claims", len(unique_keys) == 1).withColumn("_wins", F.lit(True))

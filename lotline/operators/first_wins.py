@@ -24,10 +24,19 @@ def claimed_columns(text) -> Column:
     return F.substring_index(text, "|", 1)
 
 
-def claims_of(table: DataFrame, unique_keys) -> DataFrame:
-    """All claims (``_key``) the rows of a table hold."""
-    held = F.explode(F.array_compact(F.array(*[claim(k) for k in unique_keys])))
-    return table.select(held.alias("_key"))
+def claims_of(table: DataFrame, unique_keys, batch: DataFrame | None = None) -> DataFrame:
+    """All claims (``_key``) the rows of a table hold, or those that ``batch`` could meet.
+
+    With a batch, the table is reduced on the typed key columns to rows that share a key
+    with it, before any claim is made or shuffled; a small batch is broadcast for that.
+    """
+    unique_keys = [list(k) for k in unique_keys]
+    if batch is None:
+        held = F.explode(F.array_compact(F.array(*[claim(k) for k in unique_keys])))
+        return table.select(held.alias("_key"))
+    parts = [table.select(*keys).join(batch.select(*keys).dropna().distinct(), keys, "left_semi")
+             .select(claim(keys).alias("_key")) for keys in unique_keys]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def held_claims(rows: DataFrame, position: str, claims: str, held: DataFrame) -> DataFrame:

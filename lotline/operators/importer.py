@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lotline.functions.keys import derived_key
 from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
@@ -16,6 +16,7 @@ from lotline.sources.tables import Tables
 
 # Fixed value: the error text of every broken constraint.
 INTEGRITY_ERROR = "Integrity error (duplicate phone/email/plate)"
+UNREADABLE = "Invalid request"
 
 
 @dataclass
@@ -29,18 +30,32 @@ class Import:
 
 
 def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Import requests from JSON, one per line, or one per file with ``multi_line``."""
-    requests = (spark.read.schema(IMPORT_PAYLOAD).option("multiLine", multi_line).json(path)
-                .withColumn("request_no", F.monotonically_increasing_id()))
-    return entries(requests)
+    """Import requests from JSON, one per line, or one per file with ``multi_line``.
+
+    A request is numbered by its own ``request_no`` or else by a hash of its file and text, so the
+    order of requests doesn't depend on how files are split. One that cannot be read
+    becomes a row without users that is marked ``unreadable``.
+    """
+    raw = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
+    kind = T.StructType(IMPORT_PAYLOAD.fields + [T.StructField("request_no", T.LongType()),
+                                                 T.StructField("_corrupt_record", T.StringType())])
+    parsed = raw.select("value", F.col("_metadata.file_path").alias("file"),
+                        F.from_json("value", kind).alias("r"))
+    return entries(parsed.select(
+        F.coalesce("r.request_no", F.xxhash64("file", "value")).alias("request_no"), "r.dry_run", "r.users",
+        (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()).alias("unreadable")))
 
 
 def entries(requests: DataFrame) -> DataFrame:
-    """One row per user of each request, in order, its cars still nested."""
+    """One row per user of each request, in order, its cars still nested.
+
+    A request without users keeps one row, without a ``user_no``.
+    """
+    unreadable = F.col("unreadable") if "unreadable" in requests.columns else F.lit(False)
     return requests.select(
-        "request_no", F.coalesce("dry_run", F.lit(False)).alias("dry_run"),
-        F.posexplode("users").alias("user_no", "u")).select(
-            "request_no", F.col("user_no").cast("bigint").alias("user_no"), "dry_run",
+        "request_no", F.coalesce("dry_run", F.lit(False)).alias("dry_run"), unreadable.alias("unreadable"),
+        F.posexplode_outer("users").alias("user_no", "u")).select(
+            "request_no", F.col("user_no").cast("bigint").alias("user_no"), "dry_run", "unreadable",
             "u.phone", "u.email", "u.password_hash",
             F.coalesce("u.cars", F.array().cast("array<struct<plate_number:string,model:string>>"))
             .alias("cars"))
@@ -79,14 +94,19 @@ def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
     """
     now = F.lit(at).cast("timestamp_ntz")
     position = F.struct("request_no", "user_no")
+    if "unreadable" not in batch.columns:
+        batch = batch.withColumn("unreadable", F.lit(False))
+    without_users = batch.where("user_no is null").select("request_no", "unreadable")
+    batch = batch.where("user_no is not null").drop("unreadable")
 
     plates = F.transform("cars", lambda c: c["plate_number"])
     claims = F.array_compact(F.concat(
         F.array(claim(["phone"]), claim(["email"])),
         F.transform(plates, lambda p: _text_claim("plate_number", p))))
     rows = batch.withColumn("_at", position).withColumn("_claims", claims)
-    stored_claims = claims_of(tables.users, [("phone",), ("email",)]).unionByName(
-        tables.cars.select(_text_claim("plate_number", F.col("plate_number")).alias("_key")))
+    new_plates = rows.select(F.explode("cars.plate_number").alias("plate_number"))
+    stored_claims = claims_of(tables.users, [("phone",), ("email",)], rows).unionByName(
+        claims_of(tables.cars, [("plate_number",)], new_plates))
     probed = rows.join(held_claims(rows, "_at", "_claims", stored_claims), "_at", "left")
     probed = probed.withColumn("_problem", _problem())
     real = probed.where(F.col("_problem").isNull() & ~F.col("dry_run"))
@@ -111,12 +131,18 @@ def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
     errors = judged.where("_problem is not null").select(
         "request_no", "user_no", "phone", F.lit(INTEGRITY_ERROR).alias("error"),
         F.col("_problem").alias("details"))
+    errors = errors.unionByName(without_users.where("unreadable").select(
+        "request_no", F.lit(None).cast("bigint").alias("user_no"), F.lit(None).cast("string").alias("phone"),
+        F.lit(UNREADABLE).alias("error"), F.lit("not a JSON request").alias("details")))
     good = F.col("_problem").isNull()
     summary = judged.groupBy("request_no").agg(
         F.count_if(good).alias("created_users"),
         F.coalesce(F.sum(F.when(good, F.size("cars"))), F.lit(0)).cast("bigint")
         .alias("created_cars"),
         F.count_if(~good).alias("failed_users"))
+    none = F.lit(0).cast("bigint")
+    summary = summary.unionByName(without_users.select(
+        "request_no", none.alias("created_users"), none.alias("created_cars"), none.alias("failed_users")))
     return Import(users, wallets_of_new_users(users), cars, audit, errors, summary)
 
 

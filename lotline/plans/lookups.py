@@ -6,25 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.sources.tables import Tables
 
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30}
-
-
-def _bytes(text: str) -> int:
-    text = text.strip().lower()
-    number = text.rstrip("bkmg")
-    return int(number) * _UNITS[text[len(number):] or "b"]
-
-
-def fits_broadcast(*frames: DataFrame, rows: int = 50_000) -> bool:
-    """Whether every frame may be broadcast under the session's threshold.
-
-    The optimizer's size decides where it is small enough. It multiplies the sides of
-    a join, so a frame it finds too large is counted: ``rows`` rows of a key and a
-    name stay within the default threshold.
-    """
-    limit = _bytes(frames[0].sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return limit >= 0 and all(_estimate(f) <= limit or f.count() <= rows for f in frames)
+def fits_broadcast(*frames: DataFrame) -> bool:
+    """Whether the optimizer's size of every frame is within the session's broadcast threshold."""
+    conf = frames[0].sparkSession._jsparkSession.sessionState().conf()
+    return all(_estimate(f) <= conf.autoBroadcastJoinThreshold() for f in frames)
 
 
 def _estimate(df: DataFrame) -> int:

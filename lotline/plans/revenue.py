@@ -48,13 +48,12 @@ def _by_zone(tables: Tables, sessions: DataFrame, keys: tuple) -> DataFrame:
 
 
 def revenue_analytics(tables: Tables, first_day=None, last_day=None) -> DataFrame:
-    """Completed sessions per day, tariff and zone, in a range of days if given.
+    """Completed sessions per day, tariff and zone, from ``first_day`` and up to ``last_day`` if given.
 
-    The range filters the sessions themselves, so it prunes the scan.
+    The bounds filter the sessions themselves, so they prune the scan.
     """
     sessions = completed(tables).where(F.col("total_cost").isNotNull())
-    if first_day is not None:
-        sessions = on_days(sessions, "entry_time", first_day, last_day)
+    sessions = on_days(sessions, "entry_time", first_day, last_day)
     sessions = sessions.withColumn("date", F.to_date("entry_time"))
     totals = _by_zone(tables, sessions, ("date", "tariff_id"))
     return totals.join(_tariff_names(tables), "tariff_id").select(
@@ -64,7 +63,7 @@ def revenue_analytics(tables: Tables, first_day=None, last_day=None) -> DataFram
         (ratio("micros", "closed") / 60_000_000).alias("avg_duration_minutes"))
 
 
-def revenue_report(tables: Tables, first_day, last_day) -> DataFrame:
+def revenue_report(tables: Tables, first_day=None, last_day=None) -> DataFrame:
     return (revenue_analytics(tables, first_day, last_day)
             .orderBy(down("date"), down("total_revenue"), up("tariff_id"), up("zone_id")))
 

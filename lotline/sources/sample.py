@@ -42,10 +42,17 @@ def _created(day: str = "2023-12-01") -> Column:
     return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files."""
-    return (spark.readStream.schema(STORED[name]).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1000).parquet(sf_dir))
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of parts.
+
+    A replay takes all files in one trigger unless told otherwise. Files are in no order of
+    time, so with several triggers the watermark must allow for the whole span of the table.
+    The path is written as a pattern of one match, since only patterns may match a file.
+    """
+    reader = spark.readStream.schema(STORED[name])
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def users(customer: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def attempts(events: DataFrame) -> DataFrame:
 
 
 def exits(events: DataFrame) -> DataFrame:
-    """Clicks and views as exits two days later."""
+    """Every event as an exit two days later."""
     event = F.col("event_id")
-    return events.where(F.col("event_type").isin("click", "view")).select(
+    return events.select(
         event.alias("id"), (F.col("user_id") * 3 + event % 3).alias("car_id"),
         (F.col("ts") + F.expr("INTERVAL '2' DAY")).alias("exit_time"))
 
@@ -100,6 +100,21 @@ def import_requests(customer: DataFrame) -> DataFrame:
         F.lit("hash").alias("password_hash"), cars.alias("cars"))
 
 
+def request_texts(customer: DataFrame) -> DataFrame:
+    """Ten customers to a JSON request; every seventh request has no users, every eleventh breaks off."""
+    key = F.col("c_custkey")
+    user = F.struct(key.alias("k"), F.concat(F.lit("+8"), (key + 1_000_000).cast("string")).alias("phone"),
+                    F.when(key % 3 == 0, F.array(F.struct(F.concat(F.lit("N"), key.cast("string"))
+                                                          .alias("plate_number")))).alias("cars"))
+    grouped = (customer.select(F.expr("c_custkey div 10").alias("request_no"), user.alias("u"))
+               .groupBy("request_no").agg(F.array_sort(F.collect_list("u")).alias("users")))
+    number = F.col("request_no")
+    users = F.when(number % 7 == 0, F.slice("users", 1, 0)).otherwise(F.col("users"))
+    text = F.to_json(F.struct("request_no", users.alias("users")))
+    cut = F.substring(text, F.lit(1), F.length(text) - 1)
+    return grouped.select(F.when(number % 11 == 0, cut).otherwise(text).alias("value"))
+
+
 def passages(events: DataFrame) -> DataFrame:
     """Sign-ups and errors as entries, purchases as top-ups, all else as exits."""
     event, kind = F.col("event_id"), F.col("event_type")

@@ -56,10 +56,11 @@ def publish(tables: Tables, root: str, version: int) -> None:
     """Writes all tables as one version; readers see it once its mark exists.
 
     The mark is written last, by Spark, so a job that dies half way leaves the
-    earlier version in force.
+    earlier version in force. A version is never written over: a second try takes
+    a new number.
     """
     root = root.rstrip("/")
-    write_tables(tables, f"{root}/version={version}", mode="overwrite")
+    write_tables(tables, f"{root}/version={version}")
     spark = getattr(tables, tables.names()[0]).sparkSession
     (spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
      .write.mode("append").parquet(f"{root}/published"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lotline.session import shared_folder
 from lotline.schemas import TABLES, struct_of
@@ -14,15 +14,25 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+class LateRows(RuntimeError):
+    """Rows came after the watermark had passed them, so a result would be without them."""
+
+
 def stream_table(spark: SparkSession, root: str, table: str, key_type: T.DataType | None = None,
-                 files_per_trigger: int = 1000) -> DataFrame:
-    """A stored table as a stream of its new files; the file count bounds a micro-batch."""
+                 files_per_trigger: int | None = None) -> DataFrame:
+    """A stored table as a stream of its new files.
+
+    ``files_per_trigger`` bounds a micro-batch; it needs files in order of time, or a delay
+    as long as their disorder.
+    """
     struct = struct_of(table, key_type)
     for extra in TABLES[table].partition_by:
         if extra not in struct.fieldNames():
             struct = struct.add(extra, T.DateType())
-    return (spark.readStream.schema(struct).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(f"{root.rstrip('/')}/{table}"))
+    reader = spark.readStream.schema(struct)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{root.rstrip('/')}/{table}")
 
 
 @contextmanager
@@ -54,10 +64,51 @@ def append_stream(stream: DataFrame, path: str, state: str, partition_by: tuple
     return writer.trigger(availableNow=True).start()
 
 
+def late_rows(query) -> int:
+    """How many rows a query that has ended dropped behind its watermark."""
+    return sum(operator.numRowsDroppedByWatermark
+               for progress in query.recentProgress for operator in progress.stateOperators)
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    if late := late_rows(query):
+        raise LateRows(f"{late} rows came later than the watermark's delay allows")
+
+
+ALL_PROGRESS = {"spark.sql.streaming.numRecentProgressUpdates": "100000"}
+END_OF_TIME = "9000-01-01 00:00:00"
+
+
 def run_to_files(stream: DataFrame, conf: dict | None = None) -> DataFrame:
-    """Runs a stream over all input there is, into files, and returns those as a table."""
+    """Runs a stream over all input there is, into files, and returns those as a table.
+
+    Windows that the watermark has not passed stay open; see :func:`run_to_end`.
+    Raises :class:`LateRows` rather than leave rows out.
+    """
     spark = stream.sparkSession
     folder = new_folder(spark, "streams")
-    with settings(spark, conf or {}):
-        append_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    with settings(spark, {**ALL_PROGRESS, **(conf or {})}):
+        _finish(append_stream(stream, f"{folder}/out", f"{folder}/state"))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_to_end(source: DataFrame, time: str, build, conf: dict | None = None) -> DataFrame:
+    """As :func:`run_to_files` for ``build(source)``, with the last windows too.
+
+    When the source is used up, one row at the end of time follows it through a second
+    file source of the same query. It moves the watermark past all real windows,
+    which come out; its own window never closes.
+    """
+    spark = source.sparkSession
+    folder = new_folder(spark, "streams")
+    blank = [F.lit(END_OF_TIME if f.name == time else None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    last = spark.range(1).coalesce(1).select(*blank)
+    last.limit(0).write.parquet(f"{folder}/end")
+    whole = source.unionByName(spark.readStream.schema(source.schema).parquet(f"{folder}/end"))
+    stream = build(whole)
+    with settings(spark, {**ALL_PROGRESS, **(conf or {})}):
+        _finish(append_stream(stream, f"{folder}/out", f"{folder}/state"))
+        last.write.mode("append").parquet(f"{folder}/end")
+        _finish(append_stream(stream, f"{folder}/out", f"{folder}/state"))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

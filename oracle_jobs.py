@@ -59,7 +59,7 @@ exits AS (
     SELECT e.event_id AS id, e.user_id * 3 + e.event_id % 3 AS car_id, e.user_id,
            e.ts + INTERVAL 2 DAY AS exit_time,
            row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS step
-    FROM events e WHERE e.event_type IN ('click', 'view')),
+    FROM events e),
 stack AS (
     SELECT s.id, s.car_id, s.entry_time, t.price_per_hour AS price, t.free_minutes AS free,
            row_number() OVER (PARTITION BY s.car_id ORDER BY s.entry_time DESC, s.id DESC) AS depth
@@ -233,8 +233,21 @@ FROM parking_sessions WHERE status = 'completed'
   AND CAST(entry_time AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-25' GROUP BY 1"""),
     "A8_revenue_of_stored_tables": REPORTS["Q04_revenue_by_day_and_tariff"],
     "C12_insert_ignore": over("cars", """
-SELECT DISTINCT concat('P', o_orderkey * 7 % 50021) AS plate_number FROM orders
-WHERE concat('P', o_orderkey * 7 % 50021) NOT IN (SELECT plate_number FROM cars)"""),
+SELECT * FROM (SELECT min(id) AS id, plate_number FROM plated WHERE plate_number IS NOT NULL GROUP BY plate_number) p
+WHERE NOT EXISTS (SELECT 1 FROM cars WHERE cars.plate_number = p.plate_number)
+UNION ALL SELECT id, plate_number FROM plated WHERE plate_number IS NULL""", more="""
+plated AS (SELECT o_orderkey + 1000000000 AS id, CASE WHEN (o_orderkey + 1000000000) % 9 <> 0
+                  THEN concat('P', o_orderkey * 7 % 50021) END AS plate_number FROM orders)"""),
+    "A5_requests_from_files": """
+WITH asked AS (SELECT c_custkey AS k, c_custkey // 10 AS r, row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) - 1 AS n
+               FROM customer)
+SELECT r AS request_no, n AS user_no, concat('+8', k + 1000000) AS phone,
+       CAST(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cars, false AS unreadable
+FROM asked WHERE r % 11 <> 0 AND r % 7 <> 0
+UNION ALL
+SELECT DISTINCT r, NULL, NULL, 0, false FROM asked WHERE r % 11 <> 0 AND r % 7 = 0
+UNION ALL
+SELECT NULL, NULL, NULL, 0, true FROM (SELECT DISTINCT r FROM asked WHERE r % 11 = 0)""",
     "U6_wallets_of_new_users": over("users", f"""
 SELECT {UUID} AS id, user_id, CAST(0 AS DOUBLE) AS balance, 'RUB' AS currency, created_at AS updated_at
 FROM (SELECT id AS user_id, created_at, md5(concat('wallet|', id)) AS h FROM users) u"""),
@@ -347,9 +360,10 @@ SELECT coalesce(s.id, t.session_id) AS session_id, CAST(s.total_cost + s.id % 7
             WHEN s.total_cost + s.id % 7 // 6 <> s.rule_cost THEN 'rule differs' ELSE 'equal' END AS verdict
 FROM (SELECT p.*, {money(cents('entry_time', 'exit_time', 'price_per_hour', 'free_minutes'))} AS rule_cost
       FROM parking_sessions p JOIN (SELECT id AS tid, price_per_hour, free_minutes FROM tariffs) f
-        ON f.tid = p.tariff_id WHERE status = 'completed' AND p.id % 10 <> 4) s
-FULL JOIN (SELECT session_id, -sum(amount) AS charged FROM wallet_transactions
-           WHERE operation_type = 'parking_charge' AND session_id % 10 <> 5 GROUP BY session_id) t
+        ON f.tid = p.tariff_id WHERE status = 'completed') s
+FULL JOIN (SELECT session_id + CASE WHEN session_id % 10 = 5 THEN 1000000000 ELSE 0 END AS session_id,
+                  -sum(amount) AS charged FROM wallet_transactions
+           WHERE operation_type = 'parking_charge' GROUP BY 1) t
   ON t.session_id = s.id"""),
     "J5_import_errors": over("users cars", """
 SELECT request_no, user_no, phone, 'Integrity error (duplicate phone/email/plate)' AS error, verdict AS details
@@ -416,6 +430,10 @@ SELECT c.user_id AS viewer_id, s.id, s.car_id, s.spot_id, s.tariff_id, s.entry_t
 FROM parking_sessions s JOIN cars c ON c.id = s.car_id JOIN users u ON u.id = c.user_id"""),
     "B11_logs_of_one_user": over("entry_logs cars", """
 SELECT l.* FROM entry_logs l JOIN cars c ON c.plate_number = l.plate_number WHERE c.user_id = 10"""),
+    "B11_audit_of_one_user": over("audit_logs", "SELECT * FROM audit_logs WHERE false"),
+    "B11_audit_of_administrators": over("audit_logs", "SELECT * FROM audit_logs"),
+    "B11_cars_seen_with_administrators": over("users cars", """
+SELECT users.id AS viewer_id, cars.* FROM users JOIN cars ON cars.user_id = users.id"""),
     "B11_operations_of_one_user": over("wallet_transactions wallets", """
 SELECT t.id, t.wallet_id, t.session_id, CAST(t.amount AS DOUBLE) AS amount, t.operation_type, t.created_at, t.comment
 FROM wallet_transactions t JOIN wallets w ON w.id = t.wallet_id WHERE w.user_id = 10"""),

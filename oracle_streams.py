@@ -1,17 +1,15 @@
-"""DuckDB SQL of the streams: the windows a stream has closed by the end of its input."""
+"""DuckDB SQL of the streams, which have closed all their windows by the end of their input."""
 
 from oracle_jobs import TARIFF_PICK
 from oracle_views import cents, over
 
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
 
 def tumbling(unit: str) -> str:
     return f"""
 SELECT date_trunc('{unit}', entry_time) AS window_start,
        date_trunc('{unit}', entry_time) + INTERVAL 1 {unit} AS window_end,
        count(*) AS entries_count, count(DISTINCT car_id) AS unique_cars
-FROM parking_sessions GROUP BY 1, 2 HAVING window_end <= {CLOSED}"""
+FROM parking_sessions GROUP BY 1, 2"""
 
 
 SLIDES = """slides AS (
@@ -82,16 +80,16 @@ STREAMS = {
     "X1_daily_load_stream": over("parking_sessions", tumbling("day")),
     "X2_denials_stream": over("entry_logs", f"""
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, result, reason, count(*) AS attempts_count
-FROM slides GROUP BY window_start, result, reason HAVING window_end <= {CLOSED}""", more=SLIDES),
+FROM slides GROUP BY window_start, result, reason""", more=SLIDES),
     "X2_denial_share_stream": over("entry_logs", f"""
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS attempts_count,
        count(*) FILTER (WHERE result = 'denied') AS denied_count,
        CAST(count(*) FILTER (WHERE result = 'denied') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS denied_share
-FROM slides GROUP BY window_start HAVING window_end <= {CLOSED}""", more=SLIDES),
+FROM slides GROUP BY window_start""", more=SLIDES),
     "X3_visits_stream": over("entry_logs", f"""
 SELECT min(attempt_time) AS window_start, max(attempt_time) + INTERVAL 2 HOUR AS window_end, plate_number,
        count(*) AS attempts_count, count(*) FILTER (WHERE result = 'allowed') AS allowed_count
-FROM numbered GROUP BY plate_number, visit HAVING window_end <= {CLOSED}""", more=VISITS),
+FROM numbered GROUP BY plate_number, visit""", more=VISITS),
     "X4_reads_without_repeats": over("entry_logs", "SELECT * FROM entry_logs"),
     "X5_gate_flow": over("users wallets tariffs user_access_levels", """
 SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(id AS VARCHAR) AS id, CAST(car_id AS VARCHAR) AS car_id, kind, moment AS "at",

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotline.operators.admission import admit
@@ -10,17 +11,42 @@ from lotline.streaming.admission import admit_stream
 from tests.frames import at, by_id, money, rows, tables
 
 
-def closed(batch, stream):
-    """Rows of the batch form whose window the stream had closed."""
-    last = stream.agg(F.max("window_end")).first()[0]
-    return rows(batch.where(F.col("window_end") <= F.lit(last)))
+BUILDS = {
+    "load": lambda e, d: windows.load(e.select(F.col("ts").alias("entry_time"), F.col("user_id").alias("car_id")), delay=d),
+    "denials": lambda e, d: windows.denials(sample.entry_logs(e), delay=d),
+    "share": lambda e, d: windows.denial_share(sample.entry_logs(e), delay=d),
+    "visits": lambda e, d: windows.visits(sample.entry_logs(e), delay=d)}
 
 
-def test_streams_equal_their_batch_forms(spark, sf_dir):
-    for build in (windows.denials, windows.visits, windows.denial_share):
-        streamed = run.run_to_files(build(sample.entry_logs(read_stream(spark, sf_dir, "events"))))
-        batch = build(sample.entry_logs(read(spark, sf_dir, "events")))
-        assert rows(streamed) == closed(batch, streamed)
+@pytest.fixture(scope="module")
+def in_parts(spark, sf_dir, tmp_path_factory):
+    """The events as a folder of parts in no order of time."""
+    folder = tmp_path_factory.mktemp("parts")
+    read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", BUILDS)
+def test_streams_equal_their_batch_forms(spark, sf_dir, in_parts, name):
+    batch = rows(BUILDS[name](read(spark, sf_dir, "events"), "10 minutes"))
+    for folder in (sf_dir, in_parts):
+        got = run.run_to_end(read_stream(spark, folder, "events"), "ts", lambda e: BUILDS[name](e, "10 minutes"))
+        assert rows(got) == batch
+
+
+def test_parts_in_many_triggers(spark, sf_dir, in_parts):
+    """With a delay as long as the disorder nothing is lost; with a short one the run fails."""
+    batch = rows(BUILDS["load"](read(spark, sf_dir, "events"), "10 minutes"))
+    got = run.run_to_end(read_stream(spark, in_parts, "events", 1), "ts", lambda e: BUILDS["load"](e, "60 days"))
+    assert rows(got) == batch
+    with pytest.raises(run.LateRows):
+        run.run_to_end(read_stream(spark, in_parts, "events", 1), "ts", lambda e: BUILDS["load"](e, "10 minutes"))
+
+
+def test_reads_and_flow_do_not_depend_on_files(spark, sf_dir, in_parts):
+    for build in (lambda e: windows.without_repeats(sample.entry_logs(e).unionByName(sample.entry_logs(e))),):
+        got = [rows(run.run_to_files(build(read_stream(spark, f, "events")))) for f in (sf_dir, in_parts)]
+        assert got[0] == got[1] and len(got[0]) == read(spark, sf_dir, "events").count()
 
 
 def test_stream_admission_equals_batch(spark, sf_dir, tmp_path):
