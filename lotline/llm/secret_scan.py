@@ -70,7 +70,7 @@ def text_key(text: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """text_key, start, end, found, before and after (the text beside it), once per distinct text."""
     texts = docs.select(text_of("text").alias("text")).select("text", _spans(F.col("text")).alias("spans"))
-    rows = texts.where(F.size("spans") > 0).select(text_key(F.col("text")).alias("text_key"), "text", F.explode("spans").alias("s"))
+    rows = texts.select(text_key(F.col("text")).alias("text_key"), "text", F.explode("spans").alias("s"))
     begin = F.greatest(F.lit(0), F.col("s.start") - BESIDE)
     return rows.select(
         "text_key", "s.start", "s.end", "s.found",
