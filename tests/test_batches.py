@@ -153,7 +153,7 @@ def test_visibility(spark):
     assert access.visible_to(t, "entry_logs", "a", is_admin=True).count() == 3
     who = access.viewers(t.users)
     assert rows(who) == [("a", True), ("u", False)]
-    assert rows(access.seen_by(t, "entry_logs", who), "viewer_id", "id") == [("u", "1")]
+    assert rows(access.seen_by(t, "entry_logs", who), "viewer_id", "id") == [("a", "2"), ("u", "1")]
 
 
 def test_audit_rows(spark):
