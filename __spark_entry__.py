@@ -17,6 +17,7 @@ from lotline.functions.money import billable_minutes, parking_cost  # noqa: E402
 from lotline.operators import (access, admission, audit, changes, importer,  # noqa: E402
                                ledger, quality, settlement)
 from lotline.plans import activity, occupancy, people, revenue, sql_surface  # noqa: E402
+from lotline.plans.lookups import with_zone  # noqa: E402
 from lotline.schemas import TABLES  # noqa: E402
 from lotline.sources import sample, sample_batches as batches, sinks  # noqa: E402
 from lotline.sources.sample import read, read_stream, sample_tables  # noqa: E402
@@ -62,9 +63,8 @@ def _cost(t: Tables) -> DataFrame:
 
 def _tariff_requests(t: Tables) -> DataFrame:
     cars = t.cars.select(F.col("id").alias("car_id"), "user_id")
-    spots = t.parking_spots.select(F.col("id").alias("spot_id"), "zone_id")
-    requests = (t.parking_sessions.select("id", "car_id", "spot_id").join(cars, "car_id")
-                .join(spots, "spot_id", "left").select("id", "user_id", "zone_id"))
+    sessions = with_zone(t, t.parking_sessions.select("id", "car_id", "spot_id"))
+    requests = sessions.join(cars, "car_id").select("id", "user_id", "zone_id")
     return admission.assign_tariffs(t, requests)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
                                           held_claims)
+from lotline.operators.spread import join_totals
 from lotline.schemas import CASCADE, NOW, RESTRICT, SET_NULL, TABLES, children_of
 from lotline.session import cut_lineage
 from lotline.sources.tables import Tables
@@ -214,6 +215,7 @@ def apply_deletes(tables: Tables, table: str, keys: DataFrame) -> Deletion:
         rows = after.get(child, getattr(tables, child))
         lost = gone[parent].select(F.col("id").alias(column), F.lit(True).alias("_lost"))
         kept = F.when(F.col("_lost").isNull(), F.col(column)).alias(column)
-        after[child] = rows.join(lost, column, "left").select(
+        referring = join_totals(rows.where(F.col(column).isNotNull()), lost, [column]).select(
             *[kept if c == column else F.col(c) for c in rows.columns])
+        after[child] = referring.unionByName(rows.where(F.col(column).isNull()))
     return Deletion(tables.replace(**after), deleted, unknown.unionByName(blocked))

@@ -71,19 +71,23 @@ def moved_until(transactions: DataFrame, moments: DataFrame, at: str) -> DataFra
     """Adds ``moved`` to rows with a ``wallet_id``: what the wallet's operations sum up to
     by the time in column ``at``, operations of the same instant included.
 
+    Rows without a wallet get NULL. They go around the shuffles, where they would all share one key.
+
     The rows join the operations as rows that move nothing, so one running total
     answers them all and nothing has to be joined back.
     """
     zero = F.lit(0).cast(AMOUNT)
     moves = transactions.select("wallet_id", F.col("created_at").alias("_at"),
-                                F.lit(0).alias("_kind"), F.col("amount").alias("_amount"))
-    asked = moments.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"),
+                                F.lit(0).alias("_kind"), F.col("amount").alias("_amount")).where("wallet_id is not null")
+    asked = moments.where("wallet_id is not null").select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"),
                            zero.alias("_amount"))
     line = asked.unionByName(moves, allowMissingColumns=True)
     # Ties of one kind need no further order: the asking rows add nothing, and all
     # operations of the instant come before them.
     line = running_total(line, ["wallet_id"], "_at", ["_kind"], "_amount", "_moved")
-    return line.where(F.col("_kind") == 1).select(*moments.columns, F.col("_moved").alias("moved"))
+    line = line.where(F.col("_kind") == 1).select(*moments.columns, F.col("_moved").alias("moved"))
+    others = moments.where("wallet_id is null").withColumn("moved", F.lit(None).cast(line.schema["moved"].dataType))
+    return line.unionByName(others)
 
 
 def balances_at(wallets: DataFrame, transactions: DataFrame, moments: DataFrame,

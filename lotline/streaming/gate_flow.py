@@ -150,12 +150,14 @@ def enrich(tables: Tables, passages: DataFrame) -> DataFrame:
     """Adds owner, car state and tariff terms to passages (id, kind, plate_number, at).
 
     Top-ups carry ``user_id`` and ``amount`` instead of a plate. Everything joined is
-    a stored table with one row per key, so passages never multiply.
+    a stored table with one row per key, so passages never multiply. Passages without a plate
+    look one up that nobody has, each its own, so that they don't share a NULL key.
     """
     zone_type = tables.tariffs.schema["zone_id"].dataType
     cars = tables.cars.select(F.col("id").alias("car_id"), F.col("user_id").alias("_owner"),
-                              "plate_number", "is_active")
-    owned = (passages.join(cars, "plate_number", "left")
+                              F.col("plate_number").alias("_plate"), "is_active")
+    asked = F.coalesce("plate_number", F.concat(F.lit("\0"), F.col("id").cast("string")))
+    owned = (passages.join(cars, asked == F.col("_plate"), "left").drop("_plate")
              .withColumn("user_id", F.coalesce("_owner", "user_id")).drop("_owner")
              .withColumn("zone_id", F.lit(None).cast(zone_type)))
     terms = tables.tariffs.select(F.col("id").alias("tariff_id"), "price_per_hour", "free_minutes")
