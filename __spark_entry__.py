@@ -131,6 +131,22 @@ def _update(t: Tables, stored) -> changes.Change:
         unique_keys=TABLES["parking_spots"].unique)
 
 
+def _car_updates(t: Tables, stored) -> changes.Change:
+    return changes.apply_updates(
+        t.cars, batches.car_patches(stored("customer")), ["plate_number", "model"], overwrite=True,
+        unique_keys=TABLES["cars"].unique, owner=("user_id", "by"))
+
+
+def _change_audit(action: str, changed: DataFrame) -> DataFrame:
+    return audit.audit_rows("cars", action, changed, ["plate_number", "model"], "user_id",
+                            F.lit("2024-02-10 00:00:00").cast("timestamp_ntz"))
+
+
+def _deleted_cars(t: Tables) -> DataFrame:
+    gone = changes.apply_deletes(t, "cars", t.cars.where("id % 2 = 0").select("id")).deleted
+    return t.cars.join(gone, "id", "left_semi")
+
+
 def _delete_users(t: Tables) -> changes.Deletion:
     return changes.apply_deletes(t, "users", t.users.where("id % 3 = 0").select("id"))
 
@@ -320,6 +336,11 @@ def queries() -> dict[str, Query]:
         "J8_sessions_after_zone_delete": _report(
             lambda t: _delete_zones(t).select("id", "spot_id")),
         "J9_audit_of_inserts": _job(_insert_audit),
+        "B13_cars_after_updates": _job(lambda t, s: _car_updates(t, s).table.select(
+            "id", "user_id", "plate_number", "model")),
+        "B13_refused_car_updates": _job(lambda t, s: _car_updates(t, s).rejected),
+        "J9_audit_of_updates": _job(lambda t, s: _change_audit("update", _car_updates(t, s).accepted)),
+        "J9_audit_of_deletes": _report(lambda t: _change_audit("delete", _deleted_cars(t))),
         "J10_defaults": _job(lambda t, s: changes.with_defaults(
             "wallets", batches.bare_wallets(s("customer")), "2024-02-10 00:00:00")),
         "K1_user_violations": _job(_violations),

@@ -52,6 +52,16 @@ def spot_patches(supplier: DataFrame) -> DataFrame:
         F.when(key % 2 == 0, key % 3 == 0).alias("is_active"))
 
 
+def car_patches(customer: DataFrame) -> DataFrame:
+    """New plates and models for everyone's first car; one in five asks for a car of somebody else."""
+    key = F.col("c_custkey")
+    car = key * 3
+    return customer.select(
+        car.alias("id"), F.when(key % 5 == 0, key + 1).otherwise(key).alias("by"),
+        F.concat(F.when(car % 2 == 0, "Q").otherwise("P"), car.cast("string")).alias("plate_number"),
+        F.when(car % 4 != 0, "Model Y").alias("model"))
+
+
 def bare_wallets(customer: DataFrame) -> DataFrame:
     """Wallets of which many columns are missing or NULL."""
     key = F.col("c_custkey")

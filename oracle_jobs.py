@@ -222,6 +222,25 @@ checked AS (
                 WHEN c.id IS NULL THEN 'Car not found' END AS error
     FROM asked a LEFT JOIN gates g ON g.id = a.gate_id LEFT JOIN cars c ON c.plate_number = a.plate_number)"""
 
+CAR_PATCHES = """asked AS (
+    SELECT c_custkey * 3 AS id, c_custkey % 5 <> 0 AS mine,
+           concat(CASE WHEN c_custkey * 3 % 2 = 0 THEN 'Q' ELSE 'P' END, c_custkey * 3) AS plate,
+           CASE WHEN c_custkey * 3 % 4 <> 0 THEN 'Model Y' END AS new_model FROM customer),
+patched AS (
+    SELECT cars.id, user_id, CASE WHEN mine THEN plate ELSE plate_number END AS plate_number,
+           CASE WHEN mine THEN new_model ELSE model END AS model, coalesce(mine, false) AS done
+    FROM cars LEFT JOIN asked ON asked.id = cars.id)"""
+
+
+def audit_of(action: str, rows: str) -> str:
+    """Audit rows of cars with their plate and model as details."""
+    return f"""
+SELECT {UUID} AS id, user_id, 'car' AS entity_type, car AS entity_id, '{action}' AS action, details,
+       TIMESTAMP '2024-02-10 00:00:00' AS created_at
+FROM (SELECT user_id, id AS car, CAST(to_json(struct_pack(plate_number := plate_number, model := model)) AS VARCHAR) AS details,
+             md5(concat('audit|car|{action}|', id, '|2024-02-10 00:00:00')) AS h FROM {rows}) x"""
+
+
 JOBS = {
     "A2_rows_of_keys": over("parking_sessions cars", """
 SELECT id, car_id, spot_id, tariff_id, entry_time, exit_time, CAST(total_cost AS DOUBLE) AS total_cost, status
@@ -403,6 +422,11 @@ FROM (SELECT user_id, id AS entity_id, TIMESTAMP '2024-02-10 00:00:00' AS create
                     CASE WHEN model IS NULL THEN 'null' ELSE concat('"', model, '"') END, '}}') AS details,
              md5(concat('audit|car|create|', id, '|2024-02-10 00:00:00')) AS h
       FROM judged WHERE error IS NULL) x""", more=NEW_CARS),
+    "B13_cars_after_updates": over("cars", "SELECT id, user_id, plate_number, model FROM patched", more=CAR_PATCHES),
+    "B13_refused_car_updates": over("cars", "SELECT id, 'not the owner' AS error FROM asked WHERE NOT mine", more=CAR_PATCHES),
+    "J9_audit_of_updates": over("cars", audit_of("update", "(SELECT * FROM patched WHERE done)"), more=CAR_PATCHES),
+    "J9_audit_of_deletes": over("cars parking_sessions", audit_of("delete", """(SELECT * FROM cars
+        WHERE id % 2 = 0 AND id NOT IN (SELECT car_id FROM parking_sessions))""")),
     "J10_defaults": """
 SELECT c_custkey AS id, c_custkey AS user_id,
        CASE WHEN c_custkey % 3 <> 0 THEN CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) ELSE 0 END AS balance,

@@ -59,6 +59,46 @@ def test_insert_ignore(spark):
     assert rows(changes.insert_ignore(t, b, ["code"]), "id") == [("3",)]
 
 
+def test_insert_ignore_keeps_nulls_and_the_first(spark):
+    t = frame(spark, "users", [{"id": "1", "email": "a@x.y"}])
+    b = frame(spark, "users", [{"id": "2", "email": None}, {"id": "3", "email": None}, {"id": "5", "email": "b@x.y"},
+                               {"id": "4", "email": "b@x.y"}, {"id": "6", "email": "a@x.y"}])
+    assert rows(changes.insert_ignore(t, b, ["email"]), "id") == [("2",), ("3",), ("4",)]
+
+
+def test_repeated_ids_stay_apart(spark):
+    target = frame(spark, "cars", [{"id": "1", "plate_number": "A"}])
+    batch = frame(spark, "cars", [{"id": "1", "plate_number": "B"}, {"id": "9", "plate_number": "C"},
+                                  {"id": "9", "plate_number": "D"}, {"id": "9", "plate_number": "C"}])
+    done = changes.apply_inserts(target, batch, TABLES["cars"].unique)
+    assert rows(done.table, "id") == [("1",), ("9",)] and done.accepted.count() == 1
+    assert sorted(r.error for r in done.rejected.collect()) == [
+        "id already exists", "repeats an earlier row of the batch", "repeats an earlier row of the batch"]
+
+
+def test_several_patches_of_a_row(spark):
+    target = frame(spark, "cars", [{"id": "1", "plate_number": "A", "model": "M"}, {"id": "2", "plate_number": "B", "model": "N"}])
+    patch = spark.createDataFrame([("1", 1, "X", None), ("1", 2, None, "Y"), ("1", 3, "Z", None), ("2", 1, "C", None)],
+                                  "id string, n int, plate_number string, model string")
+    columns = ["plate_number", "model"]
+    folded = changes.apply_updates(target, patch, columns, unique_keys=[("plate_number",)], order="n")
+    assert by_id(folded.table, *columns) == {"1": ("Z", "Y"), "2": ("C", "N")}
+    last = changes.apply_updates(target, patch, columns, overwrite=True, order="n")
+    assert by_id(last.table, *columns) == {"1": ("Z", None), "2": ("C", None)}
+    unordered = changes.apply_updates(target, patch, columns)
+    assert by_id(unordered.table, *columns) == {"1": ("A", "M"), "2": ("C", "N")}
+    assert by_id(unordered.rejected, "error") == {"1": "several patches without an order"}
+
+
+def test_no_request_is_lost(spark, tmp_path):
+    lines = ['{"users": []}', '{"users": [{"phone": "+71", "password_hash": "h"}]}', '{"users": [', '{"request_no": 5}']
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    done = importer.import_users(tables(spark, users=[], cars=[]), importer.read_payloads(spark, str(tmp_path)), NOW)
+    assert sorted((r.created_users, r.failed_users) for r in done.summary.collect()) == [(0, 0), (0, 0), (0, 0), (1, 0)]
+    [error] = done.errors.collect()
+    assert error.error == "Invalid request" and 5 in {r.request_no for r in done.summary.collect()}
+
+
 def test_defaults(spark):
     batch = spark.createDataFrame([("w1", "u1", None)], "id string, user_id string, currency string")
     row = changes.with_defaults("wallets", batch, NOW).first()
