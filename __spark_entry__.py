@@ -168,7 +168,7 @@ def _insert_audit(t: Tables, stored) -> DataFrame:
 
 
 def _quality(t: Tables) -> DataFrame:
-    return quality.quality_report(t, ("parking_sessions", "wallet_transactions"))
+    return quality.quality_report(t)
 
 
 def _violations(t: Tables, stored) -> DataFrame:

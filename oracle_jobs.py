@@ -178,38 +178,55 @@ DIRTY = """dirty AS (
            CASE WHEN c_custkey % 13 <> 0 THEN 'hash' END AS password_hash
     FROM customer)"""
 
-ALL_COLUMNS = {
-    "parking_sessions": [("row", f"{c} required", f"{c} IS NULL") for c in
-                         ("id", "car_id", "tariff_id", "entry_time", "status")]
-    + [("row", "status longer than 20", "length(status) > 20"),
-       ("row", "status not in domain", "status NOT IN ('active', 'completed', 'failed')"),
-       ("row", "exit_time before entry_time", "exit_time < entry_time")],
-    "wallet_transactions": [("row", f"{c} required", f"{c} IS NULL") for c in
-                            ("id", "wallet_id", "amount", "operation_type", "created_at")]
-    + [("row", "operation_type longer than 20", "length(operation_type) > 20"),
-       ("row", "operation_type not in domain",
-        "operation_type NOT IN ('topup', 'parking_charge', 'adjustment')")],
-}
-REFERENCES = {
-    "parking_sessions": (("car_id", "cars"), ("spot_id", "parking_spots"), ("tariff_id", "tariffs")),
-    "wallet_transactions": (("wallet_id", "wallets"), ("session_id", "parking_sessions")),
+# Per table: required columns, longest texts, other row rules, unique keys, references.
+CHECKS = {
+    "users": ("id phone password_hash created_at is_blocked", {"phone": 20, "email": 255, "password_hash": 255},
+              {"phone format": r"NOT regexp_matches(phone, '^\+?[1-9][0-9]{1,14}$')",
+               "email format": r"NOT regexp_matches(email, '^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$')"}, ["id", "phone", "email"], {}),
+    "wallets": ("id user_id balance currency updated_at", {"currency": 3}, {"balance below -1000.00": "balance < -1000"},
+                ["id", "user_id"], {"user_id": "users"}),
+    "cars": ("id user_id plate_number is_active created_at", {"plate_number": 20, "model": 255}, {}, ["id", "plate_number"],
+             {"user_id": "users"}),
+    "access_levels": ("id code", {"code": 50}, {}, ["id", "code"], {}),
+    "user_access_levels": ("id user_id access_level_id granted_at", {}, {}, ["id", "user_id, access_level_id"],
+                           {"user_id": "users", "access_level_id": "access_levels"}),
+    "parking_zones": ("id name", {"name": 255}, {}, ["id"], {}),
+    "parking_spots": ("id zone_id spot_number is_reserved is_active", {"spot_number": 50}, {}, ["id", "zone_id, spot_number"],
+                      {"zone_id": "parking_zones"}),
+    "tariffs": ("id name price_per_hour free_minutes", {"name": 255},
+                {"price_per_hour below 0": "price_per_hour < 0", "free_minutes below 0": "free_minutes < 0"}, ["id", "name"],
+                {"zone_id": "parking_zones", "access_level_id": "access_levels"}),
+    "gates": ("id name type", {"name": 255, "type": 10}, {"type not in domain": "type NOT IN ('entry', 'exit')"}, ["id"], {}),
+    "parking_sessions": ("id car_id tariff_id entry_time status", {"status": 20},
+                         {"status not in domain": "status NOT IN ('active', 'completed', 'failed')",
+                          "exit_time before entry_time": "exit_time < entry_time"}, ["id"],
+                         {"car_id": "cars", "spot_id": "parking_spots", "tariff_id": "tariffs"}),
+    "wallet_transactions": ("id wallet_id amount operation_type created_at", {"operation_type": 20},
+                            {"operation_type not in domain": "operation_type NOT IN ('topup', 'parking_charge', 'adjustment')"},
+                            ["id"], {"wallet_id": "wallets", "session_id": "parking_sessions"}),
+    "entry_logs": ("id plate_number gate_id attempt_time result", {"plate_number": 20, "result": 10},
+                   {"result not in domain": "result NOT IN ('allowed', 'denied')"}, ["id"], {"gate_id": "gates"}),
+    "audit_logs": ("id entity_type action created_at", {"entity_type": 50, "action": 20},
+                   {"action not in domain": "action NOT IN ('create', 'update', 'delete')"}, ["id"], {"user_id": "users"}),
 }
 
 
 def quality_sql() -> str:
     parts = []
-    for table, rules in ALL_COLUMNS.items():
-        for kind, rule, condition in rules:
-            parts.append(f"SELECT '{table}' AS \"table\", '{kind}' AS kind, '{rule}' AS rule, "
-                         f"count(*) FILTER (WHERE {condition}) AS rows FROM {table}")
-        parts.append(f"SELECT '{table}', 'unique', 'id', CAST(coalesce(sum(n), 0) AS BIGINT) FROM "
-                     f"(SELECT count(*) AS n FROM {table} GROUP BY id HAVING count(*) > 1) d")
-        for column, parent in REFERENCES[table]:
+    for table, (required, lengths, others, unique, references) in CHECKS.items():
+        rules = {f"{c} required": f"{c} IS NULL" for c in required.split()}
+        rules |= {f"{c} longer than {n}": f"length({c}) > {n}" for c, n in lengths.items()} | others
+        for rule, broken in rules.items():
+            parts.append(f"SELECT '{table}' AS \"table\", 'row' AS kind, '{rule}' AS rule, "
+                         f"count(*) FILTER (WHERE {broken}) AS rows FROM {table}")
+        for keys in unique:
+            whole = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+            parts.append(f"SELECT '{table}', 'unique', '{keys}', CAST(coalesce(sum(n), 0) AS BIGINT) FROM "
+                         f"(SELECT count(*) AS n FROM {table} WHERE {whole} GROUP BY {keys} HAVING count(*) > 1) d")
+        for column, parent in references.items():
             parts.append(f"SELECT '{table}', 'reference', '{column} -> {parent}', count(*) FROM {table} x "
-                         f"WHERE {column} IS NOT NULL AND NOT EXISTS "
-                         f"(SELECT 1 FROM {parent} p WHERE p.id = x.{column})")
-    return over("cars parking_spots tariffs wallets parking_sessions wallet_transactions",
-                "\nUNION ALL\n".join(parts))
+                         f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent})")
+    return over(" ".join(CHECKS), "\nUNION ALL\n".join(parts))
 
 
 EXIT_REQUESTS = """asked AS (
