@@ -30,7 +30,8 @@ from oracle_reports import REPORTS  # noqa: E402
 from oracle_streams import STREAMS  # noqa: E402
 
 LLM_QUERIES, LLM_SQL = {}, {}
-if importlib.util.find_spec("lotline.llm"):  # the subpackage can be left out
+llm = importlib.util.find_spec("lotline.llm")
+if llm and llm.origin:  # the subpackage can be left out
     from lotline.llm.queries import ORACLE_SQL as LLM_SQL, QUERIES as LLM_QUERIES  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
