@@ -24,7 +24,6 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from lotline.llm.common import cut_lineage, join_small, text_of
 
 FRAME_IDS = 1 << 19
 END_ID = 0
-CACHED = 250_000
+CACHED = 350_000
 """How many coded chunks half the cache of a worker holds."""
 BATCH_CHARS = 1 << 21
 """Texts are coded in batches of about as many characters."""
@@ -57,12 +56,11 @@ FRAME_ARROW = pa.schema([
 class Coder:
     """Ids of texts as little-endian bytes, by way of the tokenizers library.
 
-    Byte-level BPE merges only inside the pieces of its split, and no piece reaches across a space
-    between two other characters except as its first character. So the ids of a text are those of its
-    space-separated chunks, and most chunks of a corpus are old acquaintances. The new ones of many
-    texts are coded by the library in one go, each followed by a line feed, which is a piece, and an
-    id, of its own there. Texts with a run of spaces or a space at an end, and chunks with other white space
-    inside, where pieces of white space could reach across, are coded on their own.
+    Byte-level BPE merges only inside the pieces of its split. No piece reaches across a single space between
+    two other characters except as its first character, and a single line feed between others is a piece of its own. So a
+    text is cut at these, a chunk that follows a line feed keeps it, and the ids of the text are those of its chunks,
+    most of which are old acquaintances. The new ones of many texts are coded by the library in one go, with a line
+    feed after each to tell where it ends. Texts with any other white space are coded as a whole.
 
     About ``CACHED`` to twice as many chunks are kept, the ones asked for of late.
     """
@@ -74,6 +72,7 @@ class Coder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.young, self.old = {}, {}
         [self.line_feed] = self._ids("\n")
+        self.line_feed_bytes = self._bytes("\n")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,8 +80,19 @@ class Coder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype="<u4").tobytes()
 
+    def _code(self, words: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Each word, without white space in it, and its ids after ``before``."""
+        lists = [words[at:at + 256] for at in range(0, len(words), 256)]
+        joined = [before + ("\n" + before).join(some) + "\n" for some in lists]
+        for some, coded in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            raw, first = ids.tobytes(), 0
+            for word, end in zip(some, (np.flatnonzero(ids == self.line_feed) * 4).tolist(), strict=True):
+                yield word, raw[first:end]
+                first = end + 4
+
     def _learn(self, chunks: set[str]) -> None:
-        """Codes ``chunks``, and what the young half lacks of them, into the young half."""
+        """Codes what the young half lacks of ``chunks`` into it; None for those with other white space."""
         if len(self.young) >= CACHED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -90,26 +100,35 @@ class Coder:
         kept = {chunk: old[chunk] for chunk in new.intersection(old)}
         young.update(kept)
         new.difference_update(kept)
-        odd = [chunk for chunk in new if len(chunk.split(None, 1)) != 1 or chunk[-1].isspace() or chunk[0].isspace()]
-        young.update((chunk, self._bytes(" " + chunk)) for chunk in odd)
-        plain = list(new.difference(odd))
-        lists = [plain[at:at + 256] for at in range(0, len(plain), 256)]
-        joined = [" " + "\n ".join(some) + "\n" for some in lists]
-        for some, coded in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(coded.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.line_feed)
-            raw, first = ids.tobytes(), 0
-            for chunk, end in zip(some, (ends * 4).tolist(), strict=True):
-                young[chunk] = raw[first:end]
-                first = end + 4
+        after_space, after_feed = [], []
+        for chunk in new:
+            word = chunk[1:] if chunk[0] == "\n" else chunk
+            if not word:
+                young[chunk] = self.line_feed_bytes
+            elif word.split() != [word]:
+                young[chunk] = None
+            elif word is chunk:
+                after_space.append(word)
+            else:
+                after_feed.append(word)
+        young.update(self._code(after_space, " "))
+        feed = self.line_feed_bytes
+        young.update(("\n" + word, feed + coded) for word, coded in self._code(after_feed, ""))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
-        self._learn({chunk for chunks in cut if chunks for chunk in islice(chunks, 1, None)})
-        get = self.young.__getitem__
-        return [self._bytes(text) if chunks is None else
-                self._bytes(chunks[0]) + b"".join(map(get, islice(chunks, 1, None)))
-                for text, chunks in zip(texts, cut)]
+        cut = []
+        for text in texts:
+            chunks = ("\n" + text).replace("\n", " \n")[1:]
+            odd = "  " in chunks or "\n\n" in text or text[:1] in " \n" or text[-1:] == " "
+            cut.append(None if odd else chunks.split(" "))
+        self._learn({chunk for chunks in cut if chunks for chunk in chunks})
+        get, out = self.young.__getitem__, []
+        for text, chunks in zip(texts, cut):
+            try:  # the line feed put before the text goes again
+                out.append(self._bytes(text) if chunks is None else b"".join(map(get, chunks))[len(self.line_feed_bytes):])
+            except TypeError:
+                out.append(self._bytes(text))
+        return out
 
 
 @functools.cache

@@ -47,7 +47,7 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_odd_rows(spark, tmp_path):
-    texts = [None, "", "a  b", "a   b", "x \n y", "x\n  y", "x\n y", " lead", "end ", "end\n ", " ", "\n \t q r", "  two  spaces\n\n\tand 'll it's <|endoftext|> 12345 ñandú   x \U0001F600",
+    texts = [None, "", "\nx", "x\n", "x\n\ny", "x\n\n\ny", "a\tb\nc", "foo\t\n\tbar", "a\r\nb c\r\n", "1 2\n3", "a  b", "a   b", "x \n y", "x\n  y", "x\n y", " lead", "end ", "end\n ", " ", "\n \t q r", "  two  spaces\n\n\tand 'll it's <|endoftext|> 12345 ñandú   x \U0001F600",
              "a" * 3000, " \n ", "word " * 200_000, "\x00\x1c\x1f y"]
     rows = [(i, t, "start") for i, t in enumerate(texts)] + [(1, "again", "x"), (1, "again", "x")]
     docs = spark.createDataFrame(rows + [(None, "no id", "z")], "doc_id bigint, text string, start string")
