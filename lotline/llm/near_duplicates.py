@@ -12,11 +12,12 @@ draw the same one with the chance of their weighted Jaccard similarity. Samples
 texts that share a band are candidates. At a similarity of 0.8 a pair is missed once in 500.
 
 *Verification.* Candidates are compared by exact weighted Jaccard similarity, ``SIMILAR`` or more is a link,
-and classes are the connected components of the links. A bucket is never expanded into all of its pairs: in
-rounds each of its components sends one text to be compared with one of the bucket's leader (round by round
-another), so a bucket of n alike texts costs about n comparisons. What is still apart after ``ROUNDS`` is compared
-exactly, each remaining text with those of other components in its bucket whose total weight admits the
-similarity and whose samples agree often enough, so no link between candidates is lost.
+and classes are the connected components of the links. No group is expanded into all of its pairs. First, in
+turns, every class compares one text with the leader of a bucket, chosen so that copies meet the text they
+were made from. What is still apart in buckets of up to ``MOST_PAIRED`` texts is then compared pair by pair, so no candidate
+is left out there. Texts of larger buckets that are still apart (alike enough to share samples, too different to be
+linked to a leader) are dealt to narrower buckets, which agree in more samples at once, and meet leaders there. What
+a crowded bucket can still miss is a link between two texts that no leader is alike enough to.
 
 Equal texts are one text from the signatures on. A null text is an empty text. Texts without
 words are alike only if equal. Repeated rows are in one class. An empty table gives an empty result.
@@ -39,10 +40,11 @@ SIMILAR = 0.8
 HASHES, ROWS = 48, 4
 IDF_BITS = 18
 POOL_BITS = 16
-ROUNDS = 3
-LEAST_AGREEMENT = 0.45
-"""Share of samples two texts must agree in to be compared in the last round. At a similarity of
-0.8 fewer than 22 of 48 agree less than once in ten million pairs."""
+TURNS = 3
+REFINEMENTS = ((8, 24), (14, 48))
+"""Rows and bands of the narrower buckets of texts that crowded buckets leave apart."""
+MOST_PAIRED = 32
+"""Buckets of up to so many texts are compared pair by pair."""
 SEED = 71
 
 
@@ -55,17 +57,39 @@ def word_hashes(text):
     return F.transform(white_words(text), lambda w: F.xxhash64(w))
 
 
+def _bucket_counter(bits: int):
+    """Arrow batches of word hashes to (bucket, texts with a word in it); bucket -1 counts the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, texts = np.zeros(1 << bits, np.int64), 0
+        for batch in _by_words(batches, column=0):
+            words, ends = _flat(batch.column(0))
+            text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+            pairs = np.unique((text << bits) | (words & ((1 << bits) - 1)))
+            counts += np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
+            texts += batch.num_rows
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(counts[used], texts))],
+            names=["bucket", "n"])
+
+    return count
+
+
 def document_frequencies(texts: DataFrame, bits: int = IDF_BITS) -> tuple[np.ndarray, int]:
     """In how many texts (column ``words``, hashes) a word of each bucket occurs, and how many texts there are.
 
-    At most 2 ** ``bits`` sums, one megabyte, come to the driver.
+    A task sends one row per bucket at most, and at most 2 ** ``bits`` sums come to the driver.
     """
-    buckets = F.array_distinct(F.transform("words", lambda w: w.bitwiseAND((1 << bits) - 1).cast("int")))
-    rows = (texts.select(F.explode(buckets).alias("bucket")).groupBy("bucket").count().collect())
-    counts = np.zeros(1 << bits)
+    rows = (texts.select("words").mapInArrow(_bucket_counter(bits), "bucket int, n bigint")
+            .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    counts, n = np.zeros(1 << bits), 0
     for r in rows:
-        counts[r[0]] = r[1]
-    return counts, int(texts.count())
+        if r.bucket < 0:
+            n = r.n
+        else:
+            counts[r.bucket] = r.n
+    return counts, n
 
 
 def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
@@ -225,6 +249,8 @@ def _verifier(idf: np.ndarray, least: float):
 
 def verified(pairs: DataFrame, words: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b of text numbers) whose texts are similar. ``words``: n and the word hashes of candidates."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct())
+    words = join_small(words, ids, ["n"], "left_semi")
     a = words.select(F.col("n").alias("a"), F.col("words").alias("words_a"))
     b = words.select(F.col("n").alias("b"), F.col("words").alias("words_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
@@ -263,39 +289,57 @@ def _between(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _delegates(buckets: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """a, b: in every bucket with several classes, one text of each class with the leader's.
+    """a, b: for every class that meets another one, one of its texts with a leader: as many pairs as classes at most.
 
-    The leader is the class with the most texts in the bucket; texts change from turn to turn.
+    In a bucket the largest class leads. In the first turn each class sends the text with the most company over
+    all of its buckets, which in a group of edited copies is the text they were made from or the one closest to it;
+    in later turns a text at random. A class takes up one bucket a turn, the one with the largest leader first
+    and then at random.
     """
-    pick = F.xxhash64(F.lit(turn), "n")
+    by_turn = F.xxhash64(F.lit(turn), "n")
+    rank = F.col("company") if turn == 0 else by_turn
     held = (join_small(buckets, nodes, ["n"], "inner").groupBy("bucket", "class")
-            .agg(F.min(F.struct(pick.alias("p"), "n")).alias("m"), F.count(F.lit(1)).alias("size")))
-    held = cut_lineage(held.select("bucket", "class", F.col("m.n").alias("n"), "size"))
-    leaders = (held.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("class")).alias("c"), "n")).alias("l"),
+            .agg(F.max(F.struct(rank.alias("rank"), (-F.col("n")).alias("n"))).alias("m"), F.count(F.lit(1)).alias("size")))
+    held = cut_lineage(held.select("bucket", "class", (-F.col("m.n")).alias("n"), "m.rank", "size"))
+    leaders = (held.groupBy("bucket").agg(F.max(F.struct("size", "rank", (-F.col("n")).alias("n"), "class")).alias("l"),
                                           F.count(F.lit(1)).alias("classes"))
-               .where("classes > 1").select("bucket", F.col("l.n").alias("leader"), (-F.col("l.c")).alias("of")))
+               .where("classes > 1").select("bucket", (-F.col("l.n")).alias("leader"), F.col("l.class").alias("of"),
+                                            F.col("l.rank").alias("lead"), F.col("l.size").alias("led")))
     pairs = join_small(held, cut_lineage(leaders), ["bucket"], "inner").where("class <> of")
-    return pairs.select(F.least("n", "leader").alias("a"), F.greatest("n", "leader").alias("b")).distinct()
+    choice = F.struct("led", "lead", "leader") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "bucket"), "leader")
+    one = pairs.groupBy("class").agg(F.max_by(F.struct("n", "leader"), choice).alias("p"))
+    return one.select(F.least("p.n", "p.leader").alias("a"), F.greatest("p.n", "p.leader").alias("b")).distinct()
 
 
-def _rest(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
-    """a, b: the pairs across classes of a bucket that weight and samples don't rule out.
+def _refined(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, rows: int, bands: int) -> DataFrame:
+    """Narrower buckets of the texts whose crowded buckets still hold several classes.
 
-    Only buckets that still hold several classes take part, and of their largest class and the others,
-    pairs within a class are never formed.
+    Texts meet here in ``rows`` samples at once, in one of ``bands`` random choices of them.
     """
     of = join_small(buckets, nodes, ["n"], "inner")
-    several = of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    crowded = (of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size"))
+               .where((F.col("lo") != F.col("hi")) & (F.col("size") > MOST_PAIRED)).select("bucket"))
+    texts = cut_lineage(join_small(of, cut_lineage(crowded), ["bucket"], "left_semi").select("n", "company").distinct())
+    rng = np.random.default_rng([SEED, rows])
+    keys = F.array(*[F.xxhash64(F.lit(band), *[F.get("samples", F.lit(int(k))) for k in rng.choice(HASHES, rows, replace=False)])
+                     for band in range(bands)])
+    spread = signed.join(texts, "n").select("n", "company", F.explode(keys).alias("bucket"))
+    shared = cut_lineage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
+    return cut_lineage(join_small(spread, shared, ["bucket"], "left_semi"))
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
+    """a, b: the pairs across classes of buckets of up to ``MOST_PAIRED`` texts that weights don't rule out."""
+    of = join_small(buckets, nodes, ["n"], "inner")
+    several = (of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size"))
+               .where((F.col("lo") != F.col("hi")) & (F.col("size") <= MOST_PAIRED)))
     held = cut_lineage(join_small(of, cut_lineage(several.select("bucket")), ["bucket"], "left_semi"))
-    traits = signed.select("n", "weight", "samples")
-    held = cut_lineage(held.join(traits, "n"))
-    a = held.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("n", "class", "weight", "samples")])
-    b = held.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("n", "class", "weight", "samples")])
-    agree = F.size(F.filter(F.arrays_zip("samples_a", "samples_b"), lambda s: s["samples_a"] == s["samples_b"]))
+    held = cut_lineage(held.join(signed.select("n", "weight"), "n"))
+    a = held.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("n", "class", "weight")])
+    b = held.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("n", "class", "weight")])
     near = ((F.col("n_a") < F.col("n_b")) & (F.col("class_a") != F.col("class_b"))
             & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similar - 1e-3)))
-    return (a.join(b, "bucket").where(near).where(agree >= HASHES * LEAST_AGREEMENT)
-            .select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct())
+    return a.join(b, "bucket").where(near).select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
 
 
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -309,22 +353,29 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spread = signed.select("n", F.explode("bands").alias("bucket"))
     shared = cut_lineage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
     buckets = cut_lineage(join_small(spread, shared, ["bucket"], "left_semi"))
-    nodes = cut_lineage(buckets.select("n").distinct().withColumn("class", F.col("n")))
+    company = join_totals(buckets, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), ["bucket"], "inner")
+    company = cut_lineage(company.groupBy("n").agg(F.sum("size").alias("company")))
+    buckets = cut_lineage(join_small(buckets, company, ["n"], "inner").select("n", "company", "bucket"))
+    nodes = cut_lineage(company.select("n", F.col("n").alias("class")))
     numbers = cut_lineage(signed.join(nodes.select("n"), "n", "left_semi").select("text_key", "n"))
     words = join_small(texts, numbers, ["text_key"], "inner").groupBy("n").agg(F.first("words").alias("words"))
     words = written(words, "candidates")
     done = None
-    for turn in range(ROUNDS + 1):
-        pairs = _delegates(buckets, nodes, turn) if turn < ROUNDS else _rest(buckets, nodes, signed, similar)
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+
+    def linked(nodes: DataFrame, done: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        pairs = cut_lineage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+            return nodes, done
         links = cut_lineage(verified(pairs, words, idf, similar))
-        nodes = components(nodes, links)
-        done = pairs if done is None else cut_lineage(done.unionByName(pairs))
+        return components(nodes, links), pairs if done is None else cut_lineage(done.unionByName(pairs))
+
+    for turn in range(TURNS):
+        nodes, done = linked(nodes, done, _delegates(buckets, nodes, turn))
+    for rows, bands in REFINEMENTS:
+        narrow = _refined(buckets, nodes, signed, rows, bands)
+        for turn in range(0 if narrow.isEmpty() else TURNS):
+            nodes, done = linked(nodes, done, _delegates(narrow, nodes, turn))
+    nodes, done = linked(nodes, done, _rest(buckets, nodes, signed, similar))
     return numbers.join(nodes, "n").select("text_key", "class")
 
 
