@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lotline.llm.common import cut_lineage, join_small, packed, text_of, white_words
@@ -159,7 +158,8 @@ def block_shards(sources: DataFrame, shards: int | None = None, seed: int = SEED
                       dtype=np.int64)
     n = shards or max(1, math.ceil(int(quotas.sum()) / shard_blocks))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator) -> Iterator:
+        import pandas as pd  # in the tasks only; the driver has no use for it
         for batch in batches:
             for shard in batch["id"]:
                 first, held = shard_quotas(int(shard), n, quotas, seed)

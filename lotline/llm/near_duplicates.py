@@ -40,7 +40,7 @@ SIMILAR = 0.8
 HASHES, ROWS = 48, 4
 IDF_BITS = 18
 POOL_BITS = 16
-TURNS = 3
+TURNS = 2
 REFINEMENTS = ((8, 24), (14, 48))
 """Rows and bands of the narrower buckets of texts that crowded buckets leave apart."""
 MOST_PAIRED = 32

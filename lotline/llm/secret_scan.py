@@ -20,10 +20,6 @@ rows each get their result. An empty table gives an empty result. Columns of the
 
 from __future__ import annotations
 
-from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.llm.common import cut_lineage, join_small, packed, text_of, white_words
@@ -126,11 +122,13 @@ def verdict() -> Column:
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler  # MLlib is loaded only where it is used
     return VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(rows)
 
 
-def fit(findings: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(findings: DataFrame, sample: int = SAMPLE):
     """A forest of the findings (``MEASURES`` and label); at most ``sample`` of each label, by hash of the candidate."""
+    from pyspark.ml.classification import RandomForestClassifier
     order = F.xxhash64(F.lit(SEED), "found", "before", "after")
     parts = [findings.where(F.col("label") == label).orderBy(order).limit(sample) for label in (0.0, 1.0)]
     chosen = cut_lineage(parts[0].unionByName(parts[1]))
@@ -140,8 +138,9 @@ def fit(findings: DataFrame, sample: int = SAMPLE) -> Model | None:
     return forest.fit(_assembled(chosen.repartition(1).sortWithinPartitions("found", "before", "after")))
 
 
-def scored(rows: DataFrame, model: Model | None) -> DataFrame:
+def scored(rows: DataFrame, model) -> DataFrame:
     """Adds chance (of being a secret)."""
+    from pyspark.ml.functions import vector_to_array
     if model is None:
         return rows.withColumn("chance", F.col("assigned"))
     out = model.transform(_assembled(rows))
