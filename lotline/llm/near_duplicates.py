@@ -14,10 +14,9 @@ texts that share a band are candidates. At a similarity of 0.8 a pair is missed
 *Verification.* Candidates are compared by exact weighted Jaccard similarity, ``SIMILAR`` or more is a link,
 and classes are the connected components of the links. No group is expanded into all of its pairs. First, in
 turns, every class compares one text with the leader of a bucket, chosen so that copies meet the text they
-were made from. What is still apart in buckets of up to ``MOST_PAIRED`` texts is then compared pair by pair, so no candidate
-is left out there. Texts of larger buckets that are still apart (alike enough to share samples, too different to be
-linked to a leader) are dealt to narrower buckets, which agree in more samples at once, and meet leaders there. What
-a crowded bucket can still miss is a link between two texts that no leader is alike enough to.
+were made from; this only saves comparisons. Then all texts of buckets that still hold several classes, however many, are
+joined by their rarest shared shingles (see ``_rest``), under bounds that no similar pair misses, and what
+is left is compared. So no link between candidates is lost, in crowded buckets neither.
 
 Equal texts are one text from the signatures on. A null text is an empty text. Texts without
 words are alike only if equal. Repeated rows are in one class. An empty table gives an empty result.
@@ -41,10 +40,8 @@ HASHES, ROWS = 48, 4
 IDF_BITS = 18
 POOL_BITS = 16
 TURNS = 2
-REFINEMENTS = ((8, 24), (14, 48))
-"""Rows and bands of the narrower buckets of texts that crowded buckets leave apart."""
-MOST_PAIRED = 32
-"""Buckets of up to so many texts are compared pair by pair."""
+PARTS = 16
+"""Parts of the hashes by which the weight that two texts can share is bounded."""
 SEED = 71
 
 
@@ -311,35 +308,80 @@ def _delegates(buckets: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return one.select(F.least("p.n", "p.leader").alias("a"), F.greatest("p.n", "p.leader").alias("b")).distinct()
 
 
-def _refined(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, rows: int, bands: int) -> DataFrame:
-    """Narrower buckets of the texts whose crowded buckets still hold several classes.
+def _shingler(idf: np.ndarray):
+    """Arrow batches of (n, word hashes) to (n, shingle, weight), a row for each distinct shingle of a text."""
 
-    Texts meet here in ``rows`` samples at once, in one of ``bands`` random choices of them.
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_words(batches, 1 << 17):
+            words, ends = _flat(batch.column(1))
+            text, shingle, weight = shingle_weights(words, ends, idf)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(shingle.view(np.int64)),
+                                              pa.array(weight)], names=["n", "shingle", "weight"])
+
+    return shingled
+
+
+def _prefixes(similar: float):
+    """Arrow batches of (n, weight, shingles as structs of texts, shingle, weight) to the prefix of each text.
+
+    ``ahead`` is the weight that a text has at and after the shingle, ``parts`` all its weight by a few bits of the hash.
     """
-    of = join_small(buckets, nodes, ["n"], "inner")
-    crowded = (of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size"))
-               .where((F.col("lo") != F.col("hi")) & (F.col("size") > MOST_PAIRED)).select("bucket"))
-    texts = cut_lineage(join_small(of, cut_lineage(crowded), ["bucket"], "left_semi").select("n", "company").distinct())
-    rng = np.random.default_rng([SEED, rows])
-    keys = F.array(*[F.xxhash64(F.lit(band), *[F.get("samples", F.lit(int(k))) for k in rng.choice(HASHES, rows, replace=False)])
-                     for band in range(bands)])
-    spread = signed.join(texts, "n").select("n", "company", F.explode(keys).alias("bucket"))
-    shared = cut_lineage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
-    return cut_lineage(join_small(spread, shared, ["bucket"], "left_semi"))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            sizes = np.diff(ends)
+            held = batch.column(2).flatten()
+            texts, shingle, weight = (held.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((shingle, texts, text))
+            text, shingle, weight = text[order], shingle[order], weight[order].astype(np.float64)
+            total = np.bincount(text, weight, len(sizes))
+            parts = np.bincount(text * PARTS + (shingle & (PARTS - 1)), weight, len(sizes) * PARTS).reshape(-1, PARTS)
+            before = np.cumsum(weight) - weight
+            before -= before[(ends[:-1] - ends[0])[text]]
+            ahead = total[text] - before
+            least = similar * batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            kept = np.flatnonzero(ahead >= least[text] * (1 - 1e-4))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(text[kept])), pa.array(shingle[kept]),
+                pa.array(ahead[kept].astype(np.float32)), _lists(parts[text[kept]].astype(np.float32))],
+                names=["n", "shingle", "ahead", "parts"])
+
+    return cut
 
-def _rest(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
-    """a, b: the pairs across classes of buckets of up to ``MOST_PAIRED`` texts that weights don't rule out."""
+
+def _rest(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, words: DataFrame, idf: np.ndarray,
+          similar: float) -> DataFrame:
+    """a, b: the pairs across classes, among the texts of buckets that hold several classes, that bounds don't rule out.
+
+    Only shingles of several classes count, rarest first. Similar texts of two classes share one of the first shingles
+    that a text holds before the weight of those left falls below ``similar`` of its own; at the first one they share,
+    both have enough weight ahead of them, and no part of the hashes shares more than the lesser of its weights.
+    Pairs within a class are not formed.
+    """
     of = join_small(buckets, nodes, ["n"], "inner")
-    several = (of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size"))
-               .where((F.col("lo") != F.col("hi")) & (F.col("size") <= MOST_PAIRED)))
-    held = cut_lineage(join_small(of, cut_lineage(several.select("bucket")), ["bucket"], "left_semi"))
-    held = cut_lineage(held.join(signed.select("n", "weight"), "n"))
-    a = held.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("n", "class", "weight")])
-    b = held.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("n", "class", "weight")])
+    several = of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    apart = join_small(of, cut_lineage(several.select("bucket")), ["bucket"], "left_semi").select("n", "class").distinct()
+    apart = cut_lineage(apart.join(signed.select("n", "weight"), "n"))
+    held = join_small(words.select("n", "words"), apart.select(F.col("n").alias("of"), "class"), F.col("n") == F.col("of"), "inner")
+    rows = written(held.select("n", "words").mapInArrow(_shingler(idf), "n bigint, shingle bigint, weight float"), "shingles")
+    classed = join_small(rows, apart.select("n", "class"), ["n"], "inner")
+    spread = (classed.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("texts"))
+              .where("lo <> hi").select("shingle", "texts"))
+    common = join_totals(rows, spread, ["shingle"], "inner")
+    common = common.groupBy("n").agg(F.collect_list(F.struct("texts", "shingle", "weight")).alias("shingles"))
+    common = common.join(apart.select("n", "weight"), "n").select("n", "weight", "shingles")
+    prefix = common.mapInArrow(_prefixes(similar), "n bigint, shingle bigint, ahead float, parts array<float>")
+    prefix = cut_lineage(prefix.join(apart, "n"))
+    a = prefix.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("n", "class", "weight", "ahead", "parts")])
+    b = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("n", "class", "weight", "ahead", "parts")])
+    share = (F.col("weight_a") + F.col("weight_b")) * (similar / (1 + similar) * (1 - 1e-4))
     near = ((F.col("n_a") < F.col("n_b")) & (F.col("class_a") != F.col("class_b"))
-            & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similar - 1e-3)))
-    return a.join(b, "bucket").where(near).select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
+            & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similar - 1e-3))
+            & (F.least("ahead_a", "ahead_b") >= share)
+            & (sum(F.least(F.get("parts_a", F.lit(k)), F.get("parts_b", F.lit(k))) for k in range(PARTS)) >= share))
+    return a.join(b, "shingle").where(near).select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
 
 
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -371,11 +413,7 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     for turn in range(TURNS):
         nodes, done = linked(nodes, done, _delegates(buckets, nodes, turn))
-    for rows, bands in REFINEMENTS:
-        narrow = _refined(buckets, nodes, signed, rows, bands)
-        for turn in range(0 if narrow.isEmpty() else TURNS):
-            nodes, done = linked(nodes, done, _delegates(narrow, nodes, turn))
-    nodes, done = linked(nodes, done, _rest(buckets, nodes, signed, similar))
+    nodes, done = linked(nodes, done, _rest(buckets, nodes, signed, words, idf, similar))
     return numbers.join(nodes, "n").select("text_key", "class")
 
 

@@ -90,6 +90,28 @@ def test_a_large_group_and_a_chain(spark):
     assert classes_of(near.near_duplicates(docs).collect()) == brute(spark, rows)
 
 
+def crowd(size, template=194, words=200):
+    """Texts of a shared template and an end of their own: alike at about 0.7, linked to none."""
+    base = [f"t{k}" for k in range(template)]
+    return [(i, " ".join(base + [f"e{i}_{k}" for k in range(words - template)])) for i in range(size)]
+
+
+def test_close_pairs_in_a_crowd(spark):
+    rows = crowd(400)
+    for i in (17, 203, 350):  # near copies of three texts of the crowd
+        words = rows[i][1].split()
+        words[199] = f"z{i}"
+        rows.append((1000 + i, " ".join(words)))
+    own = rows[60][1].split()
+    for step in range(1, 6):  # versions alike only to the one before
+        own[40 * step - 20] = f"v{step}"
+        rows.append((2000 + step, " ".join(own)))
+    want = brute(spark, rows)
+    assert sum(len(ids) > 1 for ids in want) >= 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert classes_of(near.near_duplicates(docs).collect()) == want
+
+
 def test_odd_rows(spark):
     texts = [None, "", " \n", "one", "one", "a b c", "a  b\nc", "a b d", "long " * 20_000, "long " * 20_001, None]
     rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(None, "one", None, None), (3, "one", "x", 3), (3, "one", "x", 3)]
