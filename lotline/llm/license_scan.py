@@ -1,8 +1,9 @@
 """Licence recognition by sentences and ordered rules, in built-in expressions.
 
 A text is cut into sentences (at line ends and after full stops), which are normalised to
-lower-case words. A sentence that is one of the known licence sentences becomes its identifier, any
-other one a blank. A rule is a list of steps in order, each a set of identifiers that may stand
+lower-case words. The wording of a licence becomes its identifier wherever it stands, also across the ends of wrapped lines,
+and longer wordings are looked for first. The short forms of ``SHORT`` have to be a sentence up to its end, and before them may
+only stand words that end in a form of "to be". Any other sentence is a blank. A rule is a list of steps in order, each a set of identifiers that may stand
 there, with at most ``gap`` blanks between steps; it names a licence. Rules are tried in
 order, longer ones first, and the sentences a match has used are blanks for the rules after it, so a
 full licence text is not also reported as its first sentence.
@@ -26,6 +27,9 @@ from lotline.llm.common import packed, text_of
 GAP = 3
 MARKS = r"[^\p{L}\p{N}]+"
 CUTS = r"(?:\r?\n)+|(?<=[.;])[\x20\t]+"
+MARK, GLUE = "\x01", "\x02"
+"""Stand for a cut, and for a full stop inside a word."""
+BEFORE = r"(?<=\x01 |(?<![^ ])(?:is|are|was|were|be|been|being) (?:also |now |hereby |dual )?)"
 
 # Normalised licence sentences by identifier.
 SENTENCES = {
@@ -55,9 +59,30 @@ SENTENCES = {
     "by-nc-short": "licensed under cc by nc 4 0",
     "by-short": "licensed under cc by 4 0",
     "by-sa-short": "licensed under cc by sa 4 0",
+    "mit-title-2": "mit license",
+    "mit-1-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                  "documentation files the software to deal in the software without restriction including without limitation the "
+                  "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+                  "persons to whom the software is furnished to do so subject to the following conditions",
+    "as-is-full": "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+                  "warranties of merchantability fitness for a particular purpose and noninfringement",
+    "gpl-v3-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+                   "license as published by the free software foundation either version 3 of the license or at your option any "
+                   "later version",
+    "gpl-v2-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+                   "license as published by the free software foundation either version 2 of the license or at your option any "
+                   "later version",
+    "bsd-2-full": "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+                  "disclaimer",
+    "bsd-3-full": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+                  "following disclaimer in the documentation and or other materials provided with the distribution",
+    "apache-3-https": "you may obtain a copy of the license at https www apache org licenses license 2 0",
     "mpl2-1": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
+SHORT = frozenset(("apache-short", "apache-1", "mit-short", "mit-short-2", "mit-title", "mit-title-2", "gpl3-short",
+                   "by-nc-short", "by-short", "by-sa-short"))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -70,18 +95,22 @@ class Rule:
 
 
 RULES = (
-    Rule("Apache-2.0", (("apache-1", "apache-short"), ("apache-2",), ("apache-3",))),
+    Rule("Apache-2.0", (("apache-1", "apache-short"), ("apache-2",), ("apache-3", "apache-3-https"))),
     Rule("Apache-2.0", (("apache-1", "apache-short"), ("apache-2",))),
-    Rule("BSD-3-Clause", (("bsd-1",), ("bsd-2",), ("bsd-3",), ("bsd-4",))),
-    Rule("BSD-2-Clause", (("bsd-1",), ("bsd-2",), ("bsd-3",))),
-    Rule("MIT", (("mit-1",), ("mit-2",), ("as-is",))),
-    Rule("MIT", (("mit-title", "mit-short", "mit-short-2"), ("mit-1",))),
+    Rule("BSD-3-Clause", (("bsd-1",), ("bsd-2-full", "bsd-2"), ("bsd-3-full", "bsd-3"), ("bsd-4",))),
+    Rule("BSD-2-Clause", (("bsd-1",), ("bsd-2-full", "bsd-2"), ("bsd-3-full", "bsd-3"))),
+    Rule("MIT", (("mit-1-full", "mit-1"), ("mit-2",), ("as-is-full", "as-is"))),
+    Rule("MIT", (("mit-title", "mit-title-2", "mit-short", "mit-short-2"), ("mit-1-full", "mit-1"))),
     Rule("GPL-3.0-or-later", (("gpl-1",), ("gpl-v3",), ("gpl-2",))),
     Rule("GPL-3.0-or-later", (("gpl-1",), ("gpl-v3",))),
     Rule("GPL-2.0-or-later", (("gpl-1",), ("gpl-v2",))),
+    Rule("GPL-3.0-or-later", (("gpl-v3-full",), ("gpl-2",))),
+    Rule("GPL-2.0-or-later", (("gpl-v2-full",), ("gpl-2",))),
+    Rule("GPL-3.0-or-later", (("gpl-v3-full",),)),
+    Rule("GPL-2.0-or-later", (("gpl-v2-full",),)),
     Rule("Apache-2.0", (("apache-short", "apache-1"),)),
     Rule("MIT", (("mit-short", "mit-short-2"),)),
-    Rule("MIT", (("mit-1",),)),
+    Rule("MIT", (("mit-1-full", "mit-1"),)),
     Rule("GPL-3.0-only", (("gpl3-short",),)),
     Rule("CC-BY-NC-4.0", (("by-nc-short",),)),
     Rule("CC-BY-SA-4.0", (("by-sa-short",),)),
@@ -90,9 +119,19 @@ RULES = (
 )
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case words and numbers, one space between."""
-    return F.trim(F.regexp_replace(F.lower(sentence), MARKS, " "))
+def marked(text: Column) -> Column:
+    """Lower-case words and numbers with one space around each, ``MARK`` for cuts, and ``GLUE`` for full stops inside of words."""
+    plain = F.regexp_replace(F.lower(text), "[\\x01\\x02]", " ")
+    cut = F.regexp_replace(F.regexp_replace(plain, CUTS, f" {MARK} "), r"(?<=\p{L})\.(?=\p{L})", f" {GLUE} ")
+    return F.regexp_replace(F.concat(F.lit(f"{MARK} "), cut, F.lit(f" {MARK}")), r"[^\p{L}\p{N}\x01\x02]+", " ")
+
+
+def _wording(name: str, words: str) -> str:
+    """Pattern of a known sentence; cuts may stand between its words, as lines are wrapped and "v. 2.0" is cut."""
+    inside = r" (?:[\x01\x02] )*".join(map(re.escape, words.split()))
+    if name in SHORT:
+        return BEFORE + inside + r"(?= +\x01)"
+    return r"(?<![^ ])(?<!\x02 )" + inside + r"(?= +[^ \x02])"
 
 
 def _pattern(rule: Rule, gap: int) -> str:
@@ -102,15 +141,16 @@ def _pattern(rule: Rule, gap: int) -> str:
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """The text as a string of ``<identifier>`` and, for other sentences, dots; empty if none is known."""
-    known = F.create_map(*[F.lit(x) for name, words in sentences.items() for x in (words, f"<{name}>")])
-    parts = F.filter(F.transform(F.split(text, CUTS, -1), normalised), lambda s: s != "")
+    ids = marked(text)
+    for name, words in sorted(sentences.items(), key=lambda x: -len(x[1].split())):
+        ids = F.regexp_replace(ids, _wording(name, words), f"<{name}>")
 
-    def coded(all_parts: Column) -> Column:
-        is_known = lambda s: s.isin(*sentences.values())
-        return F.when(F.exists(all_parts, is_known), F.array_join(F.transform(
-            all_parts, lambda s: F.when(is_known(s), F.element_at(known, s)).otherwise(".")), "")).otherwise("")
+    def coded(marks: Column) -> Column:
+        parts = F.filter(F.split(marks, MARK, -1), lambda s: F.regexp_replace(s, "[ \x02]+", "") != "")
+        return F.when(marks.contains("<"), F.array_join(F.transform(
+            parts, lambda s: F.when(s.contains("<"), F.regexp_replace(s, "[^<>]*(<[^<>]*>)[^<>]*", "$1")).otherwise(".")), "")).otherwise("")
 
-    return F.get(F.transform(F.array(parts), coded), F.lit(0))
+    return F.get(F.transform(F.array(ids), coded), F.lit(0))
 
 
 def licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES,

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -70,3 +71,46 @@ def test_empty_table_and_wrong_rules(spark):
         scan.licenses(docs, rules=(scan.Rule("X", (("none",),)),))
     with pytest.raises(ValueError):
         scan.Rule("X", ((),))
+
+
+CANONICAL = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+CANONICAL["BSD-2-Clause"] = CANONICAL["BSD-3-Clause"].split("\n\n3.")[0]
+
+
+def test_standard_wordings_wrapped_and_not(spark):
+    rows = []
+    for name, text in CANONICAL.items():
+        parts = text.split("\n\n")
+        wrapped = ["\n".join(textwrap.wrap(p, 72)) for p in parts]
+        rows += [(name, text), (name, " ".join(parts)), (name, "\n\n".join(wrapped)), (name, "\r\n".join("# " + x for w in wrapped for x in w.split("\n"))),
+                 (name, "\n".join(textwrap.wrap(" ".join(parts), 40)))]
+    rows += [("MIT", "This project is released under the MIT License."), ("", "It is not released under the MIT License."), ("MIT", "The code is\nlicensed under the\nMIT License.")]
+    got = scan.licenses(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ",".join(r.licenses) == r.row.want, r.row.text
