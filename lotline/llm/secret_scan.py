@@ -1,11 +1,13 @@
 """Secrets told from other random-looking strings by a random forest.
 
-*Candidates* are runs of 16 or more letters, digits and ``_+/.-``. *Measures* of one are its length, shares of
+*Candidates* are runs of 16 or more letters, digits and ``_+/.-``, and every value assigned to a secret's name, of any length
+and with any symbols, up to the closing quote or white space. *Measures* of one are its length, shares of
 character classes, how often the class changes from character to character, its variety of characters, how much of it is made of
 words of the corpus, whether it looks like a path or an address, and the words beside it.
 
 *Training.* Labelled findings are candidates with a verdict. Where no table of them is given, findings
-that need no judgement are used: a value with digits, assigned to a name such as ``token`` or ``password``, is one;
+that need no judgement are used: a value with digits, assigned to a name such as ``token`` or ``password``, is one (a short
+number is left to the forest);
 a candidate of letters only, a number, or an address, without such a name beside it, is none.
 The forest is fitted on a bounded sample of ``SAMPLE`` findings per verdict, chosen by hash. Everything
 else runs over all candidates: the forest decides about each, labelled or not.
@@ -27,6 +29,9 @@ from lotline.llm.common import cut_lineage, join_small, packed, text_of, white_w
 CANDIDATE = r"[A-Za-z0-9_+/.-]{16,}+={0,2}"
 NAMES = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential|auth)"
 ASSIGNED = r"[\"']?\s*(?:=|:=|:|=>)\s*[\"']?$"
+VALUE = (r"((?i:" + NAMES.removeprefix("(?i)") + r")[A-Za-z0-9_-]*[\"']?\s*(?::=|=>|=|:)\s*"
+         r"(?:\"(?=[^\"\r\n]+\")|'(?=[^'\r\n]+')|`(?=[^`\r\n]+`)|[\"'`]?(?=[^\s\"'`])))"
+         r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`]*[^\s\"'`,;)\]}])")
 SAMPLE = 10_000
 LEAST_DOCS = 3
 BESIDE = 48
@@ -40,22 +45,25 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _spans(text: Column) -> Column:
-    """Places of all candidates, from the lengths of the matches and of the gaps between them."""
+def _spans(text: Column, pattern: str, lead: Column | None = None) -> Column:
+    """Places of all matches, from their lengths and those of the gaps between them. ``lead``: what each begins with and is no part of it."""
     none = F.array().cast(SPAN)
 
     def placed(found: Column) -> Column:
-        steps = F.arrays_zip(found.alias("found"), F.slice(F.split(text, CANDIDATE, -1), F.lit(1), F.size(found)).alias("gap"))
+        first = F.transform(found, lambda m: F.lit("")) if lead is None else lead
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        steps = F.arrays_zip(found.alias("found"), gaps.alias("gap"), first.alias("lead"))
 
         def step(a: Column, m: Column) -> Column:
-            start = a["end"] + F.length(m["gap"])
-            end = start + F.length(m["found"])
-            one = F.struct(start.alias("start"), end.alias("end"), m["found"].alias("found"))
+            start = a["end"] + F.length(m["gap"]) + F.length(m["lead"])
+            end = start - F.length(m["lead"]) + F.length(m["found"])
+            value = F.substring(m["found"], F.length(m["lead"]) + 1, F.length(m["found"]))
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("found"))
             return F.struct(end.alias("end"), F.concat(a["spans"], F.array(one)).alias("spans"))
 
         return F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("end"), none.alias("spans")), step, lambda a: a["spans"])
 
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return _let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
 
 
@@ -65,7 +73,10 @@ def text_key(text: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """text_key, start, end, found, before and after (the text beside it), once per distinct text."""
-    texts = docs.select(text_of("text").alias("text")).select("text", _spans(F.col("text")).alias("spans"))
+    text = F.col("text")
+    values = _spans(text, VALUE, F.regexp_extract_all(text, F.lit(VALUE), F.lit(1)))
+    spans = F.concat(_spans(text, CANDIDATE), values)
+    texts = docs.select(text_of("text").alias("text")).select("text", spans.alias("spans"))
     rows = texts.select(text_key(F.col("text")).alias("text_key"), "text", F.explode("spans").alias("s"))
     begin = F.greatest(F.lit(0), F.col("s.start") - BESIDE)
     return rows.select(
@@ -107,7 +118,7 @@ def measured(docs: DataFrame, found: DataFrame) -> DataFrame:
     name = F.col("before").rlike(NAMES) | s.rlike("^" + NAMES)
     return rows.withColumns({
         "length": n.cast("double"), "digits": count("[0-9]"), "capitals": count("[A-Z]"), "marks": count("[^A-Za-z0-9]"),
-        "changes": changes / (n - 1), "variety": F.size(F.array_distinct(F.split(s, ""))) / F.least(n, F.lit(64)),
+        "changes": changes / F.greatest(n - 1, F.lit(1)), "variety": F.size(F.array_distinct(F.split(s, ""))) / F.least(n, F.lit(64)),
         "dictionary": F.coalesce("covered", F.lit(0)) / n, "slashes": count("/"), "dots": count("[.]"),
         "at_sign": flag(F.col("before").endswith("@") | F.col("after").startswith("@")),
         "named": flag(name), "assigned": flag(F.col("before").rlike(NAMES + r"[A-Za-z0-9_-]*" + ASSIGNED)),
@@ -117,7 +128,8 @@ def measured(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def verdict() -> Column:
     """1 or 0 for candidates that need no judgement, else null."""
-    return (F.when((F.col("assigned") == 1) & (F.col("digits") > 0.05), 1.0)
+    number = (F.col("digits") == 1) & (F.col("length") < 16)
+    return (F.when((F.col("assigned") == 1) & (F.col("digits") > 0.05) & ~number, 1.0)
             .when((F.col("named") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1) | (F.col("at_sign") == 1)), 0.0))
 
 

@@ -62,3 +62,13 @@ def test_labelled_findings_are_used(spark):
     docs = spark.createDataFrame([(1, "see " + hexes[5]), (2, "see " + mixed[5])], "doc_id bigint, text string")
     got = {r.row.doc_id: len(r.secrets) for r in scan.secrets(docs, findings).collect()}
     assert got == {1: 0, 2: 1}
+
+
+def test_short_values_and_symbols(spark):
+    values = {1: ('password = "hunter2x9"', "hunter2x9"), 2: ("pwd: Tr0ub4dor&3", "Tr0ub4dor&3"), 3: ("secret='a b#1!%'", "a b#1!%"),
+              4: ("my_password_old := x7, next", "x7"), 5: ('{"api_key": "9$k"}', "9$k"), 6: ("login pwd => q8;", "q8"),
+              7: ('token = "unclosed1', "unclosed1")}
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in values.items()] + [(8, "no secret in here, nor words: any")],
+                                 "doc_id bigint, text string")
+    got = {r.row.doc_id: (r.n_candidates, [r.row.text[s.start:s.end] for s in r.secrets]) for r in scan.secrets(docs).collect()}
+    assert got == {i: (1, [value]) for i, (_, value) in values.items()} | {8: (0, [])}
