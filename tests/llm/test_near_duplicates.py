@@ -112,6 +112,25 @@ def test_close_pairs_in_a_crowd(spark):
     assert classes_of(near.near_duplicates(docs).collect()) == want
 
 
+def test_texts_alike_only_to_one_member_of_a_large_class(spark):
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[3 * i] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for j in range(5):
+        words = list(base)
+        words[20:26] = [f"m{j}_{k}" for k in range(6)]
+        rows.append((1000 + j, " ".join(words)))
+        words[120:126] = [f"p{j}_{k}" for k in range(6)]
+        rows.append((2000 + j, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(spark, rows)
+    assert len(want) == 1
+    assert classes_of(near.near_duplicates(docs).collect()) == want
+
+
 def test_odd_rows(spark):
     texts = [None, "", " \n", "one", "one", "a b c", "a  b\nc", "a b d", "long " * 20_000, "long " * 20_001, None]
     rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(None, "one", None, None), (3, "one", "x", 3), (3, "one", "x", 3)]
