@@ -139,9 +139,10 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def fit(findings: DataFrame, sample: int = SAMPLE):
-    """A forest of the findings (``MEASURES`` and label); at most ``sample`` of each label, by hash of the candidate."""
+    """A forest of the findings (``MEASURES`` and label); at most ``sample`` distinct ones of each label, by hash."""
     from pyspark.ml.classification import RandomForestClassifier
     order = F.xxhash64(F.lit(SEED), "found", "before", "after")
+    findings = findings.dropDuplicates(["found", "before", "after", "label"])  # near copies repeat a finding
     parts = [findings.where(F.col("label") == label).orderBy(order).limit(sample) for label in (0.0, 1.0)]
     chosen = cut_lineage(parts[0].unionByName(parts[1]))
     if chosen.select("label").distinct().count() < 2:

@@ -72,3 +72,12 @@ def test_short_values_and_symbols(spark):
                                  "doc_id bigint, text string")
     got = {r.row.doc_id: (r.n_candidates, [r.row.text[s.start:s.end] for s in r.secrets]) for r in scan.secrets(docs).collect()}
     assert got == {i: (1, [value]) for i, (_, value) in values.items()} | {8: (0, [])}
+
+
+def test_the_sample_holds_distinct_findings(spark):
+    """A thousand copies of each finding leave room for the others in a sample of eight."""
+    rows = [(f"f{i}", "", "", float(i % 2), *[float(i)] * len(scan.MEASURES)) for i in range(16) for _ in range(1000)]
+    columns = "found string, before string, after string, label double, " + ", ".join(f"{m} double" for m in scan.MEASURES)
+    model = scan.fit(spark.createDataFrame(rows, columns), sample=8)
+    at = {t.split(" <= ")[1].split(")")[0] for t in model.toDebugString.split("If (")[1:]}
+    assert len(at) > 3  # splits between many values, not between the copies of two
