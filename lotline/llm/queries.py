@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import (decontamination, license_scan, mixing, near_duplicates, personal_data,
+from lotline.llm import (conversation_repair, decontamination, license_scan, mixing, near_duplicates, personal_data,
                          quality_rules, repeated_bytes, secret_scan, token_files, warc)
 from lotline.llm.common import cut_lineage, new_folder
 
@@ -83,6 +83,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(given)
+    found = cut_lineage(conversation_repair.repairs(rows))
+    digests = conversation_repair.digests(conversation_repair.repaired_rows(rows, found))
+    found = found.withColumnRenamed("conv_id", "found_id")
+    digests = digests.withColumnRenamed("conv_id", "digest_id")
+    every = given.select("conv_id").distinct()
+    joined = (every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+              .join(digests, F.col("conv_id").eqNullSafe(F.col("digest_id")), "left"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -99,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -133,4 +150,61 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN again THEN first_page END AS refers_to
         FROM r""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE steps AS (
+            SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b:
+                     CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+            FROM (SELECT unnest(range(256)) AS n)),
+        keyed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g,
+                    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        crcs AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                     list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT)),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+                 FROM (SELECT DISTINCT k FROM keyed), steps),
+        hurt AS (SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+                             ELSE coalesce(text, ' ') END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+                 FROM keyed JOIN crcs USING (k)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+        faults AS (SELECT *, left(role, 1) AS r, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last_char,
+                     row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+                     lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS r_before FROM placed),
+        marked AS (SELECT *, last_char = '' OR again AS gone,
+                     CASE WHEN last_char = '' THEN 'blank' WHEN again THEN 'duplicate'
+                          WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM faults),
+        counts AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (r_before IS NOT NULL AND r_before || r NOT IN ('su', 'ua', 'au')) AS illegal
+                   FROM marked GROUP BY g),
+        -- v holds the best of the rows from i on, for the states: start, after s, after u, after a
+        best AS (
+            SELECT g, n + 1 AS i, [{'c': 0::BIGINT, 'a': ''}, {'c': 10::BIGINT, 'a': 'II'},
+                                   {'c': 5::BIGINT, 'a': 'I'}, {'c': 0::BIGINT, 'a': ''}] AS v FROM counts
+            UNION ALL
+            SELECT g, i, list_transform([1, 2, 3, 4], lambda s: list_min([b[s],
+                       {'c': 5 + b[[3, 3, 4, 3][s]].c, 'a': 'I' || b[[3, 3, 4, 3][s]].a},
+                       {'c': 10 + b[[4, 4, 3, 4][s]].c, 'a': 'II' || b[[4, 4, 3, 4][s]].a}])) AS v
+            FROM (SELECT m.g, m.i, list_transform([1, 2, 3, 4], lambda s: list_min([
+                       {'c': 2 + v[s].c, 'a': 'D' || v[s].a},
+                       CASE WHEN NOT gone THEN {'c': 1 + more + v[[3, 3, 4, 3][s]].c, 'a': 'R' || v[[3, 3, 4, 3][s]].a} END,
+                       CASE WHEN NOT gone AND r = ['u', 'u', 'a', 'u'][s]
+                            THEN {'c': more + v[[3, 3, 4, 3][s]].c, 'a': 'K' || v[[3, 3, 4, 3][s]].a}
+                            WHEN NOT gone AND r = 's' AND s = 1 THEN {'c': more + v[2].c, 'a': 'K' || v[2].a} END])) AS b
+                  FROM (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM marked) m
+                  JOIN best ON m.g = best.g AND m.i = best.i - 1)),
+        plans AS (SELECT g, v[1].c AS cost, v[1].a AS audit FROM best WHERE i = 1),
+        letters AS (SELECT g, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS p FROM plans WHERE audit <> ''),
+        edits AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY g ORDER BY p) AS i FROM letters),
+        kept AS (SELECT d.g, p, e, role, r, text, row_number() OVER (PARTITION BY d.g ORDER BY p) AS q
+                 FROM edits d LEFT JOIN marked m ON d.g = m.g AND d.i = m.i AND e <> 'I' WHERE e <> 'D'),
+        named AS (SELECT *, CASE WHEN e = 'K' THEN role
+                    WHEN (q - max(CASE WHEN q = 1 AND e = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g)) % 2 = 1
+                    THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM kept),
+        digests AS (SELECT g, sha256(string_agg(line, chr(10) ORDER BY p)) AS d FROM named GROUP BY g)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+               coalesce(audit, '') AS audit, coalesce(d, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, g FROM keyed) LEFT JOIN counts USING (g) LEFT JOIN plans USING (g) LEFT JOIN digests USING (g)""",
 }
