@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.llm import (conversation_repair, decontamination, license_scan, mixing, near_duplicates, personal_data,
-                         quality_rules, repeated_bytes, secret_scan, token_files, warc)
+                         quality_rules, repeated_bytes, secret_scan, token_alignment, token_files, warc)
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations")
     rows = conversation_repair.damaged(given)
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }

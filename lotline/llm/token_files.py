@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -38,7 +39,9 @@ END_ID = 0
 CACHED = 350_000
 """How many coded chunks half the cache of a worker holds."""
 BATCH_CHARS = 1 << 21
-"""Texts are coded in batches of about as many characters."""
+"""Texts are coded in batches of about as many bytes."""
+LETTERS_END = "\u0250"
+"""The split always cuts between a letter, here one of the Latin blocks before this, and a mark at the end of a chunk."""
 
 FRAME = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -73,6 +76,7 @@ class Coder:
         self.young, self.old = {}, {}
         [self.line_feed] = self._ids("\n")
         self.line_feed_bytes = self._bytes("\n")
+        self.marks = {mark: self._bytes(mark) for mark in ".,;:!?"}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -80,54 +84,78 @@ class Coder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype="<u4").tobytes()
 
-    def _code(self, words: list[str], before: str) -> Iterator[tuple[str, bytes]]:
-        """Each word, without white space in it, and its ids after ``before``."""
+    def _code(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of each word, without white space in it, after ``before``."""
         lists = [words[at:at + 256] for at in range(0, len(words), 256)]
         joined = [before + ("\n" + before).join(some) + "\n" for some in lists]
-        for some, coded in zip(lists, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        out = []
+        for coded in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.array(coded.ids, dtype="<u4")
-            raw, first = ids.tobytes(), 0
-            for word, end in zip(some, (np.flatnonzero(ids == self.line_feed) * 4).tolist(), strict=True):
-                yield word, raw[first:end]
-                first = end + 4
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.line_feed) * 4).tolist()
+            out += [raw[first:end] for first, end in zip([0] + [end + 4 for end in ends], ends)]
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
-        """Codes what the young half lacks of ``chunks`` into it; None for those with other white space."""
-        if len(self.young) >= CACHED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = chunks.difference(young)
-        kept = {chunk: old[chunk] for chunk in new.intersection(old)}
+        """Codes into the young half what it lacks, ``chunks``; False for those with other white space."""
+        young = self.young
+        kept = {chunk: self.old[chunk] for chunk in chunks.intersection(self.old)}
         young.update(kept)
-        new.difference_update(kept)
-        after_space, after_feed = [], []
-        for chunk in new:
+        chunks.difference_update(kept)
+        after_space, after_feed, ended, marks = [], [], [], self.marks
+        for chunk in chunks:
+            if chunk[-1] in marks and (letter := chunk[-2:-1]).isalpha() and letter < LETTERS_END:
+                ended.append(chunk)
+                chunk = chunk[:-1]
+                if chunk in young or chunk in chunks:
+                    continue
+                young[chunk] = None  # only once
             word = chunk[1:] if chunk[0] == "\n" else chunk
             if not word:
                 young[chunk] = self.line_feed_bytes
             elif word.split() != [word]:
-                young[chunk] = None
+                young[chunk] = False
             elif word is chunk:
                 after_space.append(word)
             else:
-                after_feed.append(word)
-        young.update(self._code(after_space, " "))
+                after_feed.append(chunk)
+        young.update(zip(after_space, self._code(after_space, " "), strict=True))
         feed = self.line_feed_bytes
-        young.update(("\n" + word, feed + coded) for word, coded in self._code(after_feed, ""))
+        after = [feed + coded for coded in self._code([chunk[1:] for chunk in after_feed], "")]
+        young.update(zip(after_feed, after, strict=True))
+        for chunk in ended:
+            young[chunk] = (stem := young[chunk[:-1]]) and stem + marks[chunk[-1]]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = []
+    def texts(self, texts: list[str], spaced: bool = False) -> list[bytes]:
+        """The ids of each text, or of a space and each text."""
+        if len(self.young) >= CACHED:
+            self.old, self.young = self.young, {}
+        known, cut, unknown = self.young.get, [], set()
         for text in texts:
-            chunks = ("\n" + text).replace("\n", " \n")[1:]
-            odd = "  " in chunks or "\n\n" in text or text[:1] in " \n" or text[-1:] == " "
-            cut.append(None if odd else chunks.split(" "))
-        self._learn({chunk for chunks in cut if chunks for chunk in chunks})
-        get, out = self.young.__getitem__, []
-        for text, chunks in zip(texts, cut):
-            try:  # the line feed put before the text goes again
-                out.append(self._bytes(text) if chunks is None else b"".join(map(get, chunks))[len(self.line_feed_bytes):])
-            except TypeError:
-                out.append(self._bytes(text))
+            chunks = text.replace("\n", " \n")
+            if "  " in chunks or "\n\n" in text or text[:1] in " \n" or text[-1:] == " ":
+                cut.append(None)
+                continue
+            chunks = chunks.split(" ")
+            if not spaced:  # the line feed put before the text goes again
+                chunks[0] = "\n" + chunks[0]
+            coded, holes, at = list(map(known, chunks)), [], -1
+            try:
+                while True:
+                    at = coded.index(None, at + 1)
+                    holes.append(at)
+                    unknown.add(chunks[at])
+            except ValueError:  # no more holes
+                cut.append((coded, holes, [chunks[at] for at in holes]))
+        self._learn(unknown)
+        out = []
+        for text, found in zip(texts, cut):
+            coded, holes, chunks = found or ([None], (), ())
+            for at, chunk in zip(holes, map(known, chunks)):
+                coded[at] = chunk
+            try:
+                out.append(b"".join(coded)[0 if spaced else len(self.line_feed_bytes):])
+            except TypeError:  # other white space in it
+                out.append(self._bytes(" " + text if spaced else text))
         return out
 
 
@@ -137,19 +165,15 @@ def coder(tokenizer_path: str) -> Coder:
     return Coder(tokenizer_path)
 
 
-def _by_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """The rows of the batches in lists of about ``BATCH_CHARS`` characters."""
-    doc_ids, texts, held = [], [], 0
+def by_chars(batches: Iterator[pa.RecordBatch], most: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """The rows (id, text) of the batches in lists of about ``most`` bytes of text, or one text."""
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            doc_ids.append(doc_id.as_py())
-            texts.append(text.as_py())
-            held += len(texts[-1])
-            if held >= BATCH_CHARS:
-                yield doc_ids, texts
-                doc_ids, texts, held = [], [], 0
-    if texts:
-        yield doc_ids, texts
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy())])
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, side="right")) - 1)
+            yield batch.column(0)[first:last].to_pylist(), batch.column(1)[first:last].to_pylist()
+            first = last
 
 
 def encoder(tokenizer_path: str, end_id: int = END_ID):
@@ -168,7 +192,7 @@ def encoder(tokenizer_path: str, end_id: int = END_ID):
                 "words": words.tobytes(), "escapes": escapes.tobytes(),
                 "word_at": word_at, "escape_at": escape_at}], schema=FRAME_ARROW)
 
-        for doc_ids, texts in _by_chars(batches):
+        for doc_ids, texts in by_chars(batches):
             for doc_id, one in zip(doc_ids, coded.texts(texts)):
                 one += end
                 ids.append(one)
