@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.llm import (conversation_repair, decontamination, license_scan, mixing, near_duplicates, personal_data,
-                         quality_rules, repeated_bytes, secret_scan, token_alignment, token_files, warc)
+                         quality_rules, repeated_bytes, secret_scan, shingle_join, token_alignment, token_files,
+                         warc)
 from lotline.llm.common import cut_lineage, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.linked_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_shingle_join": op11_shingle_join,
     "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
