@@ -48,11 +48,13 @@ def _encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.zeros(len(ids) + COUNTS[0], dtype=np.uint64)
     values[:len(ids)] = np.where(large, ESCAPE, ids)
     best = _selectors(_LEVEL[values.astype(np.int64)], len(ids))
-    step, at, starts, end = _COUNTS[best].tolist(), 0, [], len(ids)
-    while at < end:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts, dtype=np.int64)
+    end = len(ids)
+    jump = np.append(np.minimum(np.arange(end) + _COUNTS[best], end), end)
+    starts = np.zeros(1, dtype=np.int64)
+    while starts[-1] < end:  # twice as many words of the chain each time
+        starts = np.concatenate([starts, jump[starts]])
+        jump = jump[jump]
+    starts = starts[starts < end]
     chosen = best[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):

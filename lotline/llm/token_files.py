@@ -33,15 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from lotline.llm import simple8b
 from lotline.llm.common import cut_lineage, join_small, text_of
+from lotline.llm.word_ids import Cut, WordIds
 
 FRAME_IDS = 1 << 19
 END_ID = 0
-CACHED = 350_000
-"""How many coded chunks half the cache of a worker holds."""
-BATCH_CHARS = 1 << 21
+BATCH_BYTES = 1 << 21
 """Texts are coded in batches of about as many bytes."""
-LETTERS_END = "\u0250"
-"""The split always cuts between a letter, here one of the Latin blocks before this, and a mark at the end of a chunk."""
 
 FRAME = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -57,106 +54,41 @@ FRAME_ARROW = pa.schema([
 
 
 class Coder:
-    """Ids of texts as little-endian bytes, by way of the tokenizers library.
-
-    Byte-level BPE merges only inside the pieces of its split. No piece reaches across a single space between
-    two other characters except as its first character, and a single line feed between others is a piece of its own. So a
-    text is cut at these, a chunk that follows a line feed keeps it, and the ids of the text are those of its chunks,
-    most of which are old acquaintances. The new ones of many texts are coded by the library in one go, with a line
-    feed after each to tell where it ends. Texts with any other white space are coded as a whole.
-
-    About ``CACHED`` to twice as many chunks are kept, the ones asked for of late.
-    """
+    """Ids of texts by way of the tokenizers library, which codes whole texts and words (see ``word_ids``)."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.young, self.old = {}, {}
         [self.line_feed] = self._ids("\n")
-        self.line_feed_bytes = self._bytes("\n")
-        self.marks = {mark: self._bytes(mark) for mark in ".,;:!?"}
+        self.plain = WordIds(self._whole, self.words, self.line_feed)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._ids(text), np.uint32)
 
-    def _code(self, words: list[str], before: str) -> list[bytes]:
-        """The ids of each word, without white space in it, after ``before``."""
+    def words(self, words: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one go, with a line feed after each to tell where it ends."""
+        before = " " if spaced else ""
         lists = [words[at:at + 256] for at in range(0, len(words), 256)]
         joined = [before + ("\n" + before).join(some) + "\n" for some in lists]
-        out = []
-        for coded in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(coded.ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.line_feed) * 4).tolist()
-            out += [raw[first:end] for first, end in zip([0] + [end + 4 for end in ends], ends)]
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Codes into the young half what it lacks, ``chunks``; False for those with other white space."""
-        young = self.young
-        kept = {chunk: self.old[chunk] for chunk in chunks.intersection(self.old)}
-        young.update(kept)
-        chunks.difference_update(kept)
-        after_space, after_feed, ended, marks = [], [], [], self.marks
-        for chunk in chunks:
-            if chunk[-1] in marks and (letter := chunk[-2:-1]).isalpha() and letter < LETTERS_END:
-                ended.append(chunk)
-                chunk = chunk[:-1]
-                if chunk in young or chunk in chunks:
-                    continue
-                young[chunk] = None  # only once
-            word = chunk[1:] if chunk[0] == "\n" else chunk
-            if not word:
-                young[chunk] = self.line_feed_bytes
-            elif word.split() != [word]:
-                young[chunk] = False
-            elif word is chunk:
-                after_space.append(word)
-            else:
-                after_feed.append(chunk)
-        young.update(zip(after_space, self._code(after_space, " "), strict=True))
-        feed = self.line_feed_bytes
-        after = [feed + coded for coded in self._code([chunk[1:] for chunk in after_feed], "")]
-        young.update(zip(after_feed, after, strict=True))
-        for chunk in ended:
-            young[chunk] = (stem := young[chunk[:-1]]) and stem + marks[chunk[-1]]
-
-    def texts(self, texts: list[str], spaced: bool = False) -> list[bytes]:
-        """The ids of each text, or of a space and each text."""
-        if len(self.young) >= CACHED:
-            self.old, self.young = self.young, {}
-        known, cut, unknown = self.young.get, [], set()
-        for text in texts:
-            chunks = text.replace("\n", " \n")
-            if "  " in chunks or "\n\n" in text or text[:1] in " \n" or text[-1:] == " ":
-                cut.append(None)
-                continue
-            chunks = chunks.split(" ")
-            if not spaced:  # the line feed put before the text goes again
-                chunks[0] = "\n" + chunks[0]
-            coded, holes, at = list(map(known, chunks)), [], -1
-            try:
-                while True:
-                    at = coded.index(None, at + 1)
-                    holes.append(at)
-                    unknown.add(chunks[at])
-            except ValueError:  # no more holes
-                cut.append((coded, holes, [chunks[at] for at in holes]))
-        self._learn(unknown)
-        out = []
-        for text, found in zip(texts, cut):
-            coded, holes, chunks = found or ([None], (), ())
-            for at, chunk in zip(holes, map(known, chunks)):
-                coded[at] = chunk
-            try:
-                out.append(b"".join(coded)[0 if spaced else len(self.line_feed_bytes):])
-            except TypeError:  # other white space in it
-                out.append(self._bytes(" " + text if spaced else text))
-        return out
+        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(some.ids, np.uint32) for some in coded])
+        ends = np.flatnonzero(ids == self.line_feed)
+        return ids[ids != self.line_feed], np.diff(ends, prepend=-1) - 1
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and each one's number of them."""
+        return self.plain(Cut(texts, spaced=False, ended=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian bytes."""
+        ids, counts = self.ids(pa.array(texts, pa.string()))
+        raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+        return [raw[first:end] for first, end in zip([0] + ends, ends)]
 
 
 @functools.cache
@@ -165,40 +97,50 @@ def coder(tokenizer_path: str) -> Coder:
     return Coder(tokenizer_path)
 
 
-def by_chars(batches: Iterator[pa.RecordBatch], most: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """The rows (id, text) of the batches in lists of about ``most`` bytes of text, or one text."""
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The rows (id, text) of the batches, cut so that each holds about ``most`` bytes of text, or one text."""
     for batch in batches:
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy())])
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, side="right")) - 1)
-            yield batch.column(0)[first:last].to_pylist(), batch.column(1)[first:last].to_pylist()
+            yield batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
             first = last
 
 
+def _lists(values: np.ndarray, of: pa.DataType) -> pa.Array:
+    """One list with all the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of))
+
+
 def encoder(tokenizer_path: str, end_id: int = END_ID):
     """Arrow batches of (doc_id, text) to frames."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, shard, first = coder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, docs, lengths, held = [], [], [], 0
 
         def frame() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), dtype="<u4")
-            words, escapes, word_at, escape_at = simple8b.encode(flat)
-            return pa.RecordBatch.from_pylist([{
-                "shard": shard, "first": first, "doc_ids": docs, "lengths": lengths,
-                "words": words.tobytes(), "escapes": escapes.tobytes(),
-                "word_at": word_at, "escape_at": escape_at}], schema=FRAME_ARROW)
-
-        for doc_ids, texts in by_chars(batches):
-            for doc_id, one in zip(doc_ids, coded.texts(texts)):
-                one += end
-                ids.append(one)
-                docs.append(doc_id)
-                lengths.append(len(one) // 4)
-                held += lengths[-1]
+            words, escapes, word_at, escape_at = simple8b.encode(np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([
+                pa.array([shard], pa.int32()), pa.array([first], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, sum(map(len, docs))], pa.int32()), pa.concat_arrays(docs)),
+                _lists(np.concatenate(lengths), pa.int64()), pa.array([words.tobytes()], pa.binary()),
+                pa.array([escapes.tobytes()], pa.binary()), _lists(word_at, pa.int32()), _lists(escape_at, pa.int32())],
+                schema=FRAME_ARROW)
+
+        for doc_ids, texts in by_bytes(batches):
+            some, counts = coded.ids(texts)
+            some, counts = np.insert(some, np.cumsum(counts), np.uint32(end_id)), counts + 1
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            at = 0
+            while at < len(counts):  # a frame closes with the document that fills it
+                last = min(len(counts), int(np.searchsorted(ends, ends[at] + FRAME_IDS - held)))
+                ids.append(some[ends[at]:ends[last]])
+                docs.append(doc_ids.slice(at, last - at))
+                lengths.append(counts[at:last])
+                held += int(ends[last] - ends[at])
+                at = last
                 if held >= FRAME_IDS:
                     yield frame()
                     first, ids, docs, lengths, held = first + held, [], [], [], 0
