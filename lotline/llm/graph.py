@@ -1,18 +1,22 @@
-"""Connected components of links between numbered nodes."""
+"""Connected components of links between numbered nodes.
+
+Rounds hand on written tables: what a checkpoint remembers of its plan has a size estimate that every join squares, and after
+some twenty joins the driver is busy with nothing but that number.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lotline.llm.common import cut_lineage
+from lotline.llm.common import written
 
 
 def _shortened(hooks: DataFrame) -> DataFrame:
     """high and low, where each high points to the end of its chain of hooks."""
     while True:
         ahead = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
-        hooks = cut_lineage(hooks.join(ahead, "low", "left").select(
-            "high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
+        hooks = written(hooks.join(ahead, "low", "left").select(
+            "high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")), "hooks")
         if hooks.where("moved").isEmpty():
             return hooks.drop("moved")
 
@@ -24,26 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     links within a class go. Rounds grow with the logarithm of a component's width. A class that very many links
     lead to is reduced map-side.
     """
-    links = cut_lineage(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct())
-    found = []
+    links = written(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct(), "links")
+    classes = links.select("high").union(links.select("low")).distinct().select(F.col("high").alias("n"), F.col("high").alias("class"))
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        hooks = both.groupBy("high").agg(F.min("low").alias("low")).where("low < high")
-        hooks = _shortened(hooks)
-        found.append(hooks)
-        to_a = hooks.select(F.col("high").alias("a"), F.col("low").alias("to_a"))
-        to_b = hooks.select(F.col("high").alias("b"), F.col("low").alias("to_b"))
+        hooks = _shortened(both.groupBy("high").agg(F.min("low").alias("low")).where("low < high"))
+        to = hooks.select(F.col("high").alias("class"), F.col("low").alias("to"))
+        classes = written(classes.join(to, "class", "left").select("n", F.coalesce("to", "class").alias("class")), "classes")
+        to_a, to_b = (hooks.select(F.col("high").alias(k), F.col("low").alias(f"to_{k}")) for k in ("a", "b"))
         moved = links.select(F.col("high").alias("a"), F.col("low").alias("b")).join(to_a, "a", "left").join(to_b, "b", "left")
         moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).where("a <> b")
-        links = cut_lineage(moved.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
-    if not found:
-        return links.select(F.col("high").alias("n"), F.col("low").alias("class"))
-    # a class that hooked in one round may be hooked onto in a later one: from the last round back
-    classes = found.pop()
-    while found:
-        later = classes.select(F.col("high").alias("low"), F.col("low").alias("lower"))
-        earlier = found.pop()
-        classes = classes.unionByName(earlier.join(later, "low", "left").select("high", F.coalesce("lower", "low").alias("low")))
-    classes = cut_lineage(classes)
-    roots = classes.select(F.col("low").alias("n")).distinct()
-    return classes.select(F.col("high").alias("n"), F.col("low").alias("class")).unionByName(roots.select("n", F.col("n").alias("class")))
+        links = written(moved.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "links")
+    return classes

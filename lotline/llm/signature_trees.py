@@ -7,6 +7,9 @@ sizes, nothing is looked at. The traversal goes down the tree in pairs of nodes,
 
 Only the classes that similar sets make are asked for. Sets of one class need no comparison, nor do nodes whose sets are
 all of one class; so copies of a set cost one comparison each.
+
+``hopeful_classes`` knows the signatures only, a few bits for each token, and joins all sets that the bounds don't keep apart;
+``similar_classes`` compares the sets themselves.
 """
 
 from __future__ import annotations
@@ -64,21 +67,30 @@ class Classes:
                 self.label = lower
 
 
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    return (tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """The bitmaps of sets, of so many 64-bit words (a power of two) each."""
+    bits, of = _bits(tokens.astype(np.uint64)), np.repeat(np.arange(len(sizes)), sizes)
+    maps = np.zeros((len(sizes), words), np.uint64)
+    np.bitwise_or.at(maps, (of, (bits >> np.uint64(6)) & np.uint64(words - 1)), np.uint64(1) << (bits & np.uint64(63)))
+    return maps
+
+
+def own_words(size: int) -> int:
+    """Words of a signature with one to two bits for each token."""
+    return 1 << max(0, (size - 1) // 64).bit_length()
+
+
 class Tree:
-    """Levels of nodes, leaves (the sets, in order of size and least token) first."""
-
-    def __init__(self, sets: Sets):
-        m = len(sets.sizes)
-        least = np.minimum.reduceat(sets.tokens, sets.starts)
-        bands = np.floor(np.log2(sets.sizes) * 4)
-        self.order = np.lexsort((sets.sizes, least, bands))
-        words = max(1, min(int(sets.sizes.max()) // 32 + 1, BITMAP_BYTES // (8 * m)))
-        words = 1 << (words.bit_length() - 1)
-        maps = np.zeros((m, words), np.uint64)
-        of = np.repeat(np.arange(m), sets.sizes)
-        bit = (sets.tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        np.bitwise_or.at(maps, (of, (bit >> np.uint64(6)) % np.uint64(words)), np.uint64(1) << (bit & np.uint64(63)))
-        maps, sizes = maps[self.order], sets.sizes[self.order]
+    """Levels of nodes, leaves (the sets, in order of size and a token) first."""
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, token: np.ndarray):
+        bands = np.floor(np.log2(sizes) * 4)
+        self.order = np.lexsort((sizes, token, bands))
+        maps, sizes = maps[self.order], sizes[self.order]
         lost = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, lost)]
         while len(maps) > 1:
@@ -121,32 +133,14 @@ def _verify(sets: Sets, classes: Classes, a: np.ndarray, b: np.ndarray, percent:
             classes.join(np.full(len(others), one), others)
 
 
-def similar_classes(tokens: np.ndarray, sizes: np.ndarray, percent: int, label: np.ndarray | None = None,
-                    side: np.ndarray | None = None) -> np.ndarray:
-    """Each set's class, as the number of a set in it.
-
-    The tokens of a set are distinct. Classes known before are given as ``label``. With ``side``, sets of one side are not compared.
-    """
-    m = len(sizes)
-    classes = Classes(np.arange(m) if label is None else label)
-    if m == 1:
-        return classes.label
-    sets = Sets(tokens, sizes)
-    tree = Tree(sets)
-    order = tree.order
-    _verify(sets, classes, order[:-1], order[1:], percent)  # neighbours first: copies find each other
-    if len(tree.levels) > 2:
-        firsts = np.flatnonzero(classes.label[order] == order)  # one of each class, with the next few ones
-        for ahead in (1, 2):
-            _verify(sets, classes, order[firsts[:-ahead]], order[firsts[ahead:]], percent)
+def _traverse(tree: Tree, classes: Classes, percent: int, side: np.ndarray | None, compare) -> None:
+    """Goes down the tree in pairs of nodes; ``compare`` gets the pairs of sets in different classes that are hopeful."""
+    order, m = tree.order, len(tree.order)
 
     def down(level: int, x: np.ndarray, y: np.ndarray) -> None:
-        """Pairs of nodes (x <= y) of a level: looks at their children, or compares sets."""
         for x, y in _chunks(x, y):
             if level:
-                width = FAN ** level
-                of = classes.label[order]
-                firsts = np.arange(0, m, width)
+                of, firsts = classes.label[order], np.arange(0, m, FAN ** level)
                 low, high = np.minimum.reduceat(of, firsts), np.maximum.reduceat(of, firsts)
                 apart = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
             else:
@@ -159,7 +153,7 @@ def similar_classes(tokens: np.ndarray, sizes: np.ndarray, percent: int, label:
             if not len(x):
                 continue
             if not level:
-                _verify(sets, classes, order[x], order[y], percent)
+                compare(order[x], order[y])
                 continue
             below = len(tree.levels[level - 1][1])
             k = np.arange(FAN * FAN)
@@ -169,4 +163,52 @@ def similar_classes(tokens: np.ndarray, sizes: np.ndarray, percent: int, label:
             down(level - 1, i[inside], j[inside])
 
     down(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
+def similar_classes(tokens: np.ndarray, sizes: np.ndarray, percent: int, label: np.ndarray | None = None,
+                    side: np.ndarray | None = None) -> np.ndarray:
+    """Each set's class, as the number of a set in it.
+
+    The tokens of a set are distinct. Classes known before are given as ``label``. With ``side``, sets of one side need
+    not be compared.
+    """
+    m = len(sizes)
+    classes = Classes(np.arange(m) if label is None else label)
+    if m == 1:
+        return classes.label
+    sets = Sets(tokens, sizes)
+    words = max(1, min(int(sets.sizes.max()) // 32 + 1, BITMAP_BYTES // (8 * m)))
+    maps = signatures(tokens, sets.sizes, 1 << (words.bit_length() - 1))
+    tree = Tree(maps, sets.sizes, np.minimum.reduceat(sets.tokens, sets.starts))
+    order = tree.order
+    _verify(sets, classes, order[:-1], order[1:], percent)  # neighbours first: copies find each other
+    firsts = np.flatnonzero(classes.label[order] == order)  # one of each class, with the next few ones
+    for ahead in (1, 2):
+        _verify(sets, classes, order[firsts[:-ahead]], order[firsts[ahead:]], percent)
+    _traverse(tree, classes, percent, side, lambda a, b: _verify(sets, classes, a, b, percent))
+    return classes.label
+
+
+def hopeful_classes(maps: list[np.ndarray], sizes: np.ndarray, token: np.ndarray, percent: int, label: np.ndarray | None = None,
+                    side: np.ndarray | None = None) -> np.ndarray:
+    """Classes, as ``similar_classes`` gives them, in which all similar sets are together, and few others.
+
+    ``maps`` are signatures of ``own_words`` words. Longer ones are folded to the length of shorter ones.
+    """
+    classes = Classes(np.arange(len(sizes)) if label is None else label)
+    words = np.array([len(x) for x in maps])
+    for width in np.unique(words):
+        own = np.flatnonzero(words == width)
+        longer = np.flatnonzero((words > width) & (sizes * percent <= 100 * sizes[own].max()))
+        some = np.concatenate([own, longer])
+        if len(some) < 2:
+            continue
+        folded = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, width), axis=0) for k in some.tolist()])
+        tree = Tree(folded, sizes[some], token[some])
+        inner = Classes(classes.label[some])
+        near = np.arange(len(some) - 1)
+        near = near[tree.hopeful(0, near, near + 1, percent)]
+        inner.join(tree.order[near], tree.order[near + 1])
+        _traverse(tree, inner, percent, None if side is None else side[some], inner.join)
+        classes.join(some, some[inner.label])
     return classes.label
