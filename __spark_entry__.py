@@ -277,6 +277,7 @@ def queries() -> dict[str, Query]:
             "SELECT id, calculate_parking_cost(entry_time, exit_time, tariff_id) AS cost "
             "FROM parking_sessions"),
         "U2_user_balance": _report(ledger.user_balance),
+        "U2_user_balance_function": _sql("SELECT id AS user_id, get_user_balance(id) AS balance FROM users"),
         "U3_check_entry_function": _sql(
             "SELECT a.id, e.* FROM (SELECT id, plate_number, id % 5 AS gate_id FROM entry_logs) a, "
             "LATERAL check_entry_allowed(a.plate_number, a.gate_id) e"),
@@ -358,6 +359,8 @@ def queries() -> dict[str, Query]:
             lambda t: access.visible_to(t, "audit_logs", 10, is_admin=True)),
         "B11_cars_seen_with_administrators": _report(lambda t: access.seen_by(
             t, "cars", access.viewers(t.users, admin_phone="+79000000010"))),
+        "B11_cars_in_scopes": _report(lambda t: access.seen_in_scopes(
+            t, "cars", access.viewers(t.users, admin_phone="+79000000010"))),
         "B11_operations_of_one_user": _report(
             lambda t: access.visible_to(t, "wallet_transactions", 10)),
         "X1_hourly_load_stream": _windows(lambda e: windows.load(_entries(e))),

@@ -62,3 +62,39 @@ def seen_by(tables: Tables, table: str, who: DataFrame) -> DataFrame:
     columns = [c for c in TABLES[table].columns if c in owned.columns]
     return (owned.join(who.select("viewer_id"), F.col("owner_id") == F.col("viewer_id"))
             .select("viewer_id", *columns))
+
+
+def scopes(who: DataFrame) -> DataFrame:
+    """What each viewer may see: (viewer_id, scope_id), with scope_id NULL for all rows.
+
+    An administrator has the scope of everything and anybody else the scope of their own id.
+    """
+    return who.select("viewer_id", F.when(~F.col("is_admin"), F.col("viewer_id")).alias("scope_id"))
+
+
+def seen_in_scopes(tables: Tables, table: str, who: DataFrame) -> DataFrame:
+    """For many viewers at once: each row of ``table`` with the scopes it is in.
+
+    With scope_id NULL it is there once for all administrators together, if there are any, and with its
+    owner's id once more if the owner is a viewer. So a table is never multiplied with its administrators;
+    ``in_scope`` answers for one viewer. Tables open to all are only in the scope of everything, and every viewer has it.
+    """
+    rows = getattr(tables, table)
+    found = scopes(who)
+    everybody = F.lit(True) if table in OPEN_TABLES else F.col("scope_id").isNull()
+    owner = found.where("scope_id is not null")
+    nobody = F.lit(None).cast(owner.schema["scope_id"].dataType).alias("scope_id")
+    every = rows.where(found.where(everybody).exists()).select(nobody, *rows.columns)
+    if table in OPEN_TABLES or table in ADMIN_TABLES:
+        return every
+    owned = with_owner(tables, table)
+    columns = [c for c in rows.columns if c in owned.columns]
+    mine = owned.join(owner.select("scope_id").distinct(), F.col("owner_id") == F.col("scope_id"))
+    return every.select("scope_id", *columns).unionByName(mine.select("scope_id", *columns))
+
+
+def in_scope(seen: DataFrame, table: str, viewer_id, is_admin: bool = False) -> DataFrame:
+    """The rows of ``seen_in_scopes`` that one viewer sees, as ``visible_to`` gives them."""
+    whole = is_admin or table in OPEN_TABLES
+    mine = F.col("scope_id").isNull() if whole else F.col("scope_id") == viewer_id
+    return seen.where(mine).drop("scope_id")

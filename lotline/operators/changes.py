@@ -74,13 +74,15 @@ def _exists(held) -> Column:
 def insert_ignore(target: DataFrame, batch: DataFrame, keys, position: str = "id") -> DataFrame:
     """Rows of ``batch`` to add when repeated keys are silently skipped.
 
-    Of rows with one key the first by ``position`` stays. NULL is like nothing, so rows
-    with a NULL in the key are all added.
+    Of rows with one key the first by ``position`` stays, NULL positions last, and of equal
+    positions the row of least hash. NULL is like nothing, so rows with a NULL in the key are all added.
     """
     keys = list(keys)
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     row = F.struct(*batch.columns)
-    firsts = (batch.where(whole).groupBy(*keys).agg(F.min_by(row, F.col(position)).alias("_row"))
+    place = F.struct(F.col(position).isNull().alias("none"), F.col(position).alias("at"),
+                     F.xxhash64(*batch.columns).alias("tie"))
+    firsts = (batch.where(whole).groupBy(*keys).agg(F.min_by(row, place).alias("_row"))
               .select("_row.*"))
     return (firsts.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
             .unionByName(batch.where(~whole)))
@@ -111,10 +113,17 @@ def _one_per_key(patch: DataFrame, columns: list[str], key: str, overwrite: bool
     if order is None:
         counts = patch.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
         return patch.join(counts, key, "left_anti"), counts
-    last = [F.max_by(c, F.col(order)).alias(c) for c in others]
-    values = [F.max_by(c, F.col(order)).alias(c) if overwrite else
-              F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
-    return patch.groupBy(key).agg(*values, *last), patch.select(key).limit(0)
+    places = patch.groupBy(key, order).agg(F.count(F.lit(1)).alias("_n"))
+    unordered = (places.groupBy(key).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"),
+                                         F.count_if(F.col(order).isNull()).alias("_nowhere"))
+                 .where("_all > 1 AND (_most > 1 OR _nowhere > 0)").select(key))
+    unordered = unordered.where(F.col(key).isNotNull())
+    patch = join_totals(patch, unordered, [key], "left_anti")
+    place = F.struct(order)  # never NULL, so a single patch needs no order
+    last = [F.max_by(c, place).alias(c) for c in others]
+    values = [F.max_by(c, place).alias(c) if overwrite else
+              F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns]
+    return patch.groupBy(key).agg(*values, *last), unordered
 
 
 def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key: str = "id",
@@ -122,8 +131,8 @@ def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key:
                   order: str | None = None) -> Change:
     """Applies patches to the rows of their key.
 
-    Several patches of one key take effect one after the other by ``order``; without an
-    order they are all rejected, since none of them comes first.
+    Several patches of one key take effect one after the other by ``order``. Without an order they are all
+    rejected, since none of them comes first, and so they are if the order of one is NULL or that of two the same.
 
     NULL in a patch keeps the old value, so a value cannot be cleared, unless
     ``overwrite`` takes the patch as it is. A patch fails if its key is unknown, if

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lotline.llm.common import written
+from lotline.session import written
 
 
 def _shortened(hooks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lotline.operators.first_wins import (claim, claimed_columns, claims_of, fir
                                           held_claims)
 from lotline.operators.quality import row_rules
 from lotline.schemas import DEFAULT_CURRENCY, IMPORT_PAYLOAD, TABLES
-from lotline.session import cut_lineage
+from lotline.session import cut_lineage, written
 from lotline.sources.tables import Tables
 
 # Fixed value: the error text of every broken constraint.
@@ -32,30 +32,34 @@ class Import:
 def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Import requests from JSON, one per line, or one per file with ``multi_line``.
 
-    A request is numbered by its own ``request_no`` or else by a hash of its file and text, so the
-    order of requests doesn't depend on how files are split. One that cannot be read
-    becomes a row without users that is marked ``unreadable``.
+    A request is numbered by its own ``request_no`` or else by a hash of its file and text, and has a
+    ``place``, its file, block and line, so that requests of one number stay apart and
+    their order doesn't depend on how files are split. One that cannot be read becomes a
+    row without users that is marked ``unreadable``.
     """
-    raw = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))  # increases along a block
+    raw = spark.read.option("wholetext", multi_line).text(path).select("value", "_metadata", place.alias("place")).where(F.trim("value") != "")
     kind = T.StructType(IMPORT_PAYLOAD.fields + [T.StructField("request_no", T.LongType()),
                                                  T.StructField("_corrupt_record", T.StringType())])
-    parsed = raw.select("value", F.col("_metadata.file_path").alias("file"),
-                        F.from_json("value", kind).alias("r"))
+    parsed = raw.select("value", "place", F.from_json("value", kind).alias("r"))
     return entries(parsed.select(
-        F.coalesce("r.request_no", F.xxhash64("file", "value")).alias("request_no"), "r.dry_run", "r.users",
+        F.coalesce("r.request_no", F.xxhash64("place.file", "value")).alias("request_no"), "place", "r.dry_run", "r.users",
         (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()).alias("unreadable")))
 
 
 def entries(requests: DataFrame) -> DataFrame:
     """One row per user of each request, in order, its cars still nested.
 
-    A request without users keeps one row, without a ``user_no``.
+    A request without users keeps one row, without a ``user_no``. Requests may have a ``place`` that
+    tells apart those of one number.
     """
+    place = [F.col("place")] if "place" in requests.columns else []
     unreadable = F.col("unreadable") if "unreadable" in requests.columns else F.lit(False)
     return requests.select(
-        "request_no", F.coalesce("dry_run", F.lit(False)).alias("dry_run"), unreadable.alias("unreadable"),
+        "request_no", *place, F.coalesce("dry_run", F.lit(False)).alias("dry_run"), unreadable.alias("unreadable"),
         F.posexplode_outer("users").alias("user_no", "u")).select(
-            "request_no", F.col("user_no").cast("bigint").alias("user_no"), "dry_run", "unreadable",
+            "request_no", *place, F.col("user_no").cast("bigint").alias("user_no"), "dry_run", "unreadable",
             "u.phone", "u.email", "u.password_hash",
             F.coalesce("u.cars", F.array().cast("array<struct<plate_number:string,model:string>>"))
             .alias("cars"))
@@ -89,13 +93,19 @@ def _problem():
 def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
     """Imports entries in request and user order; each user comes whole or not at all.
 
+    Requests of one number are taken by their ``place``, if they have one. The entries are numbered
+    and kept, so equal ones stay apart: the first is stored, the others are errors.
+
     Dry-run requests are checked against the stored tables only and store nothing,
     so repetitions among their own entries pass. ``at`` is the time of the import.
     """
     now = F.lit(at).cast("timestamp_ntz")
-    position = F.struct("request_no", "user_no")
     if "unreadable" not in batch.columns:
         batch = batch.withColumn("unreadable", F.lit(False))
+    if "place" not in batch.columns:
+        batch = batch.withColumn("place", F.lit(None).cast("string"))
+    batch = written(batch.withColumn("_n", F.monotonically_increasing_id()), "import")
+    position = F.struct("request_no", "place", "user_no", "_n")
     without_users = batch.where("user_no is null").select("request_no", "unreadable")
     batch = batch.where("user_no is not null").drop("unreadable")
 
@@ -135,11 +145,11 @@ def import_users(tables: Tables, batch: DataFrame, at, actor=None) -> Import:
         "request_no", F.lit(None).cast("bigint").alias("user_no"), F.lit(None).cast("string").alias("phone"),
         F.lit(UNREADABLE).alias("error"), F.lit("not a JSON request").alias("details")))
     good = F.col("_problem").isNull()
-    summary = judged.groupBy("request_no").agg(
+    summary = judged.groupBy("request_no", "place").agg(
         F.count_if(good).alias("created_users"),
         F.coalesce(F.sum(F.when(good, F.size("cars"))), F.lit(0)).cast("bigint")
         .alias("created_cars"),
-        F.count_if(~good).alias("failed_users"))
+        F.count_if(~good).alias("failed_users")).drop("place")
     none = F.lit(0).cast("bigint")
     summary = summary.unionByName(without_users.select(
         "request_no", none.alias("created_users"), none.alias("created_cars"), none.alias("failed_users")))

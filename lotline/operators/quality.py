@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotline.operators.spread import join_totals
 from lotline.schemas import TABLES, TableSpec
@@ -55,43 +57,67 @@ def orphans(tables: Tables, table: str, column: str, parent: str) -> DataFrame:
     return join_totals(child, dangling, [column], "left_semi")
 
 
-def _reference_counts(tables: Tables, table: str, column: str, parent: str) -> DataFrame:
-    """Dangling references counted per key, then added up: no child row meets a join."""
-    child = getattr(tables, table).where(F.col(column).isNotNull())
-    parents = getattr(tables, parent).select(F.col("id").alias(column))
-    return (child.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-            .join(parents, column, "left_anti")
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
-            .select(F.lit(table).alias("table"), F.lit("reference").alias("kind"),
-                    F.lit(f"{column} -> {parent}").alias("rule"), "rows"))
+def _key(columns) -> Column:
+    """Text of key values, NULL if one of them is."""
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    return F.when(whole, F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])))
 
 
-def _unique_counts(tables: Tables, table: str, keys: tuple) -> DataFrame:
-    return (duplicate_keys(getattr(tables, table), keys)
-            .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
-            .select(F.lit(table).alias("table"), F.lit("unique").alias("kind"),
-                    F.lit(", ".join(keys)).alias("rule"), "rows"))
+def _marks(tables: Tables, table: str, constraints: list[tuple[str, str]]) -> DataFrame:
+    """target, key and rule of all that one pass over a table has to say about its constraints.
+
+    The target of a key is a unique constraint: the table's own, where ``rule`` is NULL, or that of the parent's
+    id, where it is the reference. A row that breaks a row rule has the rule as target and no key.
+    """
+    spec, marks = TABLES[table], []
+    none = F.lit(None).cast("string")
 
+    def mark(holds: Column, target: str, key: Column, rule: Column) -> None:
+        marks.append(F.when(holds, F.struct(F.lit(target).alias("target"), key.alias("key"), rule.alias("rule"))))
 
-def _row_counts(tables: Tables, table: str) -> DataFrame:
-    rules = row_rules(TABLES[table])
-    counts = [F.count_if(c).alias(f"_{i}") for i, (_, c) in enumerate(rules)]
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{i}").alias("rows"))
-                                for i, (n, _) in enumerate(rules)])).alias("p")
-    return getattr(tables, table).agg(*counts).select(pairs).select(
-        F.lit(table).alias("table"), F.lit("row").alias("kind"), "p.rule", "p.rows")
+    rules = dict(row_rules(spec))
+    keys = {", ".join(k): k for k in (("id",), *spec.unique)}
+    references = {f"{r.column} -> {r.parent}": r for r in spec.references}
+    for kind, name in constraints:
+        if kind == "row":
+            mark(rules[name], f"row|{table}|{name}", none, none)
+        elif kind == "unique":
+            mark(_key(keys[name]).isNotNull(), f"unique|{table}|{name}", _key(keys[name]), none)
+        else:
+            key = _key([references[name].column])
+            mark(key.isNotNull(), f"unique|{references[name].parent}|id", key, F.lit(f"reference|{table}|{name}"))
+    return getattr(tables, table).select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
+
+
+def constraints_of(tables: Tables, table: str) -> list[tuple[str, str]]:
+    """(kind, name) of the declared constraints of a table."""
+    spec = TABLES[table]
+    return ([("row", name) for name, _ in row_rules(spec)] + [("unique", ", ".join(k)) for k in (("id",), *spec.unique)]
+            + [("reference", f"{r.column} -> {r.parent}") for r in spec.references if r.parent in tables])
 
 
 def quality_report(tables: Tables, only: tuple | None = None) -> DataFrame:
-    """Violations of every declared constraint: table, kind, rule and rows concerned."""
-    parts = []
-    for name in only or tables.names():
-        spec = TABLES[name]
-        parts.append(_row_counts(tables, name))
-        parts += [_unique_counts(tables, name, keys) for keys in (("id",), *spec.unique)]
-        parts += [_reference_counts(tables, name, r.column, r.parent)
-                  for r in spec.references if r.parent in tables]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    """Violations of every declared constraint: table, kind, rule and rows concerned.
+
+    Each table is read once, for all its constraints and as parent of others. Keys are counted map-side before they are
+    shuffled, so a key that very many rows hold or refer to is one row per task; the ids of parents meet the
+    references to them in the same groups, and no table is joined with another.
+    """
+    names = list(only or tables.names())
+    asked = {name: constraints_of(tables, name) for name in names}
+    parents = {r.parent for name in names for r in TABLES[name].references if r.parent in tables}
+    passes = {**{p: [("unique", "id")] for p in sorted(parents)}, **asked}
+    marks = reduce(DataFrame.unionByName, [_marks(tables, name, listed) for name, listed in passes.items()])
+    counts = marks.groupBy("target", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
+    held = F.max(F.col("rule").isNull()).over(Window.partitionBy("target", "key"))
+    broken = counts.withColumn("held", held).select(
+        F.coalesce("rule", "target").alias("constraint"),
+        F.when(F.col("key").isNull(), F.col("n")).when(F.col("rule").isNull(), F.when(F.col("n") > 1, F.col("n")))
+        .otherwise(F.when(~F.col("held"), F.col("n"))).alias("n"))
+    broken = broken.where("n is not null").groupBy("constraint").agg(F.sum("n").alias("n"))
+    spark = getattr(tables, names[0]).sparkSession
+    every = spark.createDataFrame([(name, kind, rule, f"{kind}|{name}|{rule}") for name in names for kind, rule in asked[name]],
+                                  "table string, kind string, rule string, constraint string")
+    return every.join(broken, "constraint", "left").select("table", "kind", "rule", F.coalesce("n", F.lit(0)).alias("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: it survives lost executors.
+
+    Unlike a checkpoint it forgets the plan's size estimate, which every join multiplies, so loops hand on written tables.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.options(**options).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -302,6 +302,9 @@ FROM parking_sessions s JOIN tariffs t ON t.id = s.tariff_id"""),
     "U2_user_balance": over("users wallets", """
 SELECT u.id AS user_id, CAST(coalesce(w.balance, 0) AS DOUBLE) AS balance
 FROM users u LEFT JOIN wallets w ON w.user_id = u.id"""),
+    "U2_user_balance_function": over("users wallets", """
+SELECT u.id AS user_id, CAST(coalesce(w.balance, 0) AS DOUBLE) AS balance
+FROM users u LEFT JOIN (SELECT user_id, max(balance) AS balance FROM wallets GROUP BY user_id) w ON w.user_id = u.id"""),
     "U3_check_entry_function": over(ENTRY_TABLES, """
 SELECT id, allowed, reason, car_id, user_id, wallet_id, balance FROM decisions""",
         more=decided("w.balance", "").replace("JOIN gates g ON g.id = a.gate_id AND g.type = 'entry'", "")),
@@ -475,6 +478,10 @@ SELECT l.* FROM entry_logs l JOIN cars c ON c.plate_number = l.plate_number WHER
     "B11_audit_of_administrators": over("audit_logs", "SELECT * FROM audit_logs"),
     "B11_cars_seen_with_administrators": over("users cars", """
 SELECT users.id AS viewer_id, cars.* FROM users JOIN cars ON cars.user_id = users.id"""),
+    "B11_cars_in_scopes": over("users cars", """
+SELECT NULL::BIGINT AS scope_id, cars.* FROM cars WHERE EXISTS (SELECT 1 FROM users WHERE phone = '+79000000010')
+UNION ALL
+SELECT users.id AS scope_id, cars.* FROM cars JOIN users ON users.id = cars.user_id WHERE users.phone <> '+79000000010'"""),
     "B11_operations_of_one_user": over("wallet_transactions wallets", """
 SELECT t.id, t.wallet_id, t.session_id, CAST(t.amount AS DOUBLE) AS amount, t.operation_type, t.created_at, t.comment
 FROM wallet_transactions t JOIN wallets w ON w.id = t.wallet_id WHERE w.user_id = 10"""),

@@ -240,3 +240,88 @@ def test_dry_run_stores_nothing_and_sees_only_the_tables(spark, tmp_path):
                                              ("+70", None, []), dry_run=True))
     assert done.users.count() == done.cars.count() == done.audit.count() == 0
     assert rows(done.summary, "created_users", "created_cars", "failed_users") == [(2, 2, 1)]
+
+
+def test_requests_of_one_number_and_equal_lines(spark, tmp_path):
+    one = payload(("+71", None, ["A"]))
+    done = imported(spark, tmp_path, one, one)
+    assert rows(done.users, "phone") == [("+71",)] and done.cars.count() == 1
+    assert [r.details for r in done.errors.collect()] == ["repeats an earlier entry"]
+    assert rows(done.summary, "created_users", "created_cars", "failed_users") == [(0, 0, 1), (1, 1, 0)]
+    numbered = [dict(payload(("+72", None, ["B"])), request_no=5), dict(payload(("+72", None, ["C"]), ("+73", None, [])), request_no=5)]
+    done = imported(spark, tmp_path, *numbered)
+    assert rows(done.users, "phone") == [("+72",), ("+73",)] and rows(done.cars, "plate_number") == [("B",)]
+    assert [(r.request_no, r.user_no, r.phone) for r in done.errors.collect()] == [(5, 0, "+72")]
+    assert rows(done.summary, "request_no", "created_users", "failed_users") == [(5, 1, 0), (5, 1, 1)]
+
+
+def test_entries_without_a_place_stay_apart(spark):
+    requests = spark.createDataFrame([(1, False, [("+71", None, "h", None)] * 2)] * 2,
+                                     "request_no bigint, dry_run boolean, users array<struct<phone:string,email:string,"
+                                     "password_hash:string,cars:array<struct<plate_number:string,model:string>>>>")
+    done = importer.import_users(tables(spark, users=[], cars=[]), importer.entries(requests), NOW)
+    assert rows(done.users, "phone") == [("+71",)] and done.errors.count() == 3
+    assert rows(done.summary, "request_no", "created_users", "failed_users") == [(1, 1, 3)]
+
+
+def test_insert_ignore_with_null_and_equal_positions(spark):
+    target = spark.createDataFrame([(1, "K0", "x")], "id int, k string, v string")
+    batch = spark.createDataFrame([(None, "K1", "a"), (None, "K2", "b"), (3, "K2", "c"), (2, "K3", "d"), (2, "K3", "e"),
+                                   (None, "K0", "f"), (5, None, "g"), (5, None, "g")], "id int, k string, v string")
+    got = changes.insert_ignore(target, batch, ["k"]).collect()
+    assert sorted((r.id, r.k) for r in got if r.k and r.id) == [(2, "K3"), (3, "K2")]
+    assert [(r.id, r.k, r.v) for r in got if r.k == "K1"] == [(None, "K1", "a")]
+    assert sum(r.k is None for r in got) == 2 and len(got) == 5
+
+
+def test_patches_without_a_clear_order(spark):
+    target = spark.createDataFrame([(str(i), "old", "old") for i in range(6)], "id string, a string, b string")
+    patches = spark.createDataFrame(
+        [("0", "x", None, None),                          # alone, needs no order
+         ("1", "x", None, 1), ("1", None, "y", 1),        # at once
+         ("2", "x", None, None), ("2", None, "y", 2),     # one of them nowhere
+         ("3", "x", "x", 1), ("3", "z", None, 2),         # in order
+         (None, "x", "x", 1), ("9", "x", "x", 1)],
+        "id string, a string, b string, at int")
+    done = changes.apply_updates(target, patches, ["a", "b"], order="at")
+    after = {r.id: (r.a, r.b) for r in done.table.collect()}
+    assert after == {"0": ("x", "old"), "1": ("old", "old"), "2": ("old", "old"), "3": ("z", "x"), "4": ("old", "old"), "5": ("old", "old")}
+    assert by_id(done.rejected, "error") == {"1": "several patches without an order", "2": "several patches without an order",
+                                             "9": "not found", None: "not found"}
+
+
+def by_hand(batch):
+    taken, accepted = set(), []
+    for position, claims in sorted(batch):
+        if taken.isdisjoint(claims):
+            taken.update(claims)
+            accepted.append(position)
+    return accepted
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_chains_of_conflicts(spark, most):
+    """Long chains, a key that many claim, rows with nothing; also where components are too large for a task."""
+    rng = random.Random(4)
+    batch = [(k, [f"c{k}", f"c{k + 1}"]) for k in range(60 if most == 20 else 1000)]
+    batch += [(2000 + k, ["hot", f"h{k // 2}"]) for k in range(60)] + [(3000 + k, []) for k in range(5)]
+    batch += [(4000 + k, [f"r{rng.randrange(40)}" for _ in range(3)]) for k in range(60)]
+    frame_ = spark.createDataFrame(batch, "at bigint, claims array<string>").repartition(4)
+    got = sorted(r["at"] for r in first_wins(frame_, "at", "claims", most=most).collect())
+    assert got == by_hand(batch)
+
+
+@pytest.mark.parametrize("table", ["entry_logs", "cars", "audit_logs", "gates"])
+def test_scopes_answer_what_each_viewer_sees(spark, table):
+    t = tables(spark, users=[{"id": "u", "phone": "1"}, {"id": "a", "phone": "000"}, {"id": "b", "phone": "2"}],
+               cars=[{"id": "c", "user_id": "u", "plate_number": "A"}, {"id": "d", "user_id": "a", "plate_number": "B"}],
+               entry_logs=[{"id": "1", "plate_number": "A"}, {"id": "2", "plate_number": "B"}, {"id": "3", "plate_number": "unknown"}],
+               audit_logs=[{"id": "x", "user_id": "u"}], gates=[{"id": "g"}, {"id": "h"}])
+    who = access.viewers(t.users)
+    seen = access.seen_in_scopes(t, table, who)
+    assert seen.where("scope_id is null").count() == getattr(t, table).count()
+    for viewer, is_admin in [tuple(r) for r in who.collect()]:
+        want = access.visible_to(t, table, viewer, is_admin)
+        assert rows(access.in_scope(seen, table, viewer, is_admin), "id") == rows(want, "id")
+    without = access.seen_in_scopes(t, table, who.where("not is_admin"))
+    assert without.where("scope_id is null").count() == (2 if table == "gates" else 0)
