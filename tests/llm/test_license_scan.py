@@ -99,6 +99,15 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
     https://www.apache.org/licenses/LICENSE-2.0""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
+CANONICAL |= {
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.""",
+    "GPL-2.0-only": """It is licensed under the GNU General Public License version 2.""",
+}
 CANONICAL["BSD-2-Clause"] = CANONICAL["BSD-3-Clause"].split("\n\n3.")[0]
 
 
@@ -114,3 +123,12 @@ def test_standard_wordings_wrapped_and_not(spark):
     assert len(got) == len(rows)
     for r in got:
         assert ",".join(r.licenses) == r.row.want, r.row.text
+
+
+def test_tags_and_anchors(spark):
+    rows = [("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0-or-later", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"),
+            ("BSD-3-Clause", "# spdx-license-identifier:  BSD-3-Clause"), ("", "SPDX-License-Identifier: Unknown-1.0"), ("", "a licence of no kind")]
+    for r in scan.licenses(spark.createDataFrame(rows, "want string, text string")).collect():
+        assert ",".join(r.licenses) == r.row.want, r.row.text
+    anchors = scan.anchors(scan.SENTENCES)
+    assert all(any(a in words.split() for a in anchors) for words in scan.SENTENCES.values()) and len(anchors) < 12
