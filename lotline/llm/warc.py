@@ -188,7 +188,9 @@ class _Reader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root))
         return [_Archive(f.base_name) for f in found if f.base_name.endswith(SUFFIX)]
 
-    def read(self, archive: _Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, archive: _Archive | None) -> Iterator[pa.RecordBatch]:
+        if archive is None:  # Spark asks for one partition where there are no archives
+            return
         store, root = _store(self.path)
         rows, held = [], 0
         with store.open_input_stream(f"{root}/{archive.name}", compression=None) as raw:
