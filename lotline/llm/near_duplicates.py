@@ -12,11 +12,11 @@ draw the same one with the chance of their weighted Jaccard similarity. Samples
 texts that share a band are candidates. At a similarity of 0.8 a pair is missed once in 500.
 
 *Verification.* Candidates are compared by exact weighted Jaccard similarity, ``SIMILAR`` or more is a link,
-and classes are the connected components of the links. No group is expanded into all of its pairs. First, in
-turns, every class compares one text with the leader of a bucket, chosen so that copies meet the text they
-were made from; this only saves comparisons. Then all texts of buckets that still hold several classes, however many, are
-joined by their rarest shared shingles (see ``_rest``), under bounds that no similar pair misses, and what
-is left is compared. So no link between candidates is lost, in crowded buckets neither.
+and classes are the connected components of the links. No pairs are written down: every text of a bucket is
+connected with the bucket's first one, the components of these stars are clusters, and the texts of a cluster meet in one
+task, each sent once (``cluster_join``). There, bucket by bucket, each text is compared with all later ones of
+another class, so no link between candidates is lost, in crowded buckets neither, while copies join the first
+text's class at once.
 
 Equal texts are one text from the signatures on. A null text is an empty text. Texts without
 words are alike only if equal. Repeated rows are in one class. An empty table gives an empty result.
@@ -25,23 +25,25 @@ Columns of the input other than doc_id and text are not looked at, and ``keep_on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lotline.operators.spread import join_totals
+from lotline.llm.cluster_join import PART, joined_classes
 from lotline.llm.common import cut_lineage, join_small, packed, text_of, white_words, written
+from lotline.llm.signature_trees import Classes
+from lotline.operators.components import components
+from lotline.operators.spread import join_totals
 
 SHINGLE = 5
 SIMILAR = 0.8
 HASHES, ROWS = 48, 4
 IDF_BITS = 18
 POOL_BITS = 16
-TURNS = 2
-PARTS = 16
-"""Parts of the hashes by which the weight that two texts can share is bounded."""
+SLICES = 16
 SEED = 71
 
 
@@ -55,38 +57,53 @@ def word_hashes(text):
 
 
 def _bucket_counter(bits: int):
-    """Arrow batches of word hashes to (bucket, texts with a word in it); bucket -1 counts the texts."""
+    """Arrow batches of word hashes to slices of the counts of texts by bucket; slice -1 counts the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, texts = np.zeros(1 << bits, np.int64), 0
-        for batch in _by_words(batches, column=0):
-            words, ends = _flat(batch.column(0))
-            text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-            pairs = np.unique((text << bits) | (words & ((1 << bits) - 1)))
-            counts += np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
+        for batch in batches:
+            for some in _by_words(iter([batch]), column=0):
+                words, ends = _flat(some.column(0))
+                text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+                pairs = np.unique((text << bits) | (words & ((1 << bits) - 1)))
+                counts += np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
             texts += batch.num_rows
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(counts[used], texts))],
-            names=["bucket", "n"])
+        parts = counts.reshape(SLICES, -1)
+        used = np.flatnonzero(parts.any(1)).tolist()
+        rows = [np.array([texts]).tobytes()] + [parts[k].tobytes() for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] + used, pa.int32()), pa.array(rows, pa.binary())], names=["slice", "counts"])
 
     return count
 
 
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices in order to one sum for each."""
+    held, total = None, None
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts = np.frombuffer(counts.as_buffer(), np.int64)
+            if k != held and held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+            total = counts.copy() if k != held else total + counts
+            held = k
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+
+
 def document_frequencies(texts: DataFrame, bits: int = IDF_BITS) -> tuple[np.ndarray, int]:
     """In how many texts (column ``words``, hashes) a word of each bucket occurs, and how many texts there are.
 
-    A task sends one row per bucket at most, and at most 2 ** ``bits`` sums come to the driver.
+    A task sends one table of counts, in slices, and 2 ** ``bits`` sums come to the driver.
     """
-    rows = (texts.select("words").mapInArrow(_bucket_counter(bits), "bucket int, n bigint")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
-    counts, n = np.zeros(1 << bits), 0
-    for r in rows:
-        if r.bucket < 0:
-            n = r.n
+    rows = texts.select("words").mapInArrow(_bucket_counter(bits), "slice int, counts binary")
+    rows = rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_sum_slices, "slice int, counts binary")
+    counts, n = np.zeros((SLICES, (1 << bits) // SLICES)), 0
+    for r in rows.collect():
+        if r["slice"] < 0:
+            n = int(np.frombuffer(r["counts"], np.int64)[0])
         else:
-            counts[r.bucket] = r.n
-    return counts, n
+            counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return counts.ravel(), n
 
 
 def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
@@ -165,7 +182,7 @@ class Sampler:
         return out
 
 
-SIGNATURES = "text_key binary, weight float, samples array<int>, bands array<bigint>"
+SIGNATURES = "text_key binary, n_words bigint, bands array<bigint>"
 
 
 def signer(idf: np.ndarray):
@@ -184,12 +201,10 @@ def signer(idf: np.ndarray):
             for k in range(ROWS):
                 bands = _mixed(bands * _ODD + groups[:, :, k])
             bands += np.arange(bands.shape[1], dtype=np.uint64)[None, :]
-            total = np.add.reduceat(weight.astype(np.float64), np.flatnonzero(np.append(True, text[1:] != text[:-1])))
             held = np.unique(text)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(held)), pa.array(total.astype(np.float32)),
-                _lists(samples.astype(np.uint32).view(np.int32)), _lists(bands.view(np.int64))],
-                names=["text_key", "weight", "samples", "bands"])
+                batch.column(0).take(pa.array(held)), pa.array(np.diff(ends, prepend=0)[held]), _lists(bands.view(np.int64))],
+                names=["text_key", "n_words", "bands"])
 
     return sign
 
@@ -216,205 +231,83 @@ def _by_words(batches: Iterator[pa.RecordBatch], most: int = 1 << 19, column: in
             first = last
 
 
-def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts, given by their word hashes."""
-    n = len(left)
-    words, ends = _flat(pa.concat_arrays([left, right]))
-    text, shingle, weight = shingle_weights(words, ends, idf)
-    side = text >= n
-    pair = np.where(side, text - n, text)
-    order = np.lexsort((shingle, pair))
-    pair, shingle, weight = pair[order], shingle[order], weight[order].astype(np.float64)
-    both = np.zeros(len(pair), bool)
-    both[1:] = (pair[1:] == pair[:-1]) & (shingle[1:] == shingle[:-1])
-    at = np.flatnonzero(both)
-    shared = np.bincount(pair[at], np.minimum(weight[at], weight[at - 1]), n)
-    total = np.bincount(pair, weight, n) - shared
-    return np.where(total > 0, shared / np.where(total > 0, total, 1), 0.0)
-
-
-def _verifier(idf: np.ndarray, least: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _by_words([whole], 1 << 18, 2):
-                alike = similarities(batch.column(2), batch.column(3), idf) >= least - 1e-6
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(pa.array(alike)), batch.column(1).filter(pa.array(alike))], names=["a", "b"])
-
-    return verify
-
-
-def verified(pairs: DataFrame, words: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b of text numbers) whose texts are similar. ``words``: n and the word hashes of candidates."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct())
-    words = join_small(words, ids, ["n"], "left_semi")
-    a = words.select(F.col("n").alias("a"), F.col("words").alias("words_a"))
-    b = words.select(F.col("n").alias("b"), F.col("words").alias("words_b"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
-    return joined.mapInArrow(_verifier(idf, least), "a bigint, b bigint")
-
-
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """n and class (least n of its component), by least neighbours and pointer jumping.
-
-    ``nodes`` are (n, class) known so far. Every round each class hooks onto the least class it has a link with, and chains
-    of hooks are cut short by doubling, so the rounds grow with the logarithm of a component's width.
-    """
-    while True:
-        between = _between(nodes, links)
-        hooks = cut_lineage(between.groupBy("high").agg(F.min("low").alias("low")))
-        if hooks.isEmpty():
-            return nodes
-        while True:
-            nxt = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
-            jumped = cut_lineage(hooks.join(nxt, "low", "left").select(
-                "high", F.coalesce("lower", "low").alias("low"), F.col("lower").isNotNull().alias("moved")))
-            moved = jumped.where("moved").limit(1).count()
-            hooks = jumped.drop("moved")
-            if not moved:
-                break
-        nodes = cut_lineage(join_small(nodes, hooks.withColumnRenamed("high", "class"), ["class"]).select(
-            "n", F.coalesce("low", "class").alias("class")))
-
-
-def _between(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """low and high: the different classes that links join."""
-    a = nodes.select(F.col("n").alias("a"), F.col("class").alias("class_a"))
-    b = nodes.select(F.col("n").alias("b"), F.col("class").alias("class_b"))
-    joined = links.join(a, "a").join(b, "b").where("class_a <> class_b")
-    return joined.select(F.least("class_a", "class_b").alias("low"), F.greatest("class_a", "class_b").alias("high")).distinct()
-
-
-def _delegates(buckets: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """a, b: for every class that meets another one, one of its texts with a leader: as many pairs as classes at most.
-
-    In a bucket the largest class leads. In the first turn each class sends the text with the most company over
-    all of its buckets, which in a group of edited copies is the text they were made from or the one closest to it;
-    in later turns a text at random. A class takes up one bucket a turn, the one with the largest leader first
-    and then at random.
-    """
-    by_turn = F.xxhash64(F.lit(turn), "n")
-    rank = F.col("company") if turn == 0 else by_turn
-    held = (join_small(buckets, nodes, ["n"], "inner").groupBy("bucket", "class")
-            .agg(F.max(F.struct(rank.alias("rank"), (-F.col("n")).alias("n"))).alias("m"), F.count(F.lit(1)).alias("size")))
-    held = cut_lineage(held.select("bucket", "class", (-F.col("m.n")).alias("n"), "m.rank", "size"))
-    leaders = (held.groupBy("bucket").agg(F.max(F.struct("size", "rank", (-F.col("n")).alias("n"), "class")).alias("l"),
-                                          F.count(F.lit(1)).alias("classes"))
-               .where("classes > 1").select("bucket", (-F.col("l.n")).alias("leader"), F.col("l.class").alias("of"),
-                                            F.col("l.rank").alias("lead"), F.col("l.size").alias("led")))
-    pairs = join_small(held, cut_lineage(leaders), ["bucket"], "inner").where("class <> of")
-    choice = F.struct("led", "lead", "leader") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "bucket"), "leader")
-    one = pairs.groupBy("class").agg(F.max_by(F.struct("n", "leader"), choice).alias("p"))
-    return one.select(F.least("p.n", "p.leader").alias("a"), F.greatest("p.n", "p.leader").alias("b")).distinct()
-
-
-def _shingler(idf: np.ndarray):
-    """Arrow batches of (n, word hashes) to (n, shingle, weight), a row for each distinct shingle of a text."""
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_words(batches, 1 << 17):
-            words, ends = _flat(batch.column(1))
-            text, shingle, weight = shingle_weights(words, ends, idf)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(shingle.view(np.int64)),
-                                              pa.array(weight)], names=["n", "shingle", "weight"])
-
-    return shingled
-
-
-def _prefixes(similar: float):
-    """Arrow batches of (n, weight, shingles as structs of texts, shingle, weight) to the prefix of each text.
-
-    ``ahead`` is the weight that a text has at and after the shingle, ``parts`` all its weight by a few bits of the hash.
-    """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column(2).offsets.to_numpy()
-            sizes = np.diff(ends)
-            held = batch.column(2).flatten()
-            texts, shingle, weight = (held.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((shingle, texts, text))
-            text, shingle, weight = text[order], shingle[order], weight[order].astype(np.float64)
-            total = np.bincount(text, weight, len(sizes))
-            parts = np.bincount(text * PARTS + (shingle & (PARTS - 1)), weight, len(sizes) * PARTS).reshape(-1, PARTS)
-            before = np.cumsum(weight) - weight
-            before -= before[(ends[:-1] - ends[0])[text]]
-            ahead = total[text] - before
-            least = similar * batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            kept = np.flatnonzero(ahead >= least[text] * (1 - 1e-4))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(text[kept])), pa.array(shingle[kept]),
-                pa.array(ahead[kept].astype(np.float32)), _lists(parts[text[kept]].astype(np.float32))],
-                names=["n", "shingle", "ahead", "parts"])
-
-    return cut
-
-
-def _rest(buckets: DataFrame, nodes: DataFrame, signed: DataFrame, words: DataFrame, idf: np.ndarray,
-          similar: float) -> DataFrame:
-    """a, b: the pairs across classes, among the texts of buckets that hold several classes, that bounds don't rule out.
-
-    Only shingles of several classes count, rarest first. Similar texts of two classes share one of the first shingles
-    that a text holds before the weight of those left falls below ``similar`` of its own; at the first one they share,
-    both have enough weight ahead of them, and no part of the hashes shares more than the lesser of its weights.
-    Pairs within a class are not formed.
-    """
-    of = join_small(buckets, nodes, ["n"], "inner")
-    several = of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    apart = join_small(of, cut_lineage(several.select("bucket")), ["bucket"], "left_semi").select("n", "class").distinct()
-    apart = cut_lineage(apart.join(signed.select("n", "weight"), "n"))
-    held = join_small(words.select("n", "words"), apart.select(F.col("n").alias("of"), "class"), F.col("n") == F.col("of"), "inner")
-    rows = written(held.select("n", "words").mapInArrow(_shingler(idf), "n bigint, shingle bigint, weight float"), "shingles")
-    classed = join_small(rows, apart.select("n", "class"), ["n"], "inner")
-    spread = (classed.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("texts"))
-              .where("lo <> hi").select("shingle", "texts"))
-    common = join_totals(rows, spread, ["shingle"], "inner")
-    common = common.groupBy("n").agg(F.collect_list(F.struct("texts", "shingle", "weight")).alias("shingles"))
-    common = common.join(apart.select("n", "weight"), "n").select("n", "weight", "shingles")
-    prefix = common.mapInArrow(_prefixes(similar), "n bigint, shingle bigint, ahead float, parts array<float>")
-    prefix = cut_lineage(prefix.join(apart, "n"))
-    a = prefix.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("n", "class", "weight", "ahead", "parts")])
-    b = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("n", "class", "weight", "ahead", "parts")])
-    share = (F.col("weight_a") + F.col("weight_b")) * (similar / (1 + similar) * (1 - 1e-4))
-    near = ((F.col("n_a") < F.col("n_b")) & (F.col("class_a") != F.col("class_b"))
-            & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similar - 1e-3))
-            & (F.least("ahead_a", "ahead_b") >= share)
-            & (sum(F.least(F.get("parts_a", F.lit(k)), F.get("parts_b", F.lit(k))) for k in range(PARTS)) >= share))
-    return a.join(b, "shingle").where(near).select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
-
-
-def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (n, bands, word hashes) to (n, data), both lists as bytes one after the other."""
+    for batch in batches:
+        data = [bands.values.to_numpy().tobytes() + words.values.to_numpy().tobytes()
+                for bands, words in zip(batch.column(1), batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["n", "data"])
+
+
+class Compared:
+    """Texts as ranges of shingles and weights, for comparing one with many."""
+
+    def __init__(self, words: list[np.ndarray], idf: np.ndarray):
+        text, shingle, self.weight = shingle_weights(np.concatenate(words), np.cumsum([len(w) for w in words]), idf)
+        kinds, self.shingle = np.unique(shingle, return_inverse=True)
+        self.sizes = np.bincount(text, minlength=len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.weight = self.weight.astype(np.float64)
+        self.total = np.bincount(text, self.weight, len(words))
+        self.of_one = np.zeros(len(kinds))
+
+    def similarities(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of a text with others."""
+        own = slice(self.starts[one], self.starts[one] + self.sizes[one])
+        self.of_one[self.shingle[own]] = self.weight[own]
+        sizes = self.sizes[others]
+        firsts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(firsts, sizes) + np.repeat(self.starts[others], sizes)
+        shared = np.add.reduceat(np.minimum(self.of_one[self.shingle[at]], self.weight[at]), firsts)
+        self.of_one[self.shingle[own]] = 0
+        return shared / (self.total[one] + self.total[others] - shared)
+
+
+def classes_in(idf: np.ndarray, similar: float, data: list[bytes], known: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """The number of a text of each one's class, from the texts' bands and word hashes."""
+    width = HASHES // ROWS
+    numbers = [np.frombuffer(x, np.int64) for x in data]
+    bands = np.stack([x[:width] for x in numbers])
+    texts, classes = Compared([x[width:] for x in numbers], idf), Classes(known)
+    for band in range(width):
+        order = np.argsort(bands[:, band], kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(bands[order, band]) != 0, [True]]))
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            bucket = order[first:last]
+            while len(bucket) > 1:
+                label = classes.label[bucket]
+                if (label == label[0]).all():
+                    break
+                one, others = bucket[0], bucket[1:][label[1:] != label[0]]
+                if side is not None:
+                    others = others[side[others] != side[one]]
+                seen = (bands[others, :band] == bands[one, :band]).any(1)  # compared in an earlier band
+                low, high = (f(texts.total[others], texts.total[one]) for f in (np.minimum, np.maximum))
+                others = others[~seen & (low >= high * (similar - 1e-3))]
+                if len(others):
+                    others = others[texts.similarities(one, others) >= similar - 1e-6]
+                    classes.join(np.full(len(others), one), others)
+                bucket = bucket[1:]
+    return classes.label
+
+
+def text_classes(docs: DataFrame, similar: float = SIMILAR, most: int = PART) -> DataFrame:
     """text_key and class (the least text number of the class) of every distinct text that has a near-duplicate."""
     texts = docs.select(text_key(text_of("text")).alias("text_key"), word_hashes(text_of("text")).alias("words"))
-    counts, n = document_frequencies(texts)
-    idf = inverse_frequencies(counts, n)
+    idf = inverse_frequencies(*document_frequencies(texts))
     signed = texts.mapInArrow(signer(idf), SIGNATURES).groupBy("text_key").agg(
-        F.first("weight").alias("weight"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+        F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     signed = written(signed.withColumn("n", F.monotonically_increasing_id()), "signatures")
     spread = signed.select("n", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"))
-    buckets = cut_lineage(join_small(spread, shared, ["bucket"], "left_semi"))
-    company = join_totals(buckets, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), ["bucket"], "inner")
-    company = cut_lineage(company.groupBy("n").agg(F.sum("size").alias("company")))
-    buckets = cut_lineage(join_small(buckets, company, ["n"], "inner").select("n", "company", "bucket"))
-    nodes = cut_lineage(company.select("n", F.col("n").alias("class")))
-    numbers = cut_lineage(signed.join(nodes.select("n"), "n", "left_semi").select("text_key", "n"))
-    words = join_small(texts, numbers, ["text_key"], "inner").groupBy("n").agg(F.first("words").alias("words"))
-    words = written(words, "candidates")
-    done = None
-
-    def linked(nodes: DataFrame, done: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        pairs = cut_lineage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return nodes, done
-        links = cut_lineage(verified(pairs, words, idf, similar))
-        return components(nodes, links), pairs if done is None else cut_lineage(done.unionByName(pairs))
-
-    for turn in range(TURNS):
-        nodes, done = linked(nodes, done, _delegates(buckets, nodes, turn))
-    nodes, done = linked(nodes, done, _rest(buckets, nodes, signed, words, idf, similar))
-    return numbers.join(nodes, "n").select("text_key", "class")
+    leaders = spread.groupBy("bucket").agg(F.min("n").alias("b"), F.max("n").alias("last")).where("b <> last")
+    links = join_totals(spread, leaders, ["bucket"], "inner").where("n <> b").select(F.col("n").alias("a"), "b")
+    clusters = components(links).withColumnRenamed("class", "cluster")
+    nodes = written(clusters.join(signed, "n").select("n", "cluster", "text_key", "bands", F.col("n_words").alias("weight")), "nodes")
+    words = join_small(texts, nodes.select("text_key"), ["text_key"], "left_semi").groupBy("text_key").agg(F.first("words").alias("words"))
+    data = words.join(nodes, "text_key").select("n", "bands", "words").mapInArrow(_packer, "n bigint, data binary")
+    data = written(data, "candidates")
+    classes = joined_classes(nodes.select("n", "cluster", "weight"), data, most, functools.partial(classes_in, idf, similar))
+    return nodes.select("n", "text_key").join(classes, "n").select("text_key", "class")
 
 
 def _groups(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
