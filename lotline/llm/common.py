@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from lotline.session import cut_lineage, shared_folder  # noqa: F401  (re-exported)
+from lotline.session import cut_lineage, new_folder, shared_folder, written  # noqa: F401  (re-exported)
 
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
-SMALL_ROWS = 200_000
-"""A table is broadcast only once it is written and has been counted to hold at most this many rows."""
+SMALL_BYTES = 1 << 28
+"""A table is broadcast only once it is written and has been measured to take at most this."""
 
 
 def text_of(column: Column | str) -> Column:
@@ -29,25 +27,27 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it survives lost executors."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 32
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 32
+    return F.lit(8)
 
 
 def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: str = "left",
-               limit: int = SMALL_ROWS) -> DataFrame:
+               limit: int = SMALL_BYTES) -> DataFrame:
     """Joins ``rows`` with a table that is written already and usually small.
 
-    ``small`` is counted: up to ``limit`` rows it is broadcast, beyond that it is
+    ``small`` is measured: up to ``limit`` bytes it is broadcast, beyond that it is
     shuffled. Both sides then come straight from a shuffle, so AQE can split a hot key.
     """
-    if small.limit(limit + 1).count() <= limit:
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in small.schema), F.lit(32))
+    if (small.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= limit:
         small = F.broadcast(small)
     return rows.join(small, on, how)

@@ -11,7 +11,8 @@ their counts, however many documents there are. Each EM step is one aggregate ov
 rows. Everything is built-in expressions; no Python sees a row.
 
 Null and empty texts have no words and fail the base test. Repeated rows count as often as
-they occur. Rules abstain on texts too short for their measure. A document without votes has chance one half and is
+they occur. Rules abstain on texts too short for their measure.
+Thousands of words without the end of a sentence are junk, however varied they are. A document without votes has chance one half and is
 kept. In an empty table, or where a rule never votes, its start accuracy holds. Columns of the input, whatever their names, are untouched: measures live in the
 columns ``MEASURES``, beside the struct ``row``.
 """
@@ -76,15 +77,18 @@ def _let(value: Column, body) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``row`` (all input columns) and the measures of the text."""
+    """``row`` (all input columns) and the measures of the text.
+
+    The measures come out of a generator, which no filter on them or on what follows from them can
+    be moved below: each is worked out once per text, whatever is asked of it.
+    """
     text = F.col("text_")
     words = F.col("words_")
     lines = F.filter(F.split(text, "\n", -1), _line_has_word)
     base = docs.select(packed(docs).alias("row"), text_of("text").alias("text_"))
     base = base.withColumn("words_", white_words(text)).withColumn("lines_", lines)
     n_lines = F.size("lines_").cast("bigint")
-    return base.select(
-        "row",
+    return base.select("row", F.inline(F.array(F.struct(
         F.size(words).cast("bigint").alias("n_words"),
         F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -94,7 +98,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct_words"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[!?]{2,}")).cast("bigint").alias("n_shouts"),
-        F.regexp_count(text, F.lit(r"[.?!:](?=[\x20\x09-\x0D]|$)")).cast("bigint").alias("n_ends"))
+        F.regexp_count(text, F.lit(r"[.?!:](?=[\x20\x09-\x0D]|$)")).cast("bigint").alias("n_ends")))))
 
 
 def measures() -> Measures:
@@ -158,7 +162,8 @@ def votes_of(m: Measures, rules=RULES) -> Column:
 
 
 def fit(votes: DataFrame, rules=RULES, steps: int = EM_STEPS) -> Model:
-    """EM over the counts of vote patterns (column ``votes``), in ``steps`` small aggregates.
+    """EM over the counts of vote patterns (column ``votes``), in small aggregates, until
+    nothing changes, or ``steps`` of them.
 
     A rule's accuracy is the mean chance that its cast votes are right, drawn towards
     ``START_ACCURACY`` by ``PRIOR_WEIGHT`` of its votes and kept within the bounds; so a rule that
@@ -182,7 +187,9 @@ def fit(votes: DataFrame, rules=RULES, steps: int = EM_STEPS) -> Model:
             cast, right = got[f"all{j}"], got[f"right{j}"]
             mean = (right + PRIOR_WEIGHT * cast * START_ACCURACY) / (cast * (1 + PRIOR_WEIGHT)) if cast else START_ACCURACY
             accuracies.append(round(min(MOST_ACCURACY, max(LEAST_ACCURACY, mean)), 10))
-        model = Model(tuple(accuracies))
+        before, model = model, Model(tuple(accuracies))
+        if model == before:
+            break
     return model
 
 
@@ -211,10 +218,5 @@ def quality_rows(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The documents that are kept, with all their columns.
-
-    Rows go through ``explode`` and not a filter: the optimizer would move a filter below the measures
-    and work them out again, word by word, inside its condition.
-    """
-    kept = F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")
-    return quality_rows(docs, rules).select(kept).select("row.*")
+    """The documents that are kept, with all their columns."""
+    return quality_rows(docs, rules).where("kept").select("row.*")

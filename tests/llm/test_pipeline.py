@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 from lotline.llm.common import written
-from tests.llm import test_decontamination, test_mixing, test_near_duplicates, test_quality_rules, test_token_files
+from tests.llm import (test_decontamination as decontamination_tests, test_mixing as mixing_tests,
+                       test_near_duplicates as near_tests, test_quality_rules as quality_tests, test_token_files as token_tests)
 
 DIR = "/root/testdata/sf0.001"
 
@@ -32,22 +33,22 @@ def test_columns(steps):
 def test_quality(spark, steps):
     before, after = steps[0].collect(), set(steps[1].collect())
     assert after < set(before)
-    assert not [r for r in after if test_quality_rules.brute(r.text)[-1]]
+    assert not [r for r in after if quality_tests.brute(r.text)[-1]]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
-    judged = [r for r in before if r.doc_id in labels and not test_quality_rules.brute(r.text)[-1]]
+    judged = [r for r in before if r.doc_id in labels and not quality_tests.brute(r.text)[-1]]
     assert sum((r in after) == (labels[r.doc_id] == 1) for r in judged) >= 0.98 * len(judged)
 
 
 def test_near_duplicates(spark, steps):
     before, after = rows_of(steps[1]), rows_of(steps[2])
-    classes = test_near_duplicates.brute(spark, before)
+    classes = near_tests.brute(spark, before)
     assert sorted(i for i, _ in after) == sorted(min(ids) for ids in classes) and set(after) <= set(before)
 
 
 def test_decontamination(spark, steps):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     before, after = rows_of(steps[2]), rows_of(steps[3])
-    dirty = {r[0] for r in test_decontamination.brute(before, items) if r[-1]}
+    dirty = {r[0] for r in decontamination_tests.brute(before, items) if r[-1]}
     assert dirty and sorted(after) == sorted(r for r in before if r[0] not in dirty)
 
 
@@ -55,17 +56,17 @@ def test_mixing(steps):
     before = {r.doc_id: r for r in steps[3].collect()}
     sizes, taken, times = defaultdict(int), defaultdict(int), Counter()
     for r in before.values():
-        sizes[r.source] += len(test_mixing.WORD.findall(r.text))
+        sizes[r.source] += len(mixing_tests.WORD.findall(r.text))
     cut = Counter()
     for r in steps[4].collect():
         whole = before[r.doc_id]
-        n = len(test_mixing.WORD.findall(r.text))
+        n = len(mixing_tests.WORD.findall(r.text))
         taken[whole.source] += n
         times[r.doc_id] += 1
         if r.text != whole.text:
             cut[r.source] += 1
-            assert r.text == " ".join(test_mixing.WORD.findall(whole.text)[:n]) and r.n_chars == len(r.text)
-    want = test_mixing.targets(sizes)
+            assert r.text == " ".join(mixing_tests.WORD.findall(whole.text)[:n]) and r.n_chars == len(r.text)
+    want = mixing_tests.targets(sizes)
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
     assert max(times.values()) <= 3 and all(n <= 1 for n in cut.values())
 
@@ -73,7 +74,7 @@ def test_mixing(steps):
 def test_token_files(spark, steps):
     got = sorted(tuple(r) for r in steps[5].collect())
     rows = sorted(rows_of(steps[4]), key=lambda r: r[0])
-    by_text = sorted((i, n, crc) for i, _, n, crc in test_token_files.brute(rows))
+    by_text = sorted((i, n, crc) for i, _, n, crc in token_tests.brute(rows))
     assert sorted((i, n, crc) for i, _, n, crc in got) == by_text
     starts = sorted((start, n) for _, start, n, _ in got)
     assert [s for s, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(len(starts))]
