@@ -19,8 +19,8 @@ import numpy as np
 FAN = 8
 BITMAP_BYTES = 1 << 25
 """All signatures of a task take at most this; with more sets they have fewer bits and rule out less."""
-CHUNK = 1 << 15
-"""Pairs of nodes or sets that are looked at together."""
+CHUNK, CHUNK_WORDS = 1 << 13, 1 << 20
+"""Pairs of nodes or sets that are looked at together, and words of their signatures."""
 
 
 class Sets:
@@ -111,9 +111,10 @@ class Tree:
         return sizes & (most * (100 + percent) >= percent * (low[x] + low[y]))
 
 
-def _chunks(*arrays: np.ndarray):
-    for at in range(0, len(arrays[0]), CHUNK):
-        yield tuple(a[at:at + CHUNK] for a in arrays)
+def _chunks(x: np.ndarray, y: np.ndarray, words: int):
+    size = max(1, min(CHUNK, CHUNK_WORDS // words))
+    for at in range(0, len(x), size):
+        yield x[at:at + size], y[at:at + size]
 
 
 def _verify(sets: Sets, classes: Classes, a: np.ndarray, b: np.ndarray, percent: int) -> None:
@@ -138,7 +139,7 @@ def _traverse(tree: Tree, classes: Classes, percent: int, side: np.ndarray | Non
     order, m = tree.order, len(tree.order)
 
     def down(level: int, x: np.ndarray, y: np.ndarray) -> None:
-        for x, y in _chunks(x, y):
+        for x, y in _chunks(x, y, tree.levels[0][0].shape[1]):
             if level:
                 of, firsts = classes.label[order], np.arange(0, m, FAN ** level)
                 low, high = np.minimum.reduceat(of, firsts), np.maximum.reduceat(of, firsts)
