@@ -304,6 +304,8 @@ def queries() -> dict[str, Query]:
         "E4_refused_exits": _job(lambda t, s: settlement.resolve_exits(t, _exit_requests(s))[1]),
         "E4_exit_results": _job(
             lambda t, s: settlement.settle(t, batches.exits(s("events"))).results),
+        "E4_exit_results_in_phases": _job(  # wallets with more than two exits go the way of the longest
+            lambda t, s: settlement.settle(t, batches.exits(s("events")), fold_rows=2).results),
         "E4_closed_sessions": _job(
             lambda t, s: settlement.settle(t, batches.exits(s("events"))).sessions),
         "E4_charges": _job(

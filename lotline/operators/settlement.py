@@ -11,15 +11,18 @@ session stays. Three facts turn this sequence into set operations:
   car's n-th latest session.
 * A wallet that can pay all its exits needs no order at all.
 
-Only wallets that cannot pay everything are played through in order: short ones
-with a fold per wallet, long ones by :func:`pay_in_phases`.
+Only wallets that cannot pay everything are played through in order: the exits of one
+stream through a task, which holds the cars that are stuck and nothing else, however many
+of them fail one after the other. Wallets too long for a task go by :func:`pay_in_phases`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lotline.functions.keys import derived_key
@@ -31,7 +34,8 @@ from lotline.schemas import FLOOR_BALANCE
 from lotline.session import cut_lineage
 from lotline.sources.tables import Tables
 
-FOLD_ROWS = 500  # exits of one wallet that a single fold may hold
+FOLD_ROWS = 1_000_000
+"""Exits of one wallet that a task takes in order; longer wallets are split over tasks, in phases."""
 
 # Message texts.
 NO_SESSION = "No active session found"
@@ -193,26 +197,28 @@ def pay(due: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
             .unionByName(_fold(short)).unionByName(pay_in_phases(long)))
 
 
+def _play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exits (wallet, room, car, cents, exit) in order, wallet after wallet: those that are paid."""
+    wallet, room, stuck = None, 0, set()
+    for batch in batches:
+        pays = []
+        for of, start, car, cents in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if of != wallet:
+                wallet, room, stuck = of, start, set()
+            paid = cents <= room and car not in stuck
+            if paid:
+                room -= cents
+            else:
+                stuck.add(car)
+            pays.append(paid)
+        yield batch.select([4]).filter(pa.array(pays, pa.bool_()))
+
+
 def _fold(short: DataFrame) -> DataFrame:
-    """Plays wallets with few exits through in order, one array expression per wallet."""
-    items = F.array_sort(F.collect_list(F.struct("exit_time", "exit_id", "car_id", "cents")))
-    grouped = short.groupBy("wallet_id").agg(F.first("room").alias("room"), items.alias("items"))
-    none = F.expr("slice(transform(items, x -> x.car_id), 1, 0)")
-    nothing = F.expr("slice(transform(items, x -> x.exit_id), 1, 0)")
-    start = F.struct(F.col("room").alias("room"), none.alias("stuck"), nothing.alias("paid"))
-
-    def step(state, item):
-        pays = ((item["cents"] <= state["room"])
-                & ~F.array_contains(state["stuck"], item["car_id"]))
-        return F.when(pays, F.struct(
-            (state["room"] - item["cents"]).alias("room"), state["stuck"].alias("stuck"),
-            F.concat(state["paid"], F.array(item["exit_id"])).alias("paid"))).otherwise(F.struct(
-                state["room"].alias("room"),
-                F.concat(state["stuck"], F.array(item["car_id"])).alias("stuck"),
-                state["paid"].alias("paid")))
-
-    folded = grouped.select(F.aggregate("items", start, step, lambda s: s["paid"]).alias("paid"))
-    return folded.select(F.explode("paid").alias("exit_id"))
+    """Plays wallets through in order, each in one task that streams its exits."""
+    rows = short.select("wallet_id", "room", "car_id", "cents", "exit_id", "exit_time").repartition("wallet_id")
+    rows = rows.sortWithinPartitions("wallet_id", "exit_time", "exit_id").drop("exit_time")
+    return rows.mapInArrow(_play, rows.select("exit_id").schema)
 
 
 def pay_in_phases(due: DataFrame) -> DataFrame:

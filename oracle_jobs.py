@@ -489,3 +489,4 @@ FROM wallet_transactions t JOIN wallets w ON w.id = t.wallet_id WHERE w.user_id
 SELECT car_id, count(*) AS active_sessions FROM parking_sessions WHERE status = 'active'
 GROUP BY car_id HAVING count(*) > 1"""),
 }
+JOBS["E4_exit_results_in_phases"] = JOBS["E4_exit_results"]

@@ -145,3 +145,16 @@ def test_falling_charges_need_few_phases(spark, monkeypatch):
     got = {r[0] for r in S.pay_in_phases(df).collect()}
     assert got == brute_force(due)
     assert len(calls) <= 2 * 10 + 1
+
+
+@pytest.mark.parametrize("cars", [10, 1000])
+def test_cars_that_fail_one_after_the_other(spark, cars):
+    """Each fails and has later exits: they stream through one task, without a phase for each."""
+    due = []
+    for i in range(cars):
+        due.append((3 * i, f"c{i}", "w", at(minutes=2 * i), 1, 5000, 900))
+        due.append((3 * i + 1, f"c{i}", "w", at(minutes=2 * i + 1), 2, 1, 900))
+        due.append((3 * i + 2, f"d{i}", "w", at(minutes=2 * i + 1), 1, 1, 900))
+    df = spark.createDataFrame(due, "exit_id long, car_id string, wallet_id string, "
+                                    "exit_time timestamp_ntz, turn long, cents long, room long").repartition(3)
+    assert {r[0] for r in S.pay(df).collect()} == brute_force(due)
