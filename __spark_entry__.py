@@ -213,6 +213,13 @@ def _repeated_reads(events: DataFrame) -> DataFrame:
     return windows.without_repeats(reads.unionByName(reads))
 
 
+def _flow_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = sample_tables(spark, sf_dir)
+    return shape_result(run.run_to_end(
+        read_stream(spark, sf_dir, "events"), "ts",
+        lambda e: gate_flow(t, batches.passages(e), delay="10 minutes", slice_seconds=6 * 3600), run.ROCKSDB))
+
+
 def _streamed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run.new_folder(spark, "admission")
     stream = batches.attempts(read_stream(spark, sf_dir, "events"))
@@ -372,6 +379,7 @@ def queries() -> dict[str, Query]:
         "X3_visits_stream": _windows(lambda e: windows.visits(sample.entry_logs(e))),
         "X4_reads_without_repeats": _stream(lambda e, t: _repeated_reads(e)),
         "X5_gate_flow": _stream(lambda e, t: gate_flow(t, batches.passages(e)), run.ROCKSDB),
+        "X5_gate_flow_in_order": _flow_in_order,
         "X6_streamed_admission": _streamed_admission,
         **LLM_QUERIES,
     }
@@ -379,4 +387,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {**REPORTS, **JOBS, **STREAMS, "X6_streamed_admission": JOBS["E1_entry_decisions"],
+            "X5_gate_flow_in_order": STREAMS["X5_gate_flow"],
             **LLM_SQL}

@@ -72,9 +72,12 @@ class GateFlow(StatefulProcessor):
                             int(row["balance_cents"]) if funded else 0, -(1 << 62)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        passages = sorted((Passage(*row) for frame in rows
-                           for row in zip(*(frame[c].tolist() for c in Passage._fields))),
-                          key=lambda p: (p.at_us, p.id))
+        yield self._taken(key, (Passage(*row) for frame in rows
+                                for row in zip(*(frame[c].tolist() for c in Passage._fields))))
+
+    def _taken(self, key, passages) -> pd.DataFrame:
+        """Outcomes of passages, in order of time."""
+        passages = sorted(passages, key=lambda p: (p.at_us, p.id))
         state = self.wallet.get() or (False, False, 0, -(1 << 62))
         self.funded, self.blocked, self.balance, self.seen = state
         stacks, out = {}, []
@@ -92,7 +95,7 @@ class GateFlow(StatefulProcessor):
         result = pd.DataFrame(out, columns=OUT)
         result["cents"] = result["cents"].astype("Int64")
         result["balance_cents"] = result["balance_cents"].astype("Int64")
-        yield result
+        return result
 
     def _stack(self, car: str, stacks: dict) -> list:
         if car not in stacks:
@@ -146,7 +149,57 @@ class GateFlow(StatefulProcessor):
         return True, "Exit processed", session, cents
 
 
-def enrich(tables: Tables, passages: DataFrame) -> DataFrame:
+class OrderedGateFlow(GateFlow):
+    """Holds passages back in slices of event time until the watermark has passed a slice, and then takes it in order.
+
+    A call holds one slice of a user, not the user's history.
+    """
+
+    def __init__(self, slice_seconds: int):
+        self.slice_us = slice_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.held = handle.getMapState("held", "slice bigint", ", ".join(f"{n} array<{t}>" for n, t in HELD.items()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        slices: dict[int, list] = {}
+        for frame in rows:
+            for row in zip(*(frame[c].tolist() for c in Passage._fields)):
+                p = Passage(*row)
+                slices.setdefault(int(p.at_us) // self.slice_us, []).append(p)
+        for number, passages in slices.items():
+            passages = self._held(number) + passages
+            columns = zip(*[(p.id, p.car_id, p.kind, int(p.at_us), bool(p.is_active), _whole(p.price_cents),
+                             _whole(p.free_minutes), int(p.amount_cents)) for p in passages])
+            self.held.updateValue((number,), tuple(list(c) for c in columns))
+            self.handle.registerTimer((number + 1) * self.slice_us // 1000)
+        return iter(())
+
+    def _held(self, number: int) -> list:
+        found = self.held.getValue((number,))
+        if found is None:
+            return []
+        return [Passage(i, c, k, pd.Timestamp(at, unit="us"), at, a, p, f, m) for i, c, k, at, a, p, f, m in zip(*found)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        number = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slice_us - 1
+        passages = self._held(number)
+        if passages:
+            self.held.removeKey((number,))
+            yield self._taken(key, passages)
+
+
+HELD = {"id": "string", "car_id": "string", "kind": "string", "at_us": "bigint", "is_active": "boolean",
+        "price_cents": "bigint", "free_minutes": "bigint", "amount_cents": "bigint"}
+
+
+def _whole(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
+def enrich(tables: Tables, passages: DataFrame, kept: tuple = ()) -> DataFrame:
     """Adds owner, car state and tariff terms to passages (id, kind, plate_number, at).
 
     Top-ups carry ``user_id`` and ``amount`` instead of a plate. Everything joined is
@@ -169,7 +222,7 @@ def enrich(tables: Tables, passages: DataFrame) -> DataFrame:
         F.coalesce("is_active", F.lit(False)).alias("is_active"),
         (F.col("price_per_hour") * 100).cast("bigint").alias("price_cents"),
         F.col("free_minutes").cast("bigint").alias("free_minutes"),
-        F.coalesce((F.col("amount") * 100).cast("bigint"), F.lit(0)).alias("amount_cents"))
+        F.coalesce((F.col("amount") * 100).cast("bigint"), F.lit(0)).alias("amount_cents"), *kept)
 
 
 def opening_state(tables: Tables) -> DataFrame:
@@ -181,22 +234,27 @@ def opening_state(tables: Tables) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"), "is_blocked", "balance_cents")
 
 
-def gate_flow(tables: Tables, passages: DataFrame) -> DataFrame:
+def gate_flow(tables: Tables, passages: DataFrame, delay: str | None = None, slice_seconds: int = 3600) -> DataFrame:
     """Outcome of every passage. Needs the RocksDB state store.
 
-    A micro-batch holds the passages of one user in one task while it orders them;
-    the source's limit on files per trigger bounds it. A passage older than one
-    already taken for its user is reported as late and changes nothing.
+    Without ``delay`` a passage is taken in the micro-batch it comes with: a batch holds the passages of one user in one task
+    while it orders them, and a passage older than one already taken for its user is reported as late and changes nothing.
+
+    With ``delay`` (as "10 minutes") passages are held back, per user and slice of ``slice_seconds``, until the watermark has
+    passed the slice, and are taken in order whatever micro-batches they came with. What comes later than the delay is
+    dropped by the watermark, which :func:`lotline.streaming.run.run_to_end` reports. ``at`` has to be a timestamp then.
     """
     # Workers get the processor itself, so they need not have this package installed.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    full = enrich(tables, passages)
+    if delay:
+        passages = passages.withColumn("event_time", F.col("at").cast("timestamp")).withWatermark("event_time", delay)
+    full = enrich(tables, passages, ("event_time",) if delay else ())
     known = full.where(F.col("user_id").isNotNull())
-    nobody = full.where(F.col("user_id").isNull()).select(
+    nobody = full.where(F.col("user_id").isNull() & F.col("id").isNotNull()).select(
         "user_id", "id", "car_id", "kind", "at", F.lit(False).alias("done"),
         F.lit(NO_CAR).alias("message"), F.lit(None).cast("string").alias("session_id"),
         F.lit(None).cast("bigint").alias("cents"), F.lit(None).cast("bigint").alias("balance_cents"))
     flow = known.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=GateFlow(), outputStructType=OUTCOME, outputMode="append",
-        timeMode="None", initialState=opening_state(tables).groupBy("user_id"))
+        statefulProcessor=OrderedGateFlow(slice_seconds) if delay else GateFlow(), outputStructType=OUTCOME, outputMode="append",
+        timeMode="EventTime" if delay else "None", initialState=opening_state(tables).groupBy("user_id"))
     return flow.unionByName(nobody)

@@ -96,6 +96,28 @@ def test_gate_flow_keeps_state_between_batches(spark, tmp_path):
         "8": (False, "Insufficient balance", None, None, -90_000)}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_gate_flow_takes_passages_in_order_of_time(spark, tmp_path, files):
+    """Passages come in any order and in any micro-batches; the outcome is that of their order of time."""
+    rng = random.Random(8)
+    passages = [("t0", "topup", None, at(0), "u1", money(900))]
+    for i in range(40):
+        kind = rng.choice(["entry", "exit"])
+        passages.append((f"p{i:02}", kind, rng.choice(["A1", "A1", "A2", "??"]), at(minutes=7 * i + 1), None, None))
+    shuffled = rng.sample(passages, len(passages))
+    for i in range(6):
+        spark.createDataFrame(shuffled[i::6], PASSAGE).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+    spark.createDataFrame(passages, PASSAGE).coalesce(1).write.parquet(str(tmp_path / "one" / "n=0"))
+
+    def stream(folder, n):
+        return (spark.readStream.schema(PASSAGE).option("maxFilesPerTrigger", n).parquet(str(tmp_path / folder / "n=*")))
+
+    t, columns = flow_tables(spark), ("id", "user_id", "car_id", "kind", "done", "message", "session_id", "cents", "balance_cents")
+    want = rows(run.run_to_files(gate_flow.gate_flow(t, stream("one", 9)), run.ROCKSDB), *columns)
+    got = run.run_to_end(stream("in", files), "at", lambda e: gate_flow.gate_flow(t, e, delay="6 hours"), run.ROCKSDB)
+    assert rows(got, *columns) == want and len(want) == len(passages)
+
+
 def test_cost_in_whole_numbers_agrees_with_the_columns(spark):
     from lotline.functions.money import parking_cost
     rng = random.Random(5)
