@@ -5,9 +5,13 @@
 lexical patterns. *Graph.* Distinct (pattern, instance) pairs link patterns with the
 identifier-like strings they introduce, seeds and others. *Scores.* In turns, a pattern scores the mean
 of its instances' scores (one unknown instance is added to each, so that rare patterns stay modest), and an
-instance that is no seed scores as its best pattern. *Discovery.* Identifiers behind a pattern that
-scores at least ``CONFIDENT`` and has introduced ``LEAST_SEEDS`` different seeds become spans of kind
-``id``. Discovered spans never overlap a base span, and base spans stay.
+instance that is no seed scores as its best pattern. A pattern counts once ``LEAST_SUPPORT`` different instances that score at
+least ``CONFIDENT`` support it, seeds or not, so identifiers found behind one pattern support others in the next turn.
+Scores only grow; the turns end when one brings no new confident instance and all scores together grow by a ten-thousandth
+at most. *Discovery.* Identifiers behind a
+pattern that scores at least ``CONFIDENT`` become spans of kind ``id``. Discovered spans never overlap a base span, and base
+spans stay. Patterns are looked for in the ``CONTEXT_CHARS`` characters before an identifier: a longer word beside it counts
+with its end.
 
 The graph is gathered over all documents; equal texts are held once, by digest. Hot patterns are summed
 map-side and joined as ``join_small`` does. What is collected per text is bounded by the text.
@@ -21,11 +25,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.llm.common import cut_lineage, join_small, packed, text_of
+from lotline.llm.common import cut_lineage, join_small, packed, text_of, written
 
-TURNS = 3
 CONFIDENT = 0.5
-LEAST_SEEDS = 3
+LEAST_SUPPORT = 3
+SETTLED = 1e-4
 CONTEXT_CHARS = 64
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,found:string>>"
 
@@ -148,22 +152,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
         _patterns(F.col("text"), F.col("s")).alias("patterns")).distinct()
 
 
-def confident_patterns(seen: DataFrame, turns: int = TURNS) -> DataFrame:
+def confident_patterns(seen: DataFrame) -> DataFrame:
     """pattern and score of those that score at least ``CONFIDENT``; each turn is two aggregates."""
     edges = cut_lineage(seen.select(F.explode("patterns").alias("pattern"), "instance", (F.col("kind") != "id").alias("seed"))
                         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    instances = cut_lineage(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")))
-    scored = None
-    for _ in range(turns):
-        scored = cut_lineage(
+    instances = written(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "instances")
+    before = None
+    while True:
+        sure = F.col("score") >= CONFIDENT
+        scored = written(
             join_small(edges, instances, ["instance"], "inner").groupBy("pattern")
-            .agg((F.round(F.sum("score") / (F.count(F.lit(1)) + 1), 10)).alias("pattern_score"),
-                 F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS))
-        instances = cut_lineage(
+            .agg((F.round(F.sum("score") / (F.count(F.lit(1)) + 1), 10)).alias("pattern_score"), F.count_if(sure).alias("support"))
+            .where(F.col("support") >= LEAST_SUPPORT), "patterns")
+        found = scored.where(F.col("pattern_score") >= CONFIDENT)
+        instances = written(
             join_small(edges, scored, ["pattern"], "left").groupBy("instance").agg(
                 F.greatest(F.max(F.col("seed").cast("double")),
-                           F.coalesce(F.max("pattern_score"), F.lit(0.0))).alias("score")))
-    return scored.where(F.col("pattern_score") >= CONFIDENT).select("pattern", "pattern_score")
+                           F.coalesce(F.max("pattern_score"), F.lit(0.0))).alias("score")), "instances")
+        now = instances.agg(F.count_if(sure), F.sum("score")).first()
+        if before and now[0] == before[0] and now[1] - before[1] <= SETTLED * now[1] or not now[0]:
+            return found.select("pattern", "pattern_score")
+        before = now
 
 
 def discovered(docs: DataFrame) -> DataFrame:

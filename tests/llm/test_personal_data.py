@@ -73,6 +73,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert masked[52] == rows[14][1]
 
 
+def test_discoveries_support_further_contexts(spark):
+    """Identifiers found behind the context of phones occur behind another one, which finds identifiers of its own."""
+    rows = [(i, f"please call me on +1 (555) 000-{1000 + i} today") for i in range(12)]
+    for k in range(4):
+        rows += [(100 + k, f"please call me on AB-77-{1234 + k} today"), (200 + k, f"employee id: AB-77-{1234 + k} is theirs")]
+    rows += [(300, "employee id: CD-88-9999 is theirs"), (301, "badge of CD-88-9999 here"), (302, "shelf number CD-90-1111 here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in personal.personal_data(docs).select(
+        "row.doc_id", personal.span_text(personal.F.col("spans")).alias("spans")).collect()}
+    assert spans[100] == "id:18:28" and spans[200] == "id:13:23" and spans[300] == "id:13:23"
+    assert spans[301] == spans[302] == ""
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert personal.personal_data(docs).collect() == []
