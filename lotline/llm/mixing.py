@@ -8,7 +8,8 @@
    the stream passes it, the last one in part. Positions are prefix sums in two levels,
    hash buckets of about ``BUCKET_DOCS`` documents and documents within a bucket, so a hot
    source is many windows.
-3. *Blocks.* A source's quota is cut into blocks of ``block_words`` words. A binary tree over
+3. *Blocks.* A source's quota is cut into blocks of ``block_words`` words, or larger ones if there would be more than
+   ``MOST_BLOCKS``. A binary tree over
    the output shards splits the quotas: a node gives its left half a multivariate
    hypergeometric draw of the blocks it holds. Every node has a random generator of its own,
    so each shard finds its quotas by walking down from the root, in parallel with the others.
@@ -36,6 +37,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET_DOCS = 4096
 BLOCK_WORDS = 16_384
+MOST_BLOCKS = 800_000_000
+"""Blocks grow with the total so that there are no more of them: the generator draws from fewer than 10 ** 9."""
 SHARD_BLOCKS = 1024
 SEED = 20240601
 
@@ -78,11 +81,10 @@ def place(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: int =
 
 
 def _placed(sized: DataFrame, weights, cap, block_words) -> tuple[DataFrame, DataFrame]:
-    sources = cut_lineage(
-        source_targets(sized, weights, cap)
-        .withColumn("quota", F.round("target").cast("bigint"))
-        .withColumn("blocks", F.ceil(F.col("quota") / block_words))
-        .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+    sources = cut_lineage(source_targets(sized, weights, cap).withColumn("quota", F.round("target").cast("bigint")))
+    block_words = max(block_words, math.ceil((sources.agg(F.sum("quota")).first()[0] or 0) / MOST_BLOCKS))
+    sources = (sources.withColumn("blocks", F.ceil(F.col("quota") / block_words))
+               .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
     kept = sources.withColumnRenamed("source", "of")
     rows = join_small(sized, kept, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))

@@ -95,3 +95,12 @@ def test_empty_table(spark):
     assert mixing.taken_words(placed, takes).collect() == []
     only_nothing = run(spark, [(1, "", "a", None, None)])
     assert mixing.taken_words(only_nothing[0], only_nothing[2]).first().taken == 0
+
+
+def test_blocks_grow_with_the_total(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    docs = spark.createDataFrame([(i, "word " * 100, f"s{i % 3}") for i in range(60)], "doc_id bigint, text string, source string")
+    placed, sources = mixing.place(docs, block_words=2)
+    assert 45 <= sources.agg({"blocks": "sum"}).first()[0] <= 53
+    taken = mixing.taken_words(placed, mixing.draw_takes(placed, sources)).agg({"taken": "sum"}).first()[0]
+    assert taken == sources.agg({"quota": "sum"}).first()[0]
