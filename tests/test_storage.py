@@ -87,3 +87,34 @@ def test_result_shapes(spark):
                                "d decimal(12,2), i int, day date, m decimal(12,2), k bigint")
     assert shape_result(df, zero=("m",), text=("k",)).first().asDict() == {
         "d": 1.5, "i": 1, "day": "2024-01-02", "m": 0.0, "k": "7"}
+
+
+def test_a_change_writes_only_the_partitions_it_touches(spark, tmp_path):
+    root = str(tmp_path)
+    made = datagen.generate(spark, 30, 400, 40)
+    sinks.publish(made, root, 1)
+    columns = list(TABLES["parking_sessions"].columns)
+    stored = sinks.load_latest(spark, root).parking_sessions.select(*columns)
+    one = stored.where("status = 'active'").orderBy("id").limit(1)
+    [row] = one.collect()
+    closed = one.withColumn("status", F.lit("completed")).withColumn("exit_time", F.col("entry_time")).withColumn(
+        "total_cost", F.lit(0).cast("decimal(12,2)"))
+    want = rows(stored.where(F.col("id") != row["id"]).unionByName(closed.select(*columns)))
+    day = row["entry_time"].date()
+    done = sinks.merge(spark, root, 2, {"parking_sessions": closed})
+    assert set(done["parking_sessions"]) <= {f"status={s}/entry_date={day}" for s in ("active", "completed")}
+    after = sinks.load_latest(spark, root)
+    assert rows(after.parking_sessions.select(*columns)) == want
+    assert rows(after.cars) == rows(made.cars) and after.wallet_transactions.count() == made.wallet_transactions.count()
+    # a patch that stays in its partition writes that one, on top of a merged version; a delete likewise
+    patched = after.parking_sessions.where(F.col("id") == row["id"]).withColumn("total_cost", F.lit(5).cast("decimal(12,2)"))
+    assert sinks.merge(spark, root, 3, {"parking_sessions": patched})["parking_sessions"] == [f"status=completed/entry_date={day}"]
+    gone = spark.createDataFrame([(row["id"],)], "id string")
+    sinks.merge(spark, root, 4, {}, {"parking_sessions": gone})
+    last = sinks.load_latest(spark, root)
+    assert rows(last.parking_sessions.select(*columns)) == rows(stored.where(F.col("id") != row["id"]))
+    assert rows(sinks.load_version(spark, root, 2).parking_sessions.select(*columns)) == want
+    user = last.users.orderBy("id").limit(1).withColumn("is_blocked", F.lit(True))
+    assert sinks.merge(spark, root, 5, {"users": user}) == {"users": [""]}
+    assert sinks.load_latest(spark, root).users.where("is_blocked").count() >= 1
+    assert sinks.load_latest(spark, root).users.count() == made.users.count()
