@@ -118,3 +118,21 @@ def test_a_change_writes_only_the_partitions_it_touches(spark, tmp_path):
     assert sinks.merge(spark, root, 5, {"users": user}) == {"users": [""]}
     assert sinks.load_latest(spark, root).users.where("is_blocked").count() >= 1
     assert sinks.load_latest(spark, root).users.count() == made.users.count()
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    made = datagen.generate(spark, 40, 600, 50)
+    stored = sinks.write_bucketed(made, str(tmp_path), f"b{tmp_path.name.replace('-', '_')}_", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cars = stored.cars.select(F.col("id").alias("car_id"), "user_id")
+        joined = stored.parking_sessions.join(cars, "car_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        totals = stored.parking_sessions.groupBy("car_id").agg(F.sum("total_cost").alias("spent")).join(cars, "car_id")
+        assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == made.parking_sessions.count()
+        car = made.cars.orderBy("id").first()["id"]
+        assert rows(people.car_sessions(stored, car, "2024-02-01", 30)) == rows(people.car_sessions(made, car, "2024-02-01", 30))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
