@@ -1,22 +1,24 @@
 """Secrets told from other random-looking strings by a random forest.
 
-*Candidates* are runs of 16 or more letters, digits and ``_+/.-``, and every value assigned to a secret's name, of any length
-and with any symbols, up to the closing quote or white space. *Measures* of one are its length, shares of
-character classes, how often the class changes from character to character, its variety of characters, how much of it is made of
-words of the corpus, whether it looks like a path or an address, and the words beside it.
+*Candidates* are runs of 16 or more letters, digits and ``_+/.-``, every value assigned to a secret's name, of any length
+and with any symbols, up to the closing quote or white space, and blocks of private keys. *Measures* of one are its length,
+shares of character classes, how often the class changes from character to character, its variety of characters, how much of
+it is made of words of the corpus, whether it looks like a path or stands in one, and how much prose is beside it.
 
 *Training.* Labelled findings are candidates with a verdict. Where no table of them is given, findings
-that need no judgement are used: a value with digits, assigned to a name such as ``token`` or ``password``, is one (a short
-number is left to the forest);
-a candidate of letters only, a number, or an address, without such a name beside it, is none.
-The forest is fitted on a bounded sample of ``SAMPLE`` findings per verdict, chosen by hash. Everything
-else runs over all candidates: the forest decides about each, labelled or not.
+that need no judgement are used, and what they are known by is kept from the forest: a value with digits, assigned to a name
+such as ``token`` or ``password`` (a short number is left to the forest), or of a published form (``FORMS``) is one; a candidate
+without such a name beside it that is part of an address, or has letters or digits only, is none.
+The forest learns from the strings themselves, so it also finds secrets that no name introduces.
+It is fitted on a bounded sample of ``SAMPLE`` findings per verdict, chosen by hash. Everything
+else runs over all candidates: the forest decides about each but those of published forms, which are secrets.
 
 *Dictionary.* Letter runs of candidates are looked up among the words of all documents: one that at least ``LEAST_DOCS``
 distinct texts use as a word is a dictionary word. Only words that candidates ask for are counted, map-side first.
 
 Candidates are held by digest of the text, so copies share a result. Null texts are empty. Without findings of
-both verdicts there is nothing to learn from, and every candidate assigned to a secret's name counts as secret. Repeated
+both verdicts there is nothing to learn from, and every candidate assigned to a secret's name or of a published form counts as
+secret. Repeated
 rows each get their result. An empty table gives an empty result. Columns of the input are kept in the struct ``row``.
 """
 
@@ -32,12 +34,18 @@ ASSIGNED = r"[\"']?\s*(?:=|:=|:|=>)\s*[\"']?$"
 VALUE = (r"((?i:" + NAMES.removeprefix("(?i)") + r")[A-Za-z0-9_-]*[\"']?\s*(?::=|=>|=|:)\s*"
          r"(?:\"(?=[^\"\r\n]+\")|'(?=[^'\r\n]+')|`(?=[^`\r\n]+`)|[\"'`]?(?=[^\s\"'`])))"
          r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`]*[^\s\"'`,;)\]}])")
+KEY_BLOCK = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+# Published forms of access keys and tokens.
+FORMS = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
+         r"|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
+         r"|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\s\S]*)$")
 SAMPLE = 10_000
 LEAST_DOCS = 3
 BESIDE = 48
 TREES, DEPTH, SEED = 24, 6, 17
 MEASURES = ("length", "digits", "capitals", "marks", "changes", "variety", "dictionary", "slashes", "dots",
-            "at_sign", "named", "assigned", "quoted", "words_beside")
+            "in_path", "quoted", "words_beside", "prose_beside")
+"""What the forest sees. The columns at_sign, named, assigned and known, by which findings are labelled, are not among it."""
 SPAN = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
@@ -75,7 +83,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """text_key, start, end, found, before and after (the text beside it), once per distinct text."""
     text = F.col("text")
     values = _spans(text, VALUE, F.regexp_extract_all(text, F.lit(VALUE), F.lit(1)))
-    spans = F.concat(_spans(text, CANDIDATE), values)
+    blocks = F.when(text.contains("PRIVATE KEY-----"), _spans(text, KEY_BLOCK)).otherwise(F.array().cast(SPAN))
+    spans = F.concat(_spans(text, CANDIDATE), values, blocks)
     texts = docs.select(text_of("text").alias("text")).select("text", spans.alias("spans"))
     rows = texts.select(text_key(F.col("text")).alias("text_key"), "text", F.explode("spans").alias("s"))
     begin = F.greatest(F.lit(0), F.col("s.start") - BESIDE)
@@ -123,13 +132,16 @@ def measured(docs: DataFrame, found: DataFrame) -> DataFrame:
         "at_sign": flag(F.col("before").endswith("@") | F.col("after").startswith("@")),
         "named": flag(name), "assigned": flag(F.col("before").rlike(NAMES + r"[A-Za-z0-9_-]*" + ASSIGNED)),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
-        "words_beside": F.size(white_words(F.col("before"))) / 8.0})
+        "in_path": flag(F.col("before").rlike(r"[/\\.:]$") | F.col("after").rlike(r"^[/\\:]")),
+        "known": flag(s.rlike(FORMS)),
+        "words_beside": F.size(white_words(F.col("before"))) / 8.0,
+        "prose_beside": F.regexp_count(F.concat("before", "after"), F.lit(r"[\p{L} ]")) / float(2 * BESIDE)})
 
 
 def verdict() -> Column:
     """1 or 0 for candidates that need no judgement, else null."""
     number = (F.col("digits") == 1) & (F.col("length") < 16)
-    return (F.when((F.col("assigned") == 1) & (F.col("digits") > 0.05) & ~number, 1.0)
+    return (F.when((F.col("known") == 1) | (F.col("assigned") == 1) & (F.col("digits") > 0.05) & ~number, 1.0)
             .when((F.col("named") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1) | (F.col("at_sign") == 1)), 0.0))
 
 
@@ -155,9 +167,9 @@ def scored(rows: DataFrame, model) -> DataFrame:
     """Adds chance (of being a secret)."""
     from pyspark.ml.functions import vector_to_array
     if model is None:
-        return rows.withColumn("chance", F.col("assigned"))
+        return rows.withColumn("chance", F.greatest("assigned", "known"))
     out = model.transform(_assembled(rows))
-    return out.withColumn("chance", vector_to_array("probability")[1]).drop(
+    return out.withColumn("chance", F.when(F.col("known") == 1, 1.0).otherwise(vector_to_array("probability")[1])).drop(
         "features", "rawPrediction", "probability", "prediction")
 
 
