@@ -374,6 +374,8 @@ def queries() -> dict[str, Query]:
             lambda t: access.visible_to(t, "wallet_transactions", 10)),
         "X1_hourly_load_stream": _windows(lambda e: windows.load(_entries(e))),
         "X1_daily_load_stream": _windows(lambda e: windows.load(_entries(e), "1 day")),
+        "X1_hourly_load_in_order": lambda spark, sf_dir: shape_result(run.replay_in_order(
+            read(spark, sf_dir, "events"), "ts", lambda e: windows.load(_entries(e)))),
         "X2_denials_stream": _windows(lambda e: windows.denials(sample.entry_logs(e))),
         "X2_denial_share_stream": _windows(lambda e: windows.denial_share(sample.entry_logs(e))),
         "X3_visits_stream": _windows(lambda e: windows.visits(sample.entry_logs(e))),
@@ -388,4 +390,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {**REPORTS, **JOBS, **STREAMS, "X6_streamed_admission": JOBS["E1_entry_decisions"],
             "X5_gate_flow_in_order": STREAMS["X5_gate_flow"],
+            "X1_hourly_load_in_order": STREAMS["X1_hourly_load_stream"],
             **LLM_SQL}

@@ -43,6 +43,14 @@ def test_parts_in_many_triggers(spark, sf_dir, in_parts):
         run.run_to_end(read_stream(spark, in_parts, "events", 1), "ts", lambda e: BUILDS["load"](e, "10 minutes"))
 
 
+@pytest.mark.parametrize("name", ["load", "visits"])
+def test_replay_in_order_needs_no_long_delay(spark, sf_dir, in_parts, name):
+    """Parts in no order of time, a slice per trigger, with the delay that fails for files in their own order."""
+    batch = rows(BUILDS[name](read(spark, sf_dir, "events"), "10 minutes"))
+    got = run.replay_in_order(read(spark, in_parts, "events"), "ts", lambda e: BUILDS[name](e, "10 minutes"), slices=5)
+    assert rows(got) == batch
+
+
 def test_reads_and_flow_do_not_depend_on_files(spark, sf_dir, in_parts):
     for build in (lambda e: windows.without_repeats(sample.entry_logs(e).unionByName(sample.entry_logs(e))),):
         got = [rows(run.run_to_files(build(read_stream(spark, f, "events")))) for f in (sf_dir, in_parts)]
