@@ -333,6 +333,8 @@ def queries() -> dict[str, Query]:
         "J3_ledger": _report(_ledger),
         "J3_running_balances": _report(
             lambda t: ledger.running_balances(t.wallets, t.wallet_transactions)),
+        "J3_running_balances_by_rows": _report(
+            lambda t: ledger.running_balances(t.wallets, t.wallet_transactions, by_rows=True)),
         "J4_cost_reconciliation": _report(_reconciliation),
         "J5_import_errors": _job(lambda t, s: _import(t, s).errors),
         "J5_import_summary": _job(lambda t, s: _import(t, s).summary),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.functions.keys import derived_key
 from lotline.functions.money import parking_cost
-from lotline.operators.running import running_total
+from lotline.operators.running import running_total, running_total_by_rows
 from lotline.schemas import TABLES, struct_of
 from lotline.sources.tables import Tables
 
@@ -58,9 +58,13 @@ def current_balances(wallets: DataFrame, transactions: DataFrame) -> DataFrame:
         (F.col("opening") + F.coalesce("moved", zero)).cast("decimal(22,2)").alias("balance"))
 
 
-def running_balances(wallets: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Every operation with the balance of its wallet just after it."""
-    totals = running_total(transactions, ["wallet_id"], "created_at", ["id"], "amount", "_moved")
+def running_balances(wallets: DataFrame, transactions: DataFrame, by_rows: bool = False) -> DataFrame:
+    """Every operation with the balance of its wallet just after it.
+
+    ``by_rows`` cuts histories by number of rows instead of hours, for wallets with very many operations at a time.
+    """
+    total = running_total_by_rows if by_rows else running_total
+    totals = total(transactions, ["wallet_id"], "created_at", ["id"], "amount", "_moved")
     opening = wallets.select(F.col("id").alias("wallet_id"), F.col("balance").alias("_opening"))
     return totals.join(opening, "wallet_id").select(
         *transactions.columns,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotline.functions.times import EPOCH, elapsed_micros
+from lotline.session import written
 
 HOUR_MICROS = 3_600_000_000
 
@@ -40,6 +41,24 @@ def running_total(df: DataFrame, key: list[str], time: str, tie: list[str], valu
             .drop("_block", "_before"))
 
 
+def running_total_by_rows(df: DataFrame, key: list[str], time: str, tie: list[str], value: str, out: str) -> DataFrame:
+    """As :func:`running_total`, in blocks of about as many rows instead of hours.
+
+    The rows are dealt by range of key, time and tie, so a key's history is cut wherever a task has enough, also
+    within one instant. They are written once, so that a block keeps its rows; blocks are totalled map-side, one short
+    window per key adds the blocks up, and each row adds the total of the earlier blocks to the running total in its own.
+    """
+    dealt = df.repartitionByRange(*key, time, *tie).withColumn("_block", F.spark_partition_id())
+    rows = written(dealt, "running-blocks")
+    blocks = rows.groupBy(*key, "_block").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*key, "_block", F.sum("_total").over(earlier).alias("_before"))
+    within = Window.partitionBy(*key, "_block").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.join(blocks, [*key, "_block"], "left")
+            .withColumn(out, F.coalesce("_before", F.lit(0)) + F.sum(value).over(within))
+            .drop("_block", "_before"))
+
+
 def running_rank(df: DataFrame, key: list[str], time: str, tie: list[str], out: str,
                  descending: bool = False) -> DataFrame:
     """Adds ``out``: 1, 2, ... per key in time order, by the same split."""

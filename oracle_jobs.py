@@ -490,3 +490,4 @@ SELECT car_id, count(*) AS active_sessions FROM parking_sessions WHERE status =
 GROUP BY car_id HAVING count(*) > 1"""),
 }
 JOBS["E4_exit_results_in_phases"] = JOBS["E4_exit_results"]
+JOBS["J3_running_balances_by_rows"] = JOBS["J3_running_balances"]

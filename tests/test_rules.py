@@ -237,3 +237,21 @@ def test_ledger_moves_what_balances_move(spark):
     last = [r["balance_after"] for r in ledger.running_balances(t.wallets, moves)
             .orderBy("created_at", "id").collect()][-1]
     assert last == final["w1"]
+
+
+def test_a_wallet_with_all_rows_at_one_instant_is_split(spark):
+    """Running totals by rows: one key and one instant hold most rows, and several tasks share them."""
+    from lotline.operators import running
+    rows_ = [("w", at(1), i, i % 7 - 3) for i in range(20_000)] + [("v", at(i % 5), i, 1) for i in range(50)] + [("w", at(0), -1, 100)]
+    df = spark.createDataFrame(rows_, "wallet_id string, at timestamp_ntz, id long, amount long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        got = running.running_total_by_rows(df, ["wallet_id"], "at", ["id"], "amount", "total").collect()
+        blocks = (df.repartitionByRange("wallet_id", "at", "id").where("wallet_id = 'w' AND id >= 0")
+                  .select(F.spark_partition_id()).distinct().count())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, sums = {}, {}
+    for wallet, when, i, amount in sorted(rows_, key=lambda r: (r[0], r[1], r[2])):
+        sums[wallet] = want[wallet, i] = sums.get(wallet, 0) + amount
+    assert {(r.wallet_id, r.id): r.total for r in got} == want and blocks > 1
