@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.operators.first_wins import (claim, claimed_columns, claims_of, first_wins,
                                           held_claims)
+from lotline.operators.quality import row_rules
 from lotline.operators.spread import join_totals
 from lotline.schemas import CASCADE, NOW, RESTRICT, SET_NULL, TABLES, children_of
-from lotline.session import cut_lineage
+from lotline.session import cut_lineage, written
 from lotline.sources.tables import Tables
 
 
@@ -42,15 +43,46 @@ def with_defaults(table: str, batch: DataFrame, at=None) -> DataFrame:
     return batch.select(*out)
 
 
-def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: str = "id") -> Change:
+def broken_rules(rows: DataFrame, table: str, key: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``key`` (unique and never NULL) and the first declared rule, of the row or of a reference, that a row breaks.
+
+    A column that ``rows`` lacks is NULL. ``parents`` are the tables whose ids references must hold; dangling ones are
+    found on one row per key.
+    """
+    spec = TABLES[table]
+    whole = rows.withColumns({c: F.lit(None).cast("string" if kind == "key" else kind)
+                              for c, kind in spec.columns.items() if c not in rows.columns})
+    rules = [F.when(c, F.lit(name)) for name, c in row_rules(spec)]
+    found = [whole.select(key, F.coalesce(*rules, F.lit(None).cast("string")).alias("error")).where("error is not null")]
+    for ref in spec.references:
+        if ref.parent in (parents or {}) and ref.column in rows.columns:
+            asked = rows.where(F.col(ref.column).isNotNull()).select(key, ref.column)
+            held = parents[ref.parent].select(F.col("id").alias(ref.column))
+            dangling = asked.select(ref.column).distinct().join(held, ref.column, "left_anti")
+            found.append(join_totals(asked, dangling, [ref.column], "left_semi").select(
+                key, F.lit(f"{ref.column} -> {ref.parent}").alias("error")))
+    return reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("error").alias("error"))
+
+
+def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: str = "id", table: str | None = None,
+                  parents: dict[str, DataFrame] | None = None) -> Change:
     """Adds the rows of ``batch`` that repeat no unique key; ``id`` is always one.
 
+    With ``table``, rows that break a declared rule of it are rejected first, and with ``parents`` also those whose
+    references name no parent; they take no keys.
+
     Keys the target holds reject at once; within the batch the first row by
     ``position`` wins and a rejected row frees its other keys. The rows are
     numbered and kept, so rows that are equal in all columns stay apart.
     """
     unique_keys = [("id",), *[tuple(k) for k in unique_keys if tuple(k) != ("id",)]]
     numbered = cut_lineage(batch.withColumn("_n", F.monotonically_increasing_id()))
+    broken = numbered.limit(0).select(*batch.columns, F.lit("").alias("error"))
+    if table:
+        judged = join_totals(numbered, broken_rules(numbered, table, "_n", parents), ["_n"])
+        judged = written(judged, "checked")
+        broken = judged.where("error is not null").select(*batch.columns, "error")
+        numbered = judged.where("error is null").drop("error")
     claiming = numbered.withColumn("_at", F.struct(position, "_n")).withColumn(
         "_claims", F.array_compact(F.array(*[claim(k) for k in unique_keys])))
     held = held_claims(claiming, "_at", "_claims", claims_of(target, unique_keys, numbered))
@@ -64,7 +96,7 @@ def apply_inserts(target: DataFrame, batch: DataFrame, unique_keys, position: st
         *batch.columns, F.lit("repeats an earlier row of the batch").alias("error"))
     columns = [c for c in target.columns if c in batch.columns]
     grown = target.unionByName(accepted.select(*columns), allowMissingColumns=True)
-    return Change(grown, accepted, known.unionByName(repeated))
+    return Change(grown, accepted, known.unionByName(repeated).unionByName(broken))
 
 
 def _exists(held) -> Column:
@@ -128,9 +160,13 @@ def _one_per_key(patch: DataFrame, columns: list[str], key: str, overwrite: bool
 
 def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key: str = "id",
                   unique_keys=(), overwrite: bool = False, owner: tuple | None = None,
-                  order: str | None = None) -> Change:
+                  order: str | None = None, table: str | None = None,
+                  parents: dict[str, DataFrame] | None = None) -> Change:
     """Applies patches to the rows of their key.
 
+    With ``table``, patches after which a row breaks a declared rule of it fail, and with ``parents`` also those after
+    which one of its references names no parent.
+
     Several patches of one key take effect one after the other by ``order``. Without an order they are all
     rejected, since none of them comes first, and so they are if the order of one is NULL or that of two the same.
 
@@ -150,6 +186,11 @@ def apply_updates(target: DataFrame, patch: DataFrame, columns: list[str], key:
     checks = [F.when(F.col("_found").isNull(), "not found")]
     if owner:
         checks.append(F.when(~F.col(owner[0]).eqNullSafe(F.col("_by")), "not the owner"))
+    if table:
+        after = found.where(F.col("_found").isNotNull()).select(*target.columns)
+        broken = broken_rules(after, table, key, parents).withColumnRenamed("error", "_broken")
+        found = found.join(broken, key, "left")
+        checks.append(F.col("_broken"))
     if unique_keys:
         found = found.withColumn("_claims", _changed_claims(unique_keys, columns))
         held = held_claims(found, key, "_claims", claims_of(target, unique_keys, found))

@@ -325,3 +325,21 @@ def test_scopes_answer_what_each_viewer_sees(spark, table):
         assert rows(access.in_scope(seen, table, viewer, is_admin), "id") == rows(want, "id")
     without = access.seen_in_scopes(t, table, who.where("not is_admin"))
     assert without.where("scope_id is null").count() == (2 if table == "gates" else 0)
+
+
+def test_inserts_and_updates_keep_declared_rules(spark):
+    t = tables(spark, users=[{"id": "u", "phone": "+71"}], cars=[{"id": "c", "user_id": "u", "plate_number": "A"}])
+    batch = frame(spark, "cars", [{"id": "1", "user_id": "u", "plate_number": "B"}, {"id": "2", "user_id": "ghost", "plate_number": "C"},
+                                  {"id": "3", "user_id": "u", "plate_number": "P" * 21}, {"id": "4", "user_id": "u"},
+                                  {"id": "5", "user_id": "u", "plate_number": "A"}, {"id": "6", "user_id": "u", "plate_number": "C"}])
+    batch = batch.withColumn("is_active", F.lit(True)).withColumn("created_at", F.lit(START))
+    done = changes.apply_inserts(t.cars, batch, [("plate_number",)], table="cars", parents={"users": t.users})
+    assert rows(done.accepted, "id") == [("1",), ("6",)]
+    errors = by_id(done.rejected, "error")
+    assert errors["2"] == "user_id -> users" and errors["3"] == "plate_number longer than 20" and errors["4"] == "plate_number required"
+    assert errors["5"] == "plate_number already exists" and len(errors) == 4
+    stored = done.table.withColumn("is_active", F.lit(True)).withColumn("created_at", F.lit(START))
+    patch = spark.createDataFrame([("1", "x" * 21, None), ("6", None, "ghost"), ("c", "Z", None)], "id string, plate_number string, user_id string")
+    after = changes.apply_updates(stored, patch, ["plate_number", "user_id"], table="cars", parents={"users": t.users})
+    assert by_id(after.rejected, "error") == {"1": "plate_number longer than 20", "6": "user_id -> users"}
+    assert by_id(after.table, "plate_number") == {"c": "Z", "1": "B", "6": "C"}
