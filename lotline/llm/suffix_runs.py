@@ -25,7 +25,7 @@ SPAN = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE_BITS = 24
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
