@@ -161,6 +161,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN again THEN first_page END AS refers_to
         FROM r""",
+    "op11_shingle_join": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, w[i:i + 3] AS g FROM
+                (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        shared AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+        links AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        components AS (SELECT reach.a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM d LEFT JOIN sizes USING (r) LEFT JOIN components USING (r)""",
     "op13_conversation_repair": r"""
         WITH RECURSIVE steps AS (
             SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b:
