@@ -151,6 +151,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op5_repeated_bytes": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g
+                    FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+        again AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+        starts AS (SELECT r, i FROM windows SEMI JOIN again USING (g)),
+        marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM starts),
+        runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM
+                   (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM marked) GROUP BY r, run),
+        gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS first, a AS last FROM runs
+                 UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+        kept AS (SELECT r, string_agg(substr(h, 2 * first + 1, 2 * (coalesce(last, len(h) // 2) - first)), '' ORDER BY first) AS k
+                 FROM gaps JOIN d USING (r) GROUP BY r),
+        removed AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY r)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest
