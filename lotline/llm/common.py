@@ -27,14 +27,22 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _fixed(kind: T.DataType) -> int:
+    """Bytes of an array's element of a kind that has always as many, else 0."""
+    if isinstance(kind, T.StructType):
+        widths = [_fixed(f.dataType) for f in kind]
+        return sum(widths) + 16 if all(widths) else 0
+    return 0 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
+
+
 def _bytes(value: Column, kind: T.DataType) -> Column:
     """About how many bytes a value takes in memory."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     if isinstance(kind, T.StructType):
         return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
-    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
-        return F.coalesce(F.size(value), F.lit(0)) * 8 + 32
+    if isinstance(kind, T.ArrayType) and (width := _fixed(kind.elementType)):
+        return F.coalesce(F.size(value), F.lit(0)) * width + 32
     if isinstance(kind, (T.ArrayType, T.MapType)):
         return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 32
     return F.lit(8)

@@ -185,7 +185,7 @@ def _with_anchors(pool: DataFrame, anchors: DataFrame) -> DataFrame:
     """Texts of the pool with their anchors in an array, which the text's own length bounds."""
     held = cut_lineage(anchors.groupBy("text_key").agg(
         F.collect_list(F.struct("place", "lo", "hi", "gram")).alias("anchors")).withColumnRenamed("text_key", "of"))
-    return pool.join(held, F.col("text_key") == F.col("of"), "inner").select("text_key", "text", "anchors")
+    return join_small(pool, held, F.col("text_key") == F.col("of"), "inner").select("text_key", "text", "anchors")
 
 
 def repeated_stretches(pool: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct("start", "end")).alias("s"))
         .select(F.col("text_key").alias("of"), "s.start", "s.end"))
     # Copies go as a whole and need no stretches, so a text that very many rows share is not shuffled.
-    single = rows.where(~is_copy).join(stretches, F.col("text_key") == F.col("of"), "left")
+    single = join_small(rows.where(~is_copy), stretches, F.col("text_key") == F.col("of"))
     whole = rows.where(is_copy).withColumns({"start": F.lit(None).cast("array<int>"), "end": F.lit(None).cast("array<int>")})
     joined = single.select(*whole.columns).unionByName(whole)
     return joined.select("doc_id", "text", is_copy.alias("copied"), "start", "end").mapInArrow(
