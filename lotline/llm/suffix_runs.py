@@ -58,6 +58,14 @@ def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
     return mixed((sums[width:] - sums[:-width]) * inverse[:len(data) - width + 1])
 
 
+def gram_hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """What ``gram_hashes`` has at ``places``, in memory for these alone."""
+    hashed = np.zeros(len(places), np.uint64)
+    for o in reversed(range(GRAM)):
+        hashed = hashed * np.uint64(_BASE) + data[places + o].astype(np.uint64) + np.uint64(1)
+    return mixed(hashed)
+
+
 def _sliding_least(keys: np.ndarray, span: int) -> np.ndarray:
     """Least of every ``span`` neighbours: prefix and suffix minima of blocks of ``span``."""
     n = len(keys) - span + 1

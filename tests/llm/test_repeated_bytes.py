@@ -1,10 +1,13 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from lotline.llm import repeated_bytes, suffix_runs as runs
+from lotline.llm import common, repeated_bytes, suffix_runs as runs
 from lotline.llm.queries import op5_repeated_bytes
 
 
@@ -94,3 +97,88 @@ def test_windows_of_equal_texts_have_equal_anchors():
     assert len(covered) == 2801 + 301 + 2801 == len(set(covered.tolist()))
     first, last = lo < 3000, lo >= 3500
     assert (place[first] == place[last] - 3500).all() and (gram[first] == gram[last]).all()
+
+
+def test_tables_that_meet_the_texts_are_narrow(spark, monkeypatch):
+    """Anchors and stretches may be broadcast, so each takes eight bytes."""
+    widths = []
+    plain = common.join_small
+
+    def measured(rows, small, *args, **options):
+        if arrays := [f for f in small.schema if f.dataType.typeName() == "array"]:
+            taken = sum((common._bytes(small[f.name], f.dataType) - 32 for f in arrays), F.lit(0))
+            widths.append(small.select(F.sum(taken) / F.sum(F.size(arrays[0].name))).first()[0])
+        return plain(rows, small, *args, **options)
+
+    monkeypatch.setattr(repeated_bytes, "join_small", measured)
+    docs = spark.createDataFrame(made(), "doc_id bigint, text string")
+    assert result(repeated_bytes.without_repeats(docs).collect()) == brute(made())
+    assert widths == [8, 8]
+
+
+def test_tables_beyond_the_bound_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(repeated_bytes, "BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame(made(), "doc_id bigint, text string")
+    assert result(repeated_bytes.without_repeats(docs).collect()) == brute(made())
+
+
+def test_anchors_of_long_texts_as_numbers():
+    place = np.array([0, 136, 500, (1 << 31) - 264])
+    lo, hi = place - [0, 136, 90, 136], place - [0, 0, 17, 136]
+    assert [x.tolist() for x in repeated_bytes._placed(repeated_bytes._at(place, lo, hi))] == [
+        x.tolist() for x in (place, lo, hi)]
+
+
+def test_grams_of_places():
+    data = np.random.default_rng(4).integers(0, 256, 3000).astype(np.uint8)
+    places = np.array([0, 1, 70, 2900, 2936])
+    assert (runs.gram_hashes_at(data, places) == runs.gram_hashes(data)[places]).all()
+
+
+def test_merge_holds_one_part_of_a_batch():
+    """A batch holds the runs of many parts; only a few of them at a time become Python objects."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 400).astype(np.uint8)) for _ in range(60)]
+    pool = pa.table({"text_key": pa.array([bytes([i]) * repeated_bytes.KEY_BYTES for i in range(90)], pa.binary()),
+                     "text": pa.array(texts + texts[:30], pa.binary())})
+    held = {k: [] for k in pool["text_key"].to_pylist()}
+    for batch in repeated_bytes._anchors(iter(pool.to_batches())):
+        for row in batch.to_pylist():
+            held[row.pop("text_key")].append(row.get("at", row))
+    pool = pool.append_column("anchors", pa.array(list(held.values())))
+    coded = pa.Table.from_batches(list(repeated_bytes._run_maker(4)(iter(pool.to_batches()))) * 100)
+    coded = coded.set_column(0, "part", pa.array(range(coded.num_rows), pa.int32()))  # each run a part of its own
+    (batch,) = coded.combine_chunks().to_batches()
+
+    def peak(one):
+        tracemalloc.start()
+        sum(x.num_rows for x in repeated_bytes._merge(iter([one])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert batch.num_rows == 400 and peak(batch) < 1.5 * peak(batch.slice(0, 64))
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("released")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(pa, "system_memory_pool", Pool)
+    for x in repeated_bytes._tidy(iter)(["a", "b"]):
+        done.append(x)
+    assert done == ["a", "b", "released", "released"]
+
+
+def test_texts_left_come_back_in_small_batches():
+    texts = pa.array([b"x" * (1 << 17)] * 10 + [b"", b"y" * (1 << 20), b"z"], pa.binary())
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(13), pa.int64()), texts, pa.array([False] * 13), pa.array([None] * 13, pa.list_(pa.int64()))],
+        names=["doc_id", "text", "copied", "stretches"])
+    out = list(repeated_bytes._cut(iter([batch])))
+    assert pa.Table.from_batches(out)["kept"].to_pylist() == texts.to_pylist()
+    assert all(b.num_rows == 1 or sum(len(k.as_buffer()) for k in b["kept"]) <= runs.BATCH_BYTES for b in out)
