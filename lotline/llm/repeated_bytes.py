@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lotline.llm import suffix_runs as runs
-from lotline.llm.common import cut_lineage, join_small, text_of, written
+from lotline.llm.common import cut_lineage, join_small, text_of, tidy as _tidy, written
 from lotline.operators.spread import join_totals
 
 HOT = 20_000
@@ -53,16 +53,6 @@ def text_key(text):
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _tidy(step):
-    """``step`` for mapInArrow; at a task's end its worker, which stays for later tasks, gives free memory back."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from step(batches)
-        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-            pool.release_unused()
-
-    return run
-
-
 def _at(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Anchors as numbers. Windows start less than ``SPAN`` bytes before their anchor, which a byte holds."""
     return place << 16 | (place - lo) << 8 | (place - hi)

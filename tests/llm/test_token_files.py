@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -74,3 +76,31 @@ def test_pieces_have_the_library_ids(spark, path):
     for text in texts:
         whole = coded.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(coded.texts([text])[0], "<u4").tolist() == whole
+
+
+def test_frames_become_objects_one_at_a_time():
+    """A batch holds all frames of a task; reading it takes memory for one of them."""
+    ids = np.random.default_rng(5).integers(0, 50_000, 30_000).astype(np.uint32)
+    words, escapes, word_at, escape_at = simple8b.encode(ids)
+    frame = {"shard": 0, "first": 0, "doc_ids": list(range(3000)), "lengths": [10] * 3000, "words": words.tobytes(),
+             "escapes": escapes.tobytes(), "word_at": word_at.tolist(), "escape_at": escape_at.tolist(), "before": 0}
+    batch = pa.RecordBatch.from_pylist([frame] * 60)
+
+    def peak(one):
+        tracemalloc.start()
+        assert sum(x.num_rows for x in token_files._read_digests(iter([one]))) == 3000 * one.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(batch) < 2 * peak(batch.slice(0, 1))
+
+
+def test_workers_give_memory_back(spark, tmp_path, monkeypatch):
+    steps = []
+    plain = token_files.tidy
+    monkeypatch.setattr(token_files, "tidy", lambda step: (steps.append(step), plain(step))[1])
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    token_files.write_ids(docs, str(tmp_path / "a"), tokenizer_path())
+    assert [r.n_tokens for r in token_files.read_digests(spark, str(tmp_path / "a")).orderBy("doc_id").collect()] == [3, 1]
+    assert len(steps) == 2

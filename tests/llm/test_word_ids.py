@@ -47,3 +47,19 @@ def test_words_are_found_again():
     first, again = coder.ids(texts), coder.ids(texts)
     assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
     assert coder.plain.n_words <= 8
+
+
+def test_the_table_grows_with_its_words():
+    """A worker with few words holds a small table, and one with many finds them all again."""
+    coder = token_files.Coder(tokenizer_path())
+    plain, texts = coder.plain, pa.array([" ".join(f"w{k}x{i}" for i in range(500)) for k in range(400)])
+    held = lambda: sum(x.nbytes for x in (plain.table_keys, plain.table_entries, plain.firsts, plain.sizes, plain.ids))
+    coder.ids(texts.slice(0, 1))
+    assert held() < 1 << 23
+    for at in range(0, 400, 50):
+        coder.ids(texts.slice(at, 50))
+    assert plain.n_words == 200_000 and 3 * plain.n_words <= len(plain.table_keys) < 1 << 21
+    ids, counts = coder.ids(texts)
+    assert plain.n_words == 200_000
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
